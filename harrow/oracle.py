@@ -1,5 +1,9 @@
 """SQL for the queries of the registry."""
 
+from . import queries as catalogue
+from . import registry
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    registry.load()
+    return dict(catalogue.SQL)

@@ -1,18 +1,27 @@
-"""Queries over the reference operators."""
+"""The queries over the operators of this library."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .session import table
+from . import queries as catalogue
+
+MODULES = ("strings", "relational")
+
+
+def load() -> None:
+    for m in MODULES:
+        import_module(f"harrow.queries.{m}")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles_df").groupBy("dataset").agg(F.count("*").alias("n_articles"))
+    load()
+    return catalogue.QUERIES["lb_dict"](spark, d) if "lb_dict" in catalogue.QUERIES else catalogue.QUERIES["str_norm"](spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    load()
+    return dict(catalogue.QUERIES)
