@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as catalogue
 
-MODULES = ("strings", "relational")
+MODULES = ("strings", "relational", "searching")
 
 
 def load() -> None:
