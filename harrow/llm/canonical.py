@@ -26,13 +26,13 @@ SHARD = 50_000
 SMALL = 200_000  # distinct values up to which their mapping may be broadcast
 
 
-def radius(form: str) -> int:
-    """Edits allowed: none below 8 letters, then one for every six, at most 4."""
+def radius(form: str, letters: int = 6) -> int:
+    """Edits allowed: none below 8 letters, then one for every ``letters``, at most 4."""
     n = len(form)
-    return 0 if n < 8 else min(4, n // 6)
+    return 0 if n < 8 else min(4, n // letters)
 
 
-def _search(tree: BKTree, forms: Callable[[str], list[str]]) -> Callable:
+def _search(tree: BKTree, forms: Callable[[str], list[str]], letters: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(0).to_pylist()
@@ -45,7 +45,7 @@ def _search(tree: BKTree, forms: Callable[[str], list[str]]) -> Callable:
                 else:
                     owners += [k] * len(own)
                     queries += own
-            for k, found in zip(owners, tree.search(queries, radius)):
+            for k, found in zip(owners, tree.search(queries, lambda q: radius(q, letters))):
                 if found:
                     best[k] = min(best[k], min(found))
             yield pa.RecordBatch.from_arrays(
@@ -62,6 +62,7 @@ def map_values(
     forms: Callable[[list], Callable[[str], list[str]]],
     entries: Callable[..., list[str]],
     shard: int = SHARD,
+    letters: int = 6,
 ) -> DataFrame:
     """``value, ref_id, distance`` for each distinct ``value``.
 
@@ -76,7 +77,7 @@ def map_values(
         own = reference if parts == 1 else reference.where(F.pmod(F.xxhash64(reference.columns[0]), F.lit(parts)) == k)
         rows = sorted(tuple(r) for r in own.collect() if r[0] is not None)  # at most about ``shard`` rows
         tree = BKTree([(text, r[0]) for r in rows for text in entries(*r[1:])])
-        hits = distinct.mapInArrow(_search(tree, forms(rows)), "value string, distance int, ref_id int")
+        hits = distinct.mapInArrow(_search(tree, forms(rows), letters), "value string, distance int, ref_id int")
         found = hits if found is None else found.unionAll(hits)
     if parts > 1:
         found = found.groupBy("value").agg(F.min(F.struct("distance", "ref_id")).alias("b")).select("value", "b.*")
@@ -91,7 +92,7 @@ def journals(values: DataFrame, journal_list: DataFrame, shard: int = SHARD) ->
         return lambda v: name_forms.journal_forms(v, vocabulary)
 
     reference = journal_list.select("journal_id", "journal_name", "short_name").where("journal_name is not null")
-    return map_values(values, reference, forms, name_forms.journal_entries, shard)
+    return map_values(values, reference, forms, name_forms.journal_entries, shard, letters=5)
 
 
 def organisations(values: DataFrame, affiliation_map: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -279,7 +279,7 @@ def from_wiki(text: str) -> str:
     for _ in range(4):
         text = re.sub(r"\{\{[^{}]*\}\}", "", text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", lambda m: re.sub(r"^\w+:(?=\S)", "", m[1]), text)
-    text = re.sub(r"^(={1,6})\s*([^=\n]+?)\s*\1\s*$", r"# \2", text, flags=re.M)
+    text = re.sub(r"^(={1,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", r"# \2", text, flags=re.M)
     text = re.sub(r"\[(?:https?://\S+)\s+([^\]]+)\]", r"\1", text)
     text = re.sub(r"'{3}(.*?)'{3}", r"\1", text, flags=re.S)
     text = re.sub(r"(?<!')''(.*?)''(?!')", r"\1", text, flags=re.S)
@@ -289,8 +289,8 @@ def from_wiki(text: str) -> str:
 def from_markdown(text: str, kept: _Kept) -> str:
     text = re.sub(r"(?:```|~~~)[^\n`~]*\n(.*?)(?:\n(?:```|~~~)|\Z)", lambda m: kept.put(f"```\n{m[1]}\n```"), text, flags=re.S)
     text = re.sub(r"(?<![\w`])`([^`\n]+)`(?!\w)", lambda m: kept.put(f"`{m[1]}`"), text)
-    text = re.sub(r"^([^\n|>-][^\n]*)\n(?:={3,}|-{3,})\s*$", r"# \1", text, flags=re.M)
-    text = re.sub(r"^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$", r"# \1", text, flags=re.M)
+    text = re.sub(r"^([^\n|>-][^\n]*)\n(?:={3,}|-{3,})[ \t]*$", r"# \1", text, flags=re.M)
+    text = re.sub(r"^\s{0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$", r"# \1", text, flags=re.M)
     text = re.sub(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\((?:[^()\s]|\([^()\s]*\))+(?:\s+\"[^\"]*\")?\)", r"\1", text)
     text = re.sub(r"^\s{0,3}>\s?", "", text, flags=re.M)
     text = re.sub(r"^\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*\n?", "", text, flags=re.M)

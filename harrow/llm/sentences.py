@@ -42,7 +42,7 @@ BEFORE_NAME = set(
 )
 BEFORE_NUMBER = set(
     "no nos nr nro núm num fig figs tab tabs tabl tbl abb sect sec ch chap cap kap eq eqs eqn vol vols pp pg pág págs "
-    "art para par ref refs ex app ann approx ca cca circa env aprox ungef etwa vs ver lot n° стр рис табл гл п "
+    "art para par ref refs ex app ann approx ca cca circa env aprox ungef etwa vs ver n° стр рис табл гл п "
     "jan feb mar apr jun jul aug sep sept oct nov dec ene abr ago dic déc févr avr juil mär okt dez янв фев апр авг сент "
     "окт нояб дек bd hrsg тыс млн млрд".split()
 )
@@ -195,7 +195,7 @@ def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case) -
     if bare in BEFORE_NAME or bare in INSIDE:
         return False
     if bare in BEFORE_NUMBER:
-        return not (nxt.isdigit() or nxt in ".(§" or small)
+        return not (nxt.isdigit() or nxt in ".§" or small)
     last = bare.rpartition(".")[2]
     if bare in PERHAPS_LAST:
         return not small and not (one_case and bare != "etc") if nxt.isalpha() else not nxt.isdigit() or bare == "etc"
@@ -220,8 +220,8 @@ def _glued(text: str, word: str, nxt: str, n: int, small_case: bool) -> bool:
     tail = re.match(r"\S*", text[n : n + 40])[0]
     if _address.search(word + "." + tail):
         return False
-    prev = word[-1:]
-    if not prev:
+    prev = text[n - 2 : n - 1]
+    if not prev or prev.isspace():
         return False
     if nxt.isdigit():
         return prev in ")%»”]" or (prev.isalpha() and len(word) > 3 and "." not in word and prev.islower())
