@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: English stop words with the units that count as such
 STOP_WORDS = (
@@ -42,7 +43,7 @@ def unaccent(x: Text) -> Column:
     return F.regexp_replace(F.translate(col(x), *_latin()), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccent_exact(x):  # pandas Series
     """The same by full compatibility decomposition (ligatures, fractions)."""
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
