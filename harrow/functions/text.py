@@ -130,12 +130,17 @@ def drop_escapes(x: Text) -> Column:
     return F.when(col(x).rlike(mark), y).otherwise(col(x))
 
 
+def strip(x: Text) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(col(x), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def drop_copyright(x: Text) -> Column:
     """Everything from a copyright sign on; "no abstract available" becomes empty."""
-    head = F.trim(F.regexp_extract(col(x), r"(?s)^(.*?)(?:©|\(c\)|\(C\)|\z)", 1))
+    head = strip(F.regexp_extract(col(x), r"(?s)^(.*?)(?:©|\(c\)|\(C\)|\z)", 1))
     bare = F.regexp_replace(F.regexp_replace(head, r"([C|c])opyright ?\.?", ""), r"\s+", " ")
     none = F.lower(F.regexp_replace(col(x), r"[\[\]]", "")) == "no abstract available"
-    return F.when(none, F.lit("")).otherwise(F.trim(bare))
+    return F.when(none, F.lit("")).otherwise(strip(bare))
 
 
 def drop_html(x: Text) -> Column:
@@ -297,6 +302,21 @@ def semicolon_head(x: Text) -> Column:
     return F.when(~F.contains(col(x), F.lit(";")) | (first == 1), col(x)).otherwise(F.trim(F.array_join(kept, ";")))
 
 
+def _n_words(x: Column) -> Column:
+    return F.size(F.filter(F.split(x, r"\s+"), lambda v: v != ""))
+
+
+def semicolon_tail(x: Text) -> Column:
+    """Up to a sentence end before a fragment of fewer than three words; of that, the parts of more than three words."""
+    parts = F.split(col(x), ";")
+    n = F.size(parts)
+    at = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    stops = F.filter(at, lambda i: F.element_at(parts, i).rlike(r"\.\s*$") & (_n_words(F.element_at(parts, i + 1)) < 3))
+    first = F.array_min(stops)
+    kept = F.filter(F.slice(parts, 1, F.coalesce(first, F.lit(1))), lambda w: _n_words(w) > 3)
+    return F.when(first.isNull(), col(x)).otherwise(F.array_join(kept, ";"))
+
+
 def bigrams(words: Column) -> Column:
     """Adjacent pairs of words."""
     n = F.size(words)

@@ -34,8 +34,10 @@ each("str_lemma", lambda: F.array_join(F.transform(T.normal_words("title"), T.le
 each("str_tokens", lambda: T.token_list("abstract"), sql.tokens("abstract"))
 each("str_norm_sentence", lambda: T.normal_sentence("title"), sql.join(sql.tokens("title")))
 each("str_key_full", lambda: T.key_sorted("title"), sql.join(f"list_sort({sql.tokens('title')})"))
+_STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 each("str_copyright", lambda: T.drop_copyright("abstract"),
-     r"CASE WHEN lower(regexp_replace(abstract, '[\[\]]', '', 'g')) = 'no abstract available' THEN '' ELSE trim(regexp_replace(regexp_replace(trim(regexp_extract(abstract, '(?s)^(.*?)(?:©|\(c\)|\(C\)|\z)', 1)), '([C|c])opyright ?\.?', '', 'g'), '\s+', ' ', 'g')) END")
+     r"CASE WHEN lower(regexp_replace(abstract, '[\[\]]', '', 'g')) = 'no abstract available' THEN '' ELSE "
+     + _STRIP.format(x=r"regexp_replace(regexp_replace(" + _STRIP.format(x=r"regexp_extract(abstract, '(?s)^(.*?)(?:©|\(c\)|\(C\)|\z)', 1)") + r", '([C|c])opyright ?\.?', '', 'g'), '\s+', ' ', 'g')") + " END")
 each("str_html", lambda: T.drop_html("abstract"),
      r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(abstract, '<.+?>', '', 'g'), '\(\s*\)', '', 'g'), '\[\s*\]', '', 'g'), '&amp;', '&'), '&gt;', '>'), '&lt;', '<'), '&quot;', '"'), '&nbsp;', ' '), '&[A-Za-z0-9_]+;', ' ', 'g'), '\s+', ' ', 'g')""")
 _BRACES = r"regexp_replace(regexp_replace({x}, '\{{[^A-Za-z0-9_%&#}}]*(?:([A-Za-z0-9])(?:[^A-Za-z0-9_}}][^}}]*)?|([%&#])[^}}]*)\}}', '\1\2', 'g'), '\{{[^}}\n]*\}}', '', 'g')"
