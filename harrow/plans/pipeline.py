@@ -2,7 +2,9 @@
 
 Settings are JSON: ``{"columns": [{"column_filler_class": "<name>", ..., "step_name": "..."}]}``.  Every step is
 validated against the table's columns before anything runs; a step that can't be planned is skipped and the table goes
-on unchanged.  ``isolate`` also writes each step's table, so that one that fails while running is skipped too.
+on unchanged.  With ``isolate`` each step's table is written to the shared folder: a step that fails while running is
+skipped too, and later steps read the table instead of planning all earlier ones again.  Short lists of cheap steps may
+do without.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedupe, entities, search
-from ..session import cut
+from ..session import cut, scratch
 
 Step = Callable[[DataFrame, dict], DataFrame]
 FILLERS: dict[str, Step] = {}
@@ -48,7 +50,7 @@ class Status:
         return spark.createDataFrame(rows, "position int, step string, state string, error string")
 
 
-def run(df: DataFrame, settings: str | dict, isolate: bool = False) -> tuple[DataFrame, Status]:
+def run(df: DataFrame, settings: str | dict, isolate: bool = True) -> tuple[DataFrame, Status]:
     """The enriched table and the states: Finished, or Finished with errors for skipped steps."""
     spec = json.loads(settings) if isinstance(settings, str) else settings
     status = Status()
@@ -60,13 +62,19 @@ def run(df: DataFrame, settings: str | dict, isolate: bool = False) -> tuple[Dat
         try:
             new = FILLERS[s["column_filler_class"]](df, s)
             _ = new.schema  # analysed here, so that wrong columns are found
-            df = cut(new) if isolate else new
+            df = _written(new) if isolate else new
             status.set(name, "Finished")
         except Exception as e:  # a failing step is skipped, whatever failed
             status.set(name, "Finished with errors", f"{type(e).__name__}: {e}"[:300])
     return df, status
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _default(df: DataFrame, labels: DataFrame, key: str, column: str) -> DataFrame:
     joined = df.join(labels.withColumnRenamed(key, "id"), "id", "left")
     return joined.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))

@@ -355,11 +355,11 @@ _SETTINGS = {
 SELECT id, CASE WHEN dataset = 'ruraldocs' THEN 'rural' ELSE dataset END AS source, list_filter(['Cereals', 'Methods'], lambda x: (x = 'Cereals' AND list_has_any(t, ['maize', 'sorghum'])) OR (x = 'Methods' AND list_has_any(t, ['survey', 'trial']))) AS tags FROM w""")
 def pipeline_run(spark, d):
     """Settings with two broken steps: the table goes on without them."""
-    out, _ = pipeline.run(table(spark, d, A), _SETTINGS)
+    out, _ = pipeline.run(table(spark, d, A), _SETTINGS, isolate=False)
     return out.select("id", "source", "tags")
 
 
 @query("SELECT * FROM (VALUES (0, 'JournalNormalizer', 'Finished'), (1, 'NoSuchFiller', 'Finished with errors'), (2, 'ColumnDataRenamer', 'Finished'), (3, 'ColumnFiller', 'Finished'), (5, 'PopulationTagsFinder', 'Finished')) t(position, step, state) WHERE position <> 5")
 def in_status(spark, d):
-    _, status = pipeline.run(table(spark, d, A), {"columns": _SETTINGS["columns"][:4]})
+    _, status = pipeline.run(table(spark, d, A), {"columns": _SETTINGS["columns"][:4]}, isolate=False)
     return status.frame(spark).select("position", "step", "state")
