@@ -71,11 +71,9 @@ def normal_abbreviation(w: Text) -> Column:
 
 def normal_words(x: Text, lower: bool = True) -> Column:
     """Words without digit-led ones, marks and punctuation; abbreviations keep their case and lose a final s."""
-    words = F.filter(
-        F.split(F.regexp_replace(F.coalesce(col(x), F.lit("")), WORD_GAP, " "), " "),
-        lambda w: (w != "") & ~w.rlike("^[0-9]"),
-    )
-    words = F.filter(F.transform(words, unaccent), lambda w: w != "")
+    spaced = F.regexp_replace(F.coalesce(col(x), F.lit("")), WORD_GAP, " ")
+    undigited = F.regexp_replace(spaced, "(^| )[0-9][^ ]*", " ")
+    words = F.filter(F.split(unaccent(undigited), " +"), lambda w: w != "")
     if not lower:
         return words
     return F.transform(words, lambda w: F.when(is_abbreviation(w), normal_abbreviation(w)).otherwise(F.lower(w)))
@@ -89,10 +87,11 @@ def lemma(w: Text) -> Column:
     """Noun plurals folded by detachment rules."""
     w = col(w)
     return (
-        F.when(w.isin("assess", "assesses"), "assess")
+        F.when(~(w.endswith("s") | w.endswith("men")), w)
+        .when(w.isin("assess", "assesses"), "assess")
         .when(w.rlike("(ss|x|z|ch|sh)es$"), F.regexp_replace(w, "es$", ""))
         .when(w.rlike("^.{2,}ies$"), F.regexp_replace(w, "ies$", "y"))
-        .when(w.rlike("men$"), F.regexp_replace(w, "men$", "man"))
+        .when(w.endswith("men"), F.regexp_replace(w, "men$", "man"))
         .when(w.rlike("^.{2,}s$") & ~w.rlike("(ss|us|is)$"), F.regexp_replace(w, "s$", ""))
         .otherwise(w)
     )
@@ -100,11 +99,7 @@ def lemma(w: Text) -> Column:
 
 def token_list(x: Text) -> Column:
     """Index tokens: no stop words, abbreviations kept, other words of two letters or more folded to their lemma."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(
-        normal_words(x),
-        lambda w: (is_abbreviation(w) | (F.length(w) > 1)) & ~F.array_contains(stop, w),
-    )
+    kept = F.filter(normal_words(x), lambda w: ~w.isin(*STOP_WORDS) & ((F.length(w) > 1) | is_abbreviation(w)))
     return F.transform(kept, lambda w: F.when(is_abbreviation(w), w).otherwise(lemma(w)))
 
 
@@ -161,9 +156,9 @@ def drop_braces(x: Text) -> Column:
 def trim_punctuation(x: Text) -> Column:
     """Punctuation and blanks off both ends; of the closing run the first final mark before its last sign stays."""
     y = F.regexp_replace(col(x), r"^[,.;?!\s]+", "")
-    run = F.regexp_extract(y, r"([,.;?!\s]*)$", 1)
-    mark = F.regexp_extract(F.regexp_replace(run, r"(?s).$", ""), r"([.?!])", 1)
-    return F.concat(F.regexp_replace(y, r"[,.;?!\s]+$", ""), mark)
+    run = F.regexp_extract(y, r"([,.;?!\s]*)\z", 1)
+    mark = F.regexp_extract(F.regexp_replace(run, r"(?s).\z", ""), r"([.?!])", 1)
+    return F.concat(F.regexp_replace(y, r"[,.;?!\s]+\z", ""), mark)
 
 
 def keyword_parts(x: Text) -> Column:
@@ -225,16 +220,8 @@ def zs_variant(a: Text, b: Text) -> Column:
     """Equal but for one inner s or z (words of more than five letters)."""
     a, b = col(a), col(b)
     n = F.length(a)
-
-    def at(i: Column) -> Column:
-        here, there = F.substr(a, i, F.lit(1)), F.substr(b, i, F.lit(1))
-        swapped = ((here == "s") & (there == "z")) | ((here == "z") & (there == "s"))
-        before = F.substr(a, F.lit(1), i - 1) == F.substr(b, F.lit(1), i - 1)
-        after = F.substr(a, i + 1, n) == F.substr(b, i + 1, n)
-        return swapped & before & after
-
-    inner = F.when(n > 5, F.sequence(F.lit(3), n - 1)).otherwise(F.array().cast("array<int>"))
-    return (n == F.length(b)) & (n > 5) & F.exists(inner, at)
+    same = (F.translate(a, "z", "s") == F.translate(b, "z", "s")) & (F.substring(a, 1, 2) == F.substring(b, 1, 2))
+    return (n > 5) & (n == F.length(b)) & same & (F.right(a, F.lit(1)) == F.right(b, F.lit(1))) & (F.levenshtein(a, b) == 1)
 
 
 def similar(a: Text, b: Text, threshold: float) -> Column:

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
 def block_keys(df: DataFrame) -> DataFrame:
     """``id, block`` of year and the first two normalised title words; titles without words have none."""
-    words = T.token_list("title")
+    df = df.select("id", "year", T.token_list("title").alias("w"))
+    words = F.col("w")
     key = F.concat_ws("|", F.col("year").cast("string"), F.element_at(words, 1), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
     return df.where((F.size(words) > 0) & F.col("year").isNotNull()).select("id", key.alias("block"))
 
 
 def tfidf(df: DataFrame, column: str) -> DataFrame:
     """``id, term, w``: weights of distinct document terms, idf = ln((1+n)/(1+df))+1, rows of unit length."""
-    words = df.select("id", F.explode(F.split(F.array_join(T.token_list(column), " "), " ")).alias("term")).where("term <> ''")
+    words = df.select("id", F.explode(T.token_list(column)).alias("term"))
     tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = df.select("id").count()
+    tf = cut(tf)
     idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -48,13 +51,17 @@ def candidates(df: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """``id_a, id_b, title_lev, title_cos, abs_cos`` of the pairs that the rule calls duplicates."""
-    pairs = candidates(df)
-    pairs = cosines(pairs, tfidf(df, "title"), "title_cos")
-    pairs = cosines(pairs, tfidf(df, "abstract"), "abs_cos")
     text = df.select("id", F.lower("title").alias("t"), (F.trim(F.coalesce("abstract", F.lit(""))) == "").alias("none"))
-    p = pairs.join(text.toDF("id_a", "ta", "na"), "id_a").join(text.toDF("id_b", "tb", "nb"), "id_b")
-    p = p.withColumn("title_lev", T.similarity("ta", "tb"))
+    p = cosines(candidates(df), tfidf(df, "title"), "title_cos")
+    p = p.join(text.toDF("id_a", "ta", "na"), "id_a").join(text.toDF("id_b", "tb", "nb"), "id_b")
+    p = p.withColumn("title_lev", T.similarity("ta", "tb")).drop("ta", "tb")
     alike = (F.col("title_lev") >= 0.9) | (F.col("title_cos") >= 0.95)
+    # titles decide which abstracts are compared at all
+    p = cut(p.where(alike | (F.col("title_cos") > 0.8)))
+    weights = tfidf(df, "abstract")
+    used = p.select(F.col("id_a").alias("id")).union(p.select("id_b")).distinct()
+    scores = cosines(p.select("id_a", "id_b"), weights.join(used, "id", "left_semi"), "abs_cos")
+    p = p.join(scores, ["id_a", "id_b"])
     rule = (alike & ((F.col("abs_cos") >= 0.85) | F.col("na") | F.col("nb"))) | ((F.col("title_cos") > 0.8) & (F.col("abs_cos") >= 0.94))
     return p.where(rule).select("id_a", "id_b", "title_lev", "title_cos", "abs_cos")
 

@@ -68,6 +68,7 @@ class TextClassifier:
 
 def phrases(words: DataFrame, id_col: str, column: str, least: int = 5, threshold: float = 10.0) -> DataFrame:
     """``a, b, n_ab, score`` of word pairs that stand together more often than their words let expect."""
+    words = cut(words.select(column))
     w = words.select(F.explode(column).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     pairs = words.select(F.explode(T.bigrams(F.col(column))).alias("p")).groupBy("p").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
     size = w.count()

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import scratch
 
 THRESHOLD = 0.85
 
@@ -25,13 +26,20 @@ class Index:
     vocabulary: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, columns: list[str], id_col: str = "id") -> Index:
-        """Index the texts of ``columns`` together; terms never span two of them."""
-        terms = F.array().cast("array<string>")
-        for c in columns:
-            words = T.token_list(c)
-            terms = F.concat(terms, words, T.bigrams(words))
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(terms)).alias("term"))
+    def build(cls, docs: DataFrame, columns: list[str], id_col: str = "id", path: str | None = None) -> Index:
+        """Index the texts of ``columns`` together; terms never span two of them.
+
+        The postings are a written table, by default in the shared folder: searches read it and don't tokenise again.
+        """
+        words = docs.select(F.col(id_col).alias("doc_id"), *(T.token_list(c).alias(f"w{k}") for k, c in enumerate(columns)))
+        terms = [x for k in range(len(columns)) for x in (F.col(f"w{k}"), T.bigrams(F.col(f"w{k}")))]
+        path = path or scratch(docs.sparkSession, "index")
+        words.select("doc_id", F.explode(F.array_distinct(F.concat(*terms))).alias("term")).write.parquet(path)
+        return cls.load(docs.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        rows = spark.read.parquet(path)
         vocabulary = rows.groupBy("term").agg(F.count("*").alias("df"))
         vocabulary = vocabulary.withColumn("prefix", F.substring("term", 1, 3)).withColumn("n_words", F.size(F.split("term", " ")))
         return cls(rows, vocabulary)
@@ -80,11 +88,12 @@ class Index:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query, term, n_terms``: the index keys of each query; an empty query has none."""
-    words = T.token_list("query")
+    queries = queries.select("query").distinct().select("query", T.token_list("query").alias("w"))
+    words = F.col("w")
     terms = F.when(F.size(words) > 2, F.array_distinct(T.bigrams(words))).when(
         F.size(words) > 0, F.array(F.array_join(words, " "))
     ).otherwise(F.array().cast("array<string>"))
-    return queries.select("query").distinct().select("query", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
+    return queries.select("query", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
 
 
 def exclusion(found: DataFrame, wanted: str, unwanted: str) -> DataFrame:

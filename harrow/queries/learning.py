@@ -54,7 +54,7 @@ def ml_mean_vec(spark, d):
 SELECT w, count(DISTINCT sup) AS n_super FROM s GROUP BY w""")
 def ml_subphr_idx(spark, d):
     """Words with the number of distinct two-word expressions they stand in."""
-    p = table(spark, d, A).select(F.explode(T.bigrams(T.token_list("title"))).alias("sup")).distinct()
+    p = table(spark, d, A).select(T.token_list("title").alias("l")).select(F.explode(T.bigrams(F.col("l"))).alias("sup")).distinct()
     return p.select(F.explode(F.split("sup", " ")).alias("w"), "sup").groupBy("w").agg(F.count_distinct("sup").alias("n_super"))
 
 
@@ -90,7 +90,7 @@ def ml_topic_fill(spark, d):
 @query()
 def ml_topic_words(spark, d):
     """Head words of the titles' word pairs by PageRank."""
-    p = table(spark, d, A).select(F.explode(T.bigrams(T.token_list("title"))).alias("p")).groupBy("p").agg(F.count("*").alias("w")).where("w >= 3")
+    p = table(spark, d, A).select(T.token_list("title").alias("l")).select(F.explode(T.bigrams(F.col("l"))).alias("p")).groupBy("p").agg(F.count("*").alias("w")).where("w >= 3")
     edges = p.select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p", F.lit(" "), F.lit(2)).alias("b"), F.col("w").cast("double").alias("w"))
     return models.pagerank(edges, rounds=10).orderBy(F.desc("rank"), "node").limit(50).select("node", F.round("rank", 6).alias("rank"))
 

@@ -9,11 +9,14 @@ from . import query, sql
 A = "articles_df"
 
 
-def each(name, expression, statement, source=A, key="id"):
+def each(name, expression, statement, source=A, key="id", words=None):
     """Register a query that gives ``key`` and ``out`` for each row of a table."""
 
     def run(spark, d):
-        return table(spark, d, source).select(key, expression().alias("out"))
+        rows = table(spark, d, source)
+        if words is not None:  # tokenised once, not once in every lambda
+            rows = rows.select(key, words().alias("words"))
+        return rows.select(key, expression().alias("out"))
 
     query(f"SELECT {key}, {statement} AS out FROM {source}", name)(run)
 
@@ -88,10 +91,10 @@ _SHORT = r"(regexp_matches(w, '^[\p{L}\p{N}_ -]*$') AND length(list_filter(regex
 each("str_semi_head", lambda: T.semicolon_head("keywords"),
      rf"""(WITH p AS (SELECT string_split(keywords, ';') AS l), q AS (SELECT l, list_min(list_filter(list_transform(range(1, length(l) + 1), lambda i: CASE WHEN NOT (list_transform(l, lambda w: {_SHORT}))[i] THEN i END), lambda i: i IS NOT NULL)) AS f FROM p)
  SELECT CASE WHEN NOT contains(keywords, ';') OR f = 1 THEN keywords ELSE trim(coalesce(array_to_string(CASE WHEN f IS NULL THEN [] ELSE l[f:] END, ';'), '')) END FROM q)""")
-each("ngram_win", lambda: T.bigrams(T.token_list("title")),
-     f"(WITH p AS (SELECT {sql.tokens('title')} AS l) SELECT list_transform(range(1, length(l)), lambda i: l[i] || ' ' || l[i + 1]) FROM p)")
-each("win_text", lambda: T.windows(F.split(T.squeeze("text"), " "), 256, 128),
-     f"(WITH p AS (SELECT string_split({sql.trimmed('text')}, ' ') AS l) SELECT list_transform(range(0, greatest(length(l), 1), 128), lambda i: array_to_string(l[i + 1:i + 256], ' ')) FROM p)", "documents", "doc_id")
+each("ngram_win", lambda: T.bigrams(F.col("words")),
+     f"(WITH p AS (SELECT {sql.tokens('title')} AS l) SELECT list_transform(range(1, length(l)), lambda i: l[i] || ' ' || l[i + 1]) FROM p)", words=lambda: T.token_list("title"))
+each("win_text", lambda: T.windows(F.col("words"), 256, 128),
+     f"(WITH p AS (SELECT string_split({sql.trimmed('text')}, ' ') AS l) SELECT list_transform(range(0, greatest(length(l), 1), 128), lambda i: array_to_string(l[i + 1:i + 256], ' ')) FROM p)", "documents", "doc_id", words=lambda: F.split(T.squeeze("text"), " "))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest({sql.tokens('title')}) AS w FROM articles_df), v AS (SELECT w FROM w WHERE length(w) > 5 AND regexp_matches(w, '^[a-z]+$'))
