@@ -36,18 +36,22 @@ def _search(tree: BKTree, forms: Callable[[str], list[str]], letters: int) -> Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(0).to_pylist()
-            owners, queries, best = [], [], [(10**6, 0)] * len(values)
+            best, open_ = [(10**6, 0)] * len(values), {}
             for k, v in enumerate(values):
                 own = forms(v)
                 hit = [(0, r) for f in own if f in tree.exact for r in tree.values[tree.exact[f]]]
                 if hit:
                     best[k] = min(hit)
                 else:
-                    owners += [k] * len(own)
-                    queries += own
-            for k, found in zip(owners, tree.search(queries, lambda q: radius(q, letters))):
-                if found:
-                    best[k] = min(best[k], min(found))
+                    open_[k] = own
+            # all entries within a smaller radius are nearer than any found later, so growing radii give the same winner
+            for most in (1, 2, 4):
+                queries = sorted({f for own in open_.values() for f in own if radius(f, letters) > most // 2})
+                near = {q: min(f) for q, f in zip(queries, tree.search(queries, lambda q: min(most, radius(q, letters)))) if f}
+                for k in list(open_):
+                    if hit := [near[f] for f in open_[k] if f in near]:
+                        best[k] = min(hit)
+                        del open_[k]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([d for d, _ in best], pa.int32()), pa.array([r for _, r in best], pa.int32())],
                 names=["value", "distance", "ref_id"],
