@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: English stop words with the units that count as such
 STOP_WORDS = (
@@ -19,6 +20,8 @@ STOP_WORDS = (
     "own same so than too very s t can will just don should now"
 ).split()
 
+_STOP = set(STOP_WORDS)
+LONGEST_PARTITIONED = 20
 WORD_GAP = r"[^\p{L}\p{N}]+"
 Text = Column | str
 
@@ -304,6 +307,68 @@ def semicolon_tail(x: Text) -> Column:
     return F.when(first.isNull(), col(x)).otherwise(F.array_join(kept, ";"))
 
 
+def english_parts(x: Text) -> Column:
+    """The parts between semicolons that hold an English function word; the whole text if none does."""
+    parts = F.split(col(x), ";")
+    words = lambda w: F.split(F.regexp_replace(F.lower(w), "[^a-z]+", " "), " ")
+    english = F.filter(parts, lambda w: F.exists(words(w), lambda v: v.isin("the", "of", "and", "in", "for", "with", "on", "to", "under")))
+    return F.when(F.size(english) > 0, F.array_join(english, ";")).otherwise(col(x))
+
+
+def abbreviation_runs(x: Text) -> Column:
+    """Runs of two or more adjacent words in capitals."""
+    return F.regexp_extract_all(col(x), F.lit(r"\b[A-Z]{2,}(?: [A-Z]{2,})+\b"), F.lit(0))
+
+
+def _unbracket(text: str | None) -> str | None:
+    """Drop or open the last square brackets until nothing changes."""
+    if text is None:
+        return None
+    words = lambda t: [w for w in re.findall(r"\w+", t) if len(w) > 1 and w.lower() not in _STOP and not w[0].isdigit()]
+    while found := re.findall(r"\[.*?\]", text):
+        last = found[-1]
+        if len(words(text.replace(last, ""))) < 2:
+            new = text.replace("[", " ").replace("]", " ").strip()
+        elif len(words(text.split(last)[1])) > 2:
+            new = text
+        else:
+            new = text.replace(last, "").strip()
+        if new == text:
+            break
+        text = new
+    return text
+
+
+@F.pandas_udf(StringType())
+def drop_last_brackets(x):  # pandas Series
+    """Remarks in square brackets at the end of a text; a text that is all in brackets loses only the marks."""
+    return x.map(_unbracket)
+
+
+def _chunks(text: str | None) -> list[list[str]] | None:
+    if text is None:
+        return None
+    words = text.split()
+    if len(words) > LONGEST_PARTITIONED:
+        return None
+    out: list[list[str]] = [[]] if not words else []
+    todo: list[tuple[int, list[str]]] = [(0, [])] if words else []
+    while todo:
+        at, parts = todo.pop()
+        if at == len(words):
+            out.append(parts)
+        else:
+            todo += [(at + n, [*parts, " ".join(words[at : at + n])]) for n in (1, 2, 3) if at + n <= len(words)]
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def partitions(x):  # pandas Series
+    """All ways to cut an expression into pieces of at most three words; null above ``LONGEST_PARTITIONED`` words, where
+    they would be millions."""
+    return x.map(_chunks)
+
+
 def bigrams(words: Column) -> Column:
     """Adjacent pairs of words."""
     n = F.size(words)

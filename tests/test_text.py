@@ -62,3 +62,20 @@ def test_arrays(spark):
     assert one(spark, "a b c", lambda x: T.windows(F.split(x, " "), 2, 1)) == ["a b", "b c", "c"]
     assert sorted(one(spark, "a b c", lambda x: T.sub_phrases(x, 2))) == ["a", "a b", "b", "b c", "c"]
     assert one(spark, None, T.normal_words) == []
+
+
+@pytest.mark.parametrize(
+    "value,wanted",
+    [("Soil carbon of farms [In German]", "Soil carbon of farms"), ("[Soil carbon]", "Soil carbon"), ("Soil [a] carbon under maize and rice plots", "Soil [a] carbon under maize and rice plots"), (None, None), ("", "")],
+)
+def test_last_brackets(spark, value, wanted):
+    df = spark.createDataFrame([(value,)], "x string")
+    assert df.select(T.drop_last_brackets("x").alias("o")).first()["o"] == wanted
+
+
+def test_partitions(spark):
+    assert one(spark, "a b c", T.partitions) == [["a", "b", "c"], ["a", "b c"], ["a b", "c"], ["a b c"]]
+    assert one(spark, "", T.partitions) == [[]]
+    assert one(spark, "w " * 21, T.partitions) is None
+    assert one(spark, "soil; the water of x; sol", T.english_parts) == " the water of x"
+    assert one(spark, "the NA ABC of XY", T.abbreviation_runs) == ["NA ABC"]
