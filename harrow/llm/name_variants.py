@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, spread
 from .canonical import parts
-from .name_forms import Vocabulary, organisation_parts, plain
+from .name_forms import Vocabulary, near_stop, organisation_parts, plain
 
 TYPO = 0.3  # likelihood of an edit against the odds of the words' attestations
 RARE = 2.5
@@ -344,7 +344,7 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
                 return word
             own = vocabulary.count.pop(word, 0)
             vocabulary._memo.pop(word, None)
-            least = 2 * own if dotted else max(10 * own, OWN + 1)
+            least = 2 * own if dotted else max(3 * own, OWN + 1)
             long = [w for w in vocabulary.expand(word, 50) if vocabulary.count.get(w, 0) >= least and w != word]
             if own:
                 vocabulary.count[word] = own
@@ -357,6 +357,10 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
                     near.setdefault(t, []).append(w)
         memo: dict[str, str] = {}
 
+        def slip(word: str) -> bool:
+            """A mistyped "of", "for", ..."""
+            return common.get(word, 1) <= OWN and near_stop(word)
+
         def correct(word: str) -> str:
             """The common word this one is most likely a mistyping of, or itself."""
             if len(word) < 3:
@@ -374,7 +378,8 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
         for b in batches:
             rows = []
             for value, mentions, found, acronym in zip(*(c.to_pylist() for c in b.columns)):
-                found = [[correct(expand(w, value)) for w in p] for p in found]
+                found = [[correct(expand(w, value)) for w in p if not slip(w)] for p in found]
+                found = [p for p in found if p] or [[value.lower()]]
                 whole = " ".join(w for p in found for w in p)
                 sets = [" ".join(sorted({w for p in found[: len(found) - k] for w in p})) for k in range(min(3, len(found)))]
                 alone = found[0][0] if len(found[0]) == 1 else None
