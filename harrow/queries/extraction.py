@@ -240,3 +240,43 @@ def in_append_log(spark, d):
 @query("SELECT event_type AS step, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def ag_min_batch(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"SELECT id, list_filter(regexp_split_to_array(lower(title), '[^A-Za-z0-9_]+'), lambda w: w <> '' AND NOT list_contains({sql.STOP}, w)) AS tokens FROM articles_df WHERE title IS NOT NULL")
+def snk_elastic_create(spark, d):
+    """The analyser of the search index: words, lower case, stop words out."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+
+    rows = table(spark, d, A).where("title is not null").select("id", "title")
+    stages = [
+        RegexTokenizer(inputCol="title", outputCol="w", pattern="[^A-Za-z0-9_]+"),
+        StopWordsRemover(inputCol="w", outputCol="tokens", stopWords=list(T.STOP_WORDS), caseSensitive=True),
+    ]
+    return Pipeline(stages=stages).fit(rows).transform(rows).select("id", "tokens")
+
+
+@query("SELECT event_id::VARCHAR AS _id, event_type FROM events")
+def snk_elastic_big(spark, d):
+    """Documents for a bulk index, part by part."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    source, target, point = (scratch(spark, x) for x in ("source", "target", "point"))
+    e.repartition(3).write.parquet(source)
+    docs = incremental.run_available(spark, source, e.schema, lambda s: files.documents(s, ["event_id", "event_type"], "event_id"), target, point)
+    return docs.select("_id", F.get_json_object("doc", "$.event_type").alias("event_type"))
+
+
+@query()
+def ml_outcome_select(spark, d):
+    """Scores of two classifiers on the dev split; the better one is marked."""
+    s = table(spark, d, "study_type_df").where("abstract is not null and exact_study_type is not null")
+    rows = s.select("id", "split_name", F.concat_ws(". ", "title", "abstract").alias("text"), F.col("exact_study_type").alias("label"))
+    scored = []
+    for features in (1024, 8192):
+        model = models.TextClassifier(features=features).fit(rows.where("split_name = 'train'"))
+        dev = rows.where("split_name = 'dev'")
+        got = model.predict(dev.select("id", "text")).join(dev.select("id", "label"), "id")
+        scored.append(got.agg(F.lit(features).alias("features"), F.round(F.avg((F.col("predicted") == F.col("label")).cast("double")), 4).alias("accuracy")))
+    both = scored[0].unionAll(scored[1])  # a row per model
+    best = F.row_number().over(Window.orderBy(F.desc("accuracy"), "features")) == 1
+    return both.withColumn("chosen", best)
