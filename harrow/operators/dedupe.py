@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, spread_scan
 
 
 def block_keys(df: DataFrame) -> DataFrame:
     """``id, block`` of year and the first two normalised title words; titles without words have none."""
-    df = df.select("id", "year", T.token_list("title").alias("w"))
+    df = spread_scan(df.select("id", "year", "title")).select("id", "year", T.token_list("title").alias("w"))
     words = F.col("w")
     key = F.concat_ws("|", F.col("year").cast("string"), F.element_at(words, 1), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
     return df.where((F.size(words) > 0) & F.col("year").isNotNull()).select("id", key.alias("block"))
@@ -19,7 +19,7 @@ def block_keys(df: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, column: str) -> DataFrame:
     """``id, term, w``: weights of distinct document terms, idf = ln((1+n)/(1+df))+1, rows of unit length."""
-    words = df.select("id", F.explode(T.token_list(column)).alias("term"))
+    words = spread_scan(df.select("id", column)).select("id", F.explode(T.token_list(column)).alias("term"))
     tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = df.select("id").count()
     tf = cut(tf)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread_scan
 
 # general terms before, special terms after; or the other way round
 LIST = r"((?:[a-z-]+ ){0,2}[a-z-]+(?:,? (?:and|or) (?:[a-z-]+ )?[a-z-]+)?)"
@@ -15,6 +16,7 @@ SPECIAL_FIRST = LIST + r",? and other ([a-z-]+)"
 
 def hearst(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id_col, general, special`` of every pattern found."""
+    docs = spread_scan(docs.select(id_col, text))
     low = F.lower(F.regexp_replace(text, r"\s+", " "))
     first = docs.select(id_col, F.explode(F.regexp_extract_all(low, F.lit(GENERAL_FIRST), F.lit(0))).alias("m"))
     first = first.select(id_col, F.regexp_extract("m", GENERAL_FIRST, 1).alias("general"), F.regexp_extract("m", GENERAL_FIRST, 2).alias("l"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import scratch
+from ..session import scratch, spread_scan
 
 THRESHOLD = 0.85
 
@@ -31,7 +31,7 @@ class Index:
 
         The postings are a written table, by default in the shared folder: searches read it and don't tokenise again.
         """
-        words = docs.select(F.col(id_col).alias("doc_id"), *(T.token_list(c).alias(f"w{k}") for k, c in enumerate(columns)))
+        words = spread_scan(docs.select(id_col, *(c for c in columns if c != id_col))).select(F.col(id_col).alias("doc_id"), *(T.token_list(c).alias(f"w{k}") for k, c in enumerate(columns)))
         terms = [x for k in range(len(columns)) for x in (F.col(f"w{k}"), T.bigrams(F.col(f"w{k}")))]
         path = path or scratch(docs.sparkSession, "index")
         words.select("doc_id", F.explode(F.array_distinct(F.concat(*terms))).alias("term")).write.parquet(path)
@@ -136,7 +136,7 @@ def population_tags(df: DataFrame, text: str, id_col: str = "id", distance: int
     def positions(which: list[str]) -> Column:
         return F.filter(F.transform("w", lambda w, i: F.when(w.isin(*which), i)), lambda i: i.isNotNull())
 
-    rows = df.select(id_col, words.alias("w")).withColumn("text", F.array_join("w", " "))
+    rows = spread_scan(df.select(id_col, text)).select(id_col, words.alias("w")).withColumn("text", F.array_join("w", " "))
     small, farm = positions(["small", "subsistence", "marginal"]), positions(["farm", "farms", "farmer", "farmers", "plot", "plots"])
     near = F.exists(small, lambda i: F.exists(farm, lambda j: F.abs(i - j) <= distance))
     named = F.col("text").rlike("(^| )small ?holders?( |$)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedupe, evaluation, merging, models
 from ..plans import pipeline
-from ..session import scratch, table
+from ..session import scratch, spread_scan, table
 from ..sources import files
 from ..streaming import incremental
 from . import query, sql
@@ -20,7 +20,7 @@ A = "articles_df"
 p AS (SELECT p, count(*) AS n_ab FROM (SELECT unnest(list_transform(range(1, length(l)), lambda i: l[i] || ' ' || l[i + 1])) AS p FROM w) GROUP BY p HAVING count(*) >= 5)
 SELECT a.w AS a, b.w AS b, n_ab, round((n_ab - 5) * (SELECT count(*) FROM u) / (a.n * b.n), 6) AS score FROM p JOIN u a ON a.w = split_part(p, ' ', 1) JOIN u b ON b.w = split_part(p, ' ', 2) WHERE (n_ab - 5) * (SELECT count(*) FROM u) / (a.n * b.n) > 10""")
 def ml_phrases(spark, d):
-    words = table(spark, d, A).select("id", T.token_list("abstract").alias("l"))
+    words = spread_scan(table(spark, d, A).select("id", "abstract")).select("id", T.token_list("abstract").alias("l"))
     return models.phrases(words, "id", "l").withColumn("score", F.round("score", 6))
 
 

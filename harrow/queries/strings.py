@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import table
+from ..session import spread_scan, table
 from . import query, sql
 
 A = "articles_df"
@@ -13,7 +13,7 @@ def each(name, expression, statement, source=A, key="id", words=None):
     """Register a query that gives ``key`` and ``out`` for each row of a table."""
 
     def run(spark, d):
-        rows = table(spark, d, source)
+        rows = spread_scan(table(spark, d, source))
         if words is not None:  # tokenised once, not once in every lambda
             rows = rows.select(key, words().alias("words"))
         return rows.select(key, expression().alias("out"))
