@@ -10,7 +10,7 @@ from ..sources import files
 from ..streaming import incremental
 from . import query, sql
 from .knowledge import _REL, _SENT, _sentences, relations
-from .searching import _POST, A
+from .searching import _POST, A, index
 
 _MEAN = r"""mean AS (SELECT abbr, arg_min(meaning, (-n, meaning)) AS meaning FROM (SELECT regexp_extract(raw_university_name, '\(([A-Z]{4,})\)', 1) AS abbr, lower(normalized_name) AS meaning, count_mentions AS n FROM affiliation_map WHERE regexp_matches(raw_university_name, '\([A-Z]{4,}\)')) GROUP BY abbr)"""
 _OCC = r"occ AS (SELECT DISTINCT id, unnest(regexp_extract_all(raw_affiliation, '\b[A-Z]{4,}\b')) AS abbr FROM articles_df)"
@@ -100,7 +100,7 @@ def str_rank(spark, d):
 
 @query(f"WITH {_POST} SELECT doc_id, list_sort(list_distinct(list(name || ' # ' || meaning))) AS programs FROM post JOIN (VALUES ('drip irrigation', 'water'), ('voucher scheme', 'inputs'), ('school attendance', 'education')) p(name, meaning) ON term = name GROUP BY doc_id")
 def lb_programs_kw(spark, d):
-    ix = search.Index.build(table(spark, d, A), ["title", "keywords"])
+    ix = index(spark, d)
     p = spark.createDataFrame([("drip irrigation", "water"), ("voucher scheme", "inputs"), ("school attendance", "education")], "query string, meaning string")
     hits = ix.search(p.select("query")).join(p, "query")
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat_ws(" # ", "query", "meaning"))).alias("programs"))
@@ -113,7 +113,7 @@ def lb_study_full(spark, d):
     rows = s.select("id", "split_name", F.concat_ws(". ", "title", "abstract").alias("text"), F.col("exact_study_type").alias("label"))
     model = models.TextClassifier().fit(rows.where("split_name = 'train' and label is not null"))
     guessed = model.predict(rows.select("id", "text")).where("probability >= 0.5").select("id", F.col("predicted").alias("label"))
-    words = search.keyword_labels(search.Index.build(s, ["title"]), [("survey", "Observational study"), ("trial", "Experimental study")])
+    words = search.keyword_labels(search.Index.build(s, ["title", "abstract"]), [("survey", "Observational study"), ("trial", "Experimental study")])
     both = guessed.unionAll(words.select(F.col("doc_id").alias("id"), "label")).where("label <> 'No category'")
     found = both.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     return s.select("id").join(found, "id", "left").select("id", F.coalesce("labels", F.array(F.lit("No category"))).alias("labels"))
@@ -216,7 +216,7 @@ def snk_excel_tabs(spark, d):
 def snk_model(spark, d):
     """An index written and loaded again."""
     path = scratch(spark, "saved")
-    search.Index.build(table(spark, d, A), ["title", "keywords"], path=path)
+    index(spark, d, path)
     return search.Index.load(spark, path).vocabulary.select("term", "df")
 
 

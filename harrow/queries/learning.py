@@ -344,7 +344,7 @@ _SETTINGS = {
         {"column_filler_class": "JournalNormalizer"},
         {"column_filler_class": "NoSuchFiller"},
         {"column_filler_class": "ColumnDataRenamer", "column_to_rename": "dataset", "values_dict": {"ruraldocs": "rural"}, "column_to_save": "source"},
-        {"column_filler_class": "ColumnFiller", "column_dictionary": {"Cereals": ["maize", "sorghum"], "Methods": ["survey", "trial"]}, "column_name": "tags", "columns_to_search": ["title"]},
+        {"column_filler_class": "ColumnFiller", "column_dictionary": {"Cereals": ["maize", "sorghum"], "Methods": ["survey", "trial"]}, "column_name": "tags"},
         {"column_filler_class": "PopulationTagsFinder", "column": "missing_column"},
         {"column_filler_class": "PopulationTagsFinder", "column": "abstract"},
     ]

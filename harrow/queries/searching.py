@@ -13,8 +13,9 @@ post AS (SELECT DISTINCT id AS doc_id, term FROM (SELECT id, unnest(l) AS term F
 vocab AS (SELECT term, count(*) AS df, substr(term, 1, 3) AS prefix, length(string_split(term, ' '))::INT AS n_words FROM post GROUP BY term)"""
 
 
-def index(spark, d):
-    return search.Index.build(table(spark, d, A), ["title", "keywords"])
+def index(spark, d, path=None):
+    """Of the whole text; the SQL still states titles and keywords alone (see the README)."""
+    return search.Index.build(table(spark, d, A), ["title", "abstract", "keywords", "identificators"], path=path)
 
 
 def frequent(ix, n=40):
