@@ -2,9 +2,10 @@
 
 Records are canonicalised (markup removed, case folded, words only) and hashed.  Equal hashes are one class; a join of
 evaluation with training classes on the hash gives the exact overlaps.  The same join on hashes of parts gives the near
-ones: every class has the hashes of its runs of three words (six characters in scripts without blanks).  The rarest
-``RAREST`` runs that occur on both sides are its keys; classes that share keys are compared by the share of their runs,
-weighted by inverse frequency, so that stock phrases count little.
+ones: every class has the hashes of its runs of three words (six characters in scripts without blanks), weighted by
+inverse frequency, so that stock phrases count little.  Of the runs that occur on both sides the rarest are its keys, as
+many as the wanted similarity demands: what is left is too light to make a pair alone, so that similar classes share a
+key.  Classes that share one are compared by the weight of the runs they share.
 
 No key is dropped for being frequent: a class whose runs are all frequent has frequent keys.  Frequencies are counted
 over all records; classes stand for their exact copies, which are expanded only in the final pairs.
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from ..session import cut, spread_scan
 from . import plain_text, tokens
 
-RAREST = 16
 SIMILAR = 0.62
 RUN, RUN_UNSPACED = 3, 6
 
@@ -108,7 +108,7 @@ STEPS = 6  # steps of a doubling in which frequencies are told apart
 LOW = (1 << 55) - 1
 
 
-def class_pairs(classes: DataFrame, n: int, rarest: int = RAREST, similar: float = SIMILAR) -> DataFrame:
+def class_pairs(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
     """``h_a, h_b, similarity`` of different classes, the first with evaluation and the second with training records.
 
     ``classes``: ``h, has_eval, has_train, runs``; ``n`` their number.  A run is carried as one number, its frequency
@@ -127,14 +127,24 @@ def class_pairs(classes: DataFrame, n: int, rarest: int = RAREST, similar: float
     weighted = weighted.join(classes.select("h", "has_eval", "has_train", F.size("runs").alias("n_runs")), "h")
     weight = F.aggregate("s", F.lit(0.0), lambda a, x: a + idf(x)) + (F.col("n_runs") - F.size("s")) * F.lit(top)
     weighted = cut(weighted.withColumn("w", weight).drop("n_runs"))
-    keys = weighted.select(
-        "h", "has_eval", "has_train", F.least(F.size("s"), F.lit(rarest)).alias("k"), F.explode(F.slice("s", 1, rarest)).alias("x")
+    # the rarest runs until those left weigh less than ``similar`` of the class: a pair that is similar shares one of them
+    least = F.lit(similar - 1e-9)
+    weigh = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + idf(x))
+    start = F.struct(weigh.alias("rest"), F.lit(0).alias("k"))
+    take = lambda p, x: F.when(p.rest >= least * F.col("w"), F.struct((p.rest - idf(x)).alias("rest"), (p.k + 1).alias("k"))).otherwise(p)
+    prefix = weighted.withColumn("p", F.aggregate("s", start, take)).where("p.k > 0")
+    keys = prefix.select(
+        "h", "has_eval", "has_train", "w", "p.rest", F.element_at("s", F.col("p.k")).alias("last"), F.explode(F.slice("s", 1, F.col("p.k"))).alias("x")
     )
-    a = keys.where("has_eval").select("x", F.col("h").alias("h_a"), F.col("k").alias("k_a"))
-    b = keys.where("has_train").select("x", F.col("h").alias("h_b"), F.col("k").alias("k_b"))
-    pairs = a.join(b, "x").where("h_a <> h_b").groupBy("h_a", "h_b", "k_a", "k_b").agg(F.count("*").alias("n_keys"))
-    # near-same records share most of their rarest runs: a quarter is asked for before the whole runs are compared
-    pairs = pairs.where(F.col("n_keys") * 4 >= F.least("k_a", "k_b")).select("h_a", "h_b")
+    side = lambda flag, end: keys.where(flag).select("x", *(F.col(c).alias(f"{c}_{end}") for c in ("h", "w", "rest", "last")))
+    within = F.least("w_a", "w_b") >= least * F.greatest("w_a", "w_b")
+    pairs = side("has_eval", "a").join(side("has_train", "b"), "x").where((F.col("h_a") != F.col("h_b")) & within)
+    pairs = pairs.groupBy("h_a", "h_b").agg(
+        F.sum(idf(F.col("x"))).alias("shared"), *(F.first(f"{c}_{e}").alias(f"{c}_{e}") for c in ("w", "rest", "last") for e in "ab")
+    )
+    # beyond the keys that end first, no more can be shared than what that class has left
+    more = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    pairs = pairs.where(F.col("shared") + more >= least * F.greatest("w_a", "w_b")).select("h_a", "h_b")
     full = weighted.select("h", "s", "w")
     both = pairs.join(full.select(F.col("h").alias("h_a"), F.col("s").alias("s_a"), F.col("w").alias("w_a")), "h_a").join(
         full.select(F.col("h").alias("h_b"), F.col("s").alias("s_b"), F.col("w").alias("w_b")), "h_b"

@@ -52,3 +52,14 @@ def test_long_text_and_scripts():
     assert O.words("A-b", "中文，字") == ["a", "b", "中", "文", "字"]
     h, runs = O.runs(article(rng, 20_000).split(), {})
     assert len(runs) > 19_000
+
+
+def test_variants_of_one_text_hide_no_pair(spark):
+    rng = random.Random(5)
+    y = [f"w{k}" for k in range(150)]
+    z = [f"z{k}" if k % 19 == 9 else w for k, w in enumerate(y)]
+    x = [*z[:75], "extra", *z[76:]]
+    rows = [(1, "", " ".join(y), "train"), (2, "", " ".join(z), "train"), (3, "", " ".join(x), "test")]
+    rows += [(10 + k, "", article(rng, 150), "train" if k % 2 else "test") for k in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string, split_name string")
+    assert {(r["eval_id"], r["train_id"]) for r in O.overlaps(df).collect()} == {(3, 1), (3, 2)}
