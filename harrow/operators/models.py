@@ -78,6 +78,39 @@ def phrases(words: DataFrame, id_col: str, column: str, least: int = 5, threshol
     return j.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
+def mutual_neighbours(rows: DataFrame, k: int, least: float, id_col: str = "vec_id", vector: str = "embedding", group: str = "label") -> DataFrame:
+    """``a, b``: rows of one group that are each among the other's k of highest cosine, at least ``least``.
+
+    All rows are compared with all of their group, block by block; a block pair is a task's work and leaves k a row.
+    """
+    rows = cut(rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(group).alias("g")))
+    most = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = -(-most // BLOCK) or 1
+    own, every = F.pmod(F.xxhash64("id"), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("g", own.cast("int").alias("i"), every.alias("j"), "id", "v")
+    right = rows.select("g", every.alias("i"), own.cast("int").alias("j"), "id", "v")
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = {"a": [], "b": [], "s": []}
+        if q.num_rows and r.num_rows:
+            a, b = (np.array(t.column("id").to_pylist(), np.int64) for t in (q, r))
+            x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (q, r))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+            order = np.argsort(b, kind="stable")
+            b, sim = b[order], (x @ y.T)[:, order]
+            sim[a[:, None] == b[None, :]] = -2
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(sim, top, 1)
+            keep = near >= least
+            out = {"a": np.repeat(a, top.shape[1])[keep.ravel()], "b": b[top][keep], "s": near[keep]}
+        return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "s": pa.array(out["s"], pa.float64())})
+
+    near = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(run, "a bigint, b bigint, s double")
+    r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    near = cut(near.withColumn("r", r).where(F.col("r") <= k).select("a", "b"))
+    return near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b")
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, id, similarity``: the k rows of highest cosine for each query, itself excluded.
 

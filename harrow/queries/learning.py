@@ -157,10 +157,18 @@ def ml_reassign(spark, d):
 
 @query()
 def ml_cluster(spark, d):
-    """Groups of vectors linked by nearness of the stated queries (every id divisible by 20) to all rows."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = models.nearest(e.where("vec_id % 20 = 0"), e, 3)
-    return merging.components(near.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    """``node, group`` of every vector: classes of three or more, linked by mutual neighbours of one label and named after
+    the member nearest to their mean; the others are their own class."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    c = merging.components(models.mutual_neighbours(e, 3, 0.5))
+    c = c.join(c.groupBy("group").agg(F.count("*").alias("n")).where("n >= 3").select("group"), "group")
+    x = c.join(e.select(F.col("vec_id").alias("node"), F.posexplode("embedding").alias("p", "x")), "node").withColumn("x", F.col("x").cast("double"))
+    m = x.groupBy("group", "p").agg(F.avg("x").alias("m"))
+    near = x.join(m, ["group", "p"]).groupBy("group", "node").agg((F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("s"))
+    r = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("s"), "node"))
+    named = near.withColumn("r", r).where("r = 1").select("group", F.col("node").alias("named"))
+    found = c.join(named, "group").select("node", "named")
+    return e.select(F.col("vec_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("named", "node").alias("group"))
 
 
 @query(r"SELECT id, array_to_string(l[1:64], ' ') AS head, array_to_string(l[greatest(length(l) - 63, 1):], ' ') AS tail FROM (SELECT id, string_split(regexp_replace(abstract, '\s+', ' ', 'g'), ' ') AS l FROM articles_df WHERE abstract IS NOT NULL)")
