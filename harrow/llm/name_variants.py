@@ -328,7 +328,11 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
     schema = "value string, mentions bigint, parts array<array<string>>, acronym string"
     spelled = cut(spread(_spellings(df, column)).mapInArrow(first_pass, schema))
     n = spelled.count()
-    words = spelled.select(F.explode(F.array_distinct(F.flatten("parts"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = spelled.select("value", F.explode(F.array_distinct(F.flatten("parts"))).alias("word"))
+    words = cut(each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    # every word is judged by its own count; the list below only holds the words others may stand for
+    counts = each.join(words, "word").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    counted = spelled.join(counts, "value", "left")
     # at most (words a spelling) / COMMON words
     common = {r["word"]: r["n"] for r in words.where(F.col("n") >= F.lit(max(2.0, COMMON * n))).collect()}
 
@@ -342,12 +346,12 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
             dotted = re.search(rf"\b{re.escape(word)}\.", plain(value)) is not None
             if not (dotted or len(word) <= 4) or len(word) < 3:
                 return word
-            own = vocabulary.count.pop(word, 0)
+            own, listed = count(word), vocabulary.count.pop(word, 0)
             vocabulary._memo.pop(word, None)
             least = 2 * own if dotted else max(3 * own, OWN + 1)
             long = [w for w in vocabulary.expand(word, 50) if vocabulary.count.get(w, 0) >= least and w != word]
-            if own:
-                vocabulary.count[word] = own
+            if listed:
+                vocabulary.count[word] = listed
             return max(long, key=lambda w: vocabulary.count[w]) if long else word
 
         near: dict[str, list[str]] = {}
@@ -356,17 +360,21 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
                 for t in _deletions(w, 1 if len(w) < 8 else 2):
                     near.setdefault(t, []).append(w)
         memo: dict[str, str] = {}
+        held: dict[str, int] = {}  # spellings with each word of the value in hand
+
+        def count(word: str) -> int:
+            return common.get(word) or held.get(word, 1)
 
         def slip(word: str) -> bool:
             """A mistyped "of", "for", ..."""
-            return common.get(word, 1) <= OWN and near_stop(word)
+            return count(word) <= OWN and near_stop(word)
 
         def correct(word: str) -> str:
             """The common word this one is most likely a mistyping of, or itself."""
             if len(word) < 3:
                 return word
             if word not in memo:
-                own, best = math.log(common.get(word, 1)), (0.0, word)
+                own, best = math.log(count(word)), (0.0, word)
                 most = 1 if len(word) < 8 else 2
                 for w in {w for t in _deletions(word, most) for w in near.get(t, ())}:
                     odds = math.log(common[w]) - own
@@ -377,14 +385,16 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
 
         for b in batches:
             rows = []
-            for value, mentions, found, acronym in zip(*(c.to_pylist() for c in b.columns)):
+            for value, mentions, found, acronym, counts in zip(*(c.to_pylist() for c in b.columns)):
+                held.clear()
+                held.update(counts or ())
                 found = [[correct(expand(w, value)) for w in p if not slip(w)] for p in found]
                 found = [p for p in found if p] or [[value.lower()]]
                 whole = " ".join(w for p in found for w in p)
                 sets = [" ".join(sorted({w for p in found[: len(found) - k] for w in p})) for k in range(min(3, len(found)))]
                 alone = found[0][0] if len(found[0]) == 1 else None
                 # a first part with a word of its own names the organisation without its places
-                own = len(found[0]) > 1 and min(common.get(w, 1) for w in found[0]) <= OWN
+                own = len(found[0]) > 1 and min(map(count, found[0])) <= OWN
                 rows.append((value, mentions, acronym, whole, len(found), sets, alone, own))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -393,7 +403,7 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
             )
 
     schema = "value string, mentions bigint, acronym string, form string, n_parts int, sets array<string>, alone string, own boolean"
-    read = cut(spread(spelled).mapInArrow(second_pass, schema))
+    read = cut(spread(counted.select("value", "mentions", "parts", "acronym", "counts")).mapInArrow(second_pass, schema))
     fixed = typo_parents(read.groupBy("form").agg(F.count("*").alias("n"), F.sum("mentions").alias("m")))
     # a corrected spelling takes the word sets of the spelling it was meant to be
     of_form = read.groupBy("form").agg(F.max(F.struct("n_parts", "sets", "own")).alias("x")).select(F.col("form").alias("root"), "x.sets", "x.own")

@@ -1,3 +1,5 @@
+import random
+
 from harrow.llm import canonical
 from harrow.llm import name_variants as V
 from harrow.llm.bktree import BKTree
@@ -94,3 +96,13 @@ def test_organisations_are_linked(spark):
     pairs = V.pairs(V.organisations(df)).collect()
     assert len(pairs) == 15 + 3
     assert all(r["name_a"] < r["name_b"] for r in pairs)
+
+
+def test_words_below_the_frequent_list_keep_their_counts(spark, monkeypatch):
+    places = ["Tordavik"] * 60 + ["Tordavek"] * 40
+    rng = random.Random(7)
+    names = [f"{x} {''.join(rng.choices('bcdfglmnprst', k=9))} office" for x in places]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, raw_affiliation string")
+    monkeypatch.setattr(V, "COMMON", 0.5)  # 50 of 100 spellings, as for 100,000
+    got = {r["value"]: r["entity"] for r in V.organisations(df).collect()}
+    assert len(got) == 100 and all("tordavek" in e for v, e in got.items() if "Tordavek" in v)
