@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -29,7 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a folder of its own that is removed at exit; a cluster, whose
+    executors don't share local folders, is refused.
+    """
     ready(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -38,7 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harrow-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="harrow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -48,9 +59,83 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
+    """A fresh path under the shared folder for a written table; ``cleanup`` or the end of the process removes it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
+    if not _scratch:
+        atexit.register(_leave)
+    _scratch.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove the tables written by ``scratch``, once no DataFrame that reads them is wanted any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        at = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+def _leave() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            cleanup(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing is left to do then
+            return
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove one written table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+HOT_KEYS = 4096
+
+
+def hot_keys(big: DataFrame, on: list[str], least: int = 20_000) -> list[tuple]:
+    """(key values..., parts) of the keys that hold more than ``least`` rows and more than 1/4096 of all.
+
+    So many can't be more than 4,096, whatever the data.
+    """
+    counts = big.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    rows = counts.orderBy(F.desc("n")).limit(HOT_KEYS).collect()  # the key ranked 4,097th holds less than 1/4096
+    return [(*r[:-1], -(-r[-1] // least)) for r in rows]
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", least: int = 20_000) -> DataFrame:
+    """``big`` joined with ``small`` on equal columns; rows of hot keys of ``big`` are salted, those of ``small`` copied to each salt.
+
+    ``how``: inner, left, left_semi or left_anti (of ``big``).  Columns besides ``on`` must differ in name.
+    """
+    hot = hot_keys(big, on, least)
+    if not hot:
+        return big.join(small, on, how)
+    spark = big.sparkSession
+    names = [f"_k{k}" for k in range(len(on))]
+    schema = ", ".join(f"{n} {big.schema[c].dataType.simpleString()}" for n, c in zip(names, on)) + ", _parts bigint"
+    table_ = F.broadcast(spark.createDataFrame(hot, schema))  # at most HOT_KEYS rows
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names)]
+        cond = same[0]
+        for s in same[1:]:
+            cond = cond & s
+        return df.join(table_, cond, "left").drop(*names)
+
+    row = F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")])
+    salted = marked(big).withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row, F.col("_parts")))).drop("_parts")
+    salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
+    copied = marked(small).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))))
+    ).drop("_parts")
+    return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 def parallelism(spark: SparkSession) -> int:
