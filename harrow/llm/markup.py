@@ -63,6 +63,10 @@ BULLETS = re.compile(
 )
 SIGNS = re.compile(r"[<>&\\{}#*`|~=_$]|\[\[|\]\]|\]\(|''|\n\s*[-+>]\s|\n-{3,}")
 
+# what every alternative of the two patterns holds: most texts are told without them
+_WIKI_SIGNS = ("[[", "{{", "{|", "|-", "|}", "''", "==", "}}")
+_MARKDOWN_SIGNS = ("#", "`", "~", "*", "_", ">", "](", "]:", "---", "===", "--|", "-|", "-:", "|-", "--")
+
 
 def find(text: str) -> list[str]:
     """Kinds of markup in ``text``: html, entity, latex, wiki, markdown; in this order."""
@@ -75,8 +79,8 @@ def find(text: str) -> list[str]:
         kinds.append("entity")
     if ("\\" in text or "$" in text or "{" in text) and LATEX.search(text):
         kinds.append("latex")
-    if WIKI.search(text) or ("]]" in text and text.count("]") > text.count("[")):
+    if any(x in text for x in _WIKI_SIGNS) and WIKI.search(text) or ("]]" in text and text.count("]") > text.count("[")):
         kinds.append("wiki")
-    if MARKDOWN.search(text) or BULLETS.search(text):
+    if any(x in text for x in _MARKDOWN_SIGNS) and MARKDOWN.search(text) or any(x in text for x in "*+-") and BULLETS.search(text):
         kinds.append("markdown")
     return kinds

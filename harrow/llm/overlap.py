@@ -1,14 +1,21 @@
 """Same or near-same records across splits.
 
-Records are canonicalised (markup removed, case folded, words only) and hashed.  Equal hashes are one class; a join of
-evaluation with training classes on the hash gives the exact overlaps.  The same join on hashes of parts gives the near
-ones: every class has the hashes of its runs of three words (six characters in scripts without blanks), weighted by
-inverse frequency, so that stock phrases count little.  Of the runs that occur on both sides the rarest are its keys, as
-many as the wanted similarity demands: what is left is too light to make a pair alone, so that similar classes share a
-key.  Classes that share one are compared by the weight of the runs they share.
+Records are canonicalised (markup removed, case folded, words only) and hashed to 128 bits; equal hashes are one class,
+and the join of evaluation with training classes on the hash gives the exact overlaps.  The same join on hashes of parts
+gives the near ones: the parts of a record are its runs of three words (six characters in scripts without blanks), and
+two records overlap if they share at least ``similar`` of the runs of the one with more.
 
-No key is dropped for being frequent: a class whose runs are all frequent has frequent keys.  Frequencies are counted
-over all records; classes stand for their exact copies, which are expanded only in the final pairs.
+Candidates come from an exact bound, not from a fixed number of keys.  All runs have one global order, rarest first.  Of
+two records that share ``similar`` of n runs, the first  n - ceil(similar * n) + k  of either hold at least k common ones,
+whatever they are; so only these are keys, and only pairs that share k of them are compared, run by run, on their texts.
+k grows with the text (by one for ``SHARE`` runs), which keeps pairs apart that share a stock phrase only.
+
+The order comes from a sketch of the frequencies of all runs of all records: ``CELLS`` counters for each side, merged in
+blocks and broadcast as one byte a cell, whatever the size of the data.  A run whose counter is zero on a side occurs on
+one side only; it comes first in the order and isn't shuffled.  The sketch only orders keys and skips such ones:
+collisions in it can add candidates, never lose a pair.
+
+Hot keys are salted (``spread_join``); copies of a text are one class until the final pairs.
 
 Defined results: rows with null id, or with a null or blank abstract, have no overlaps; a null title is empty; rows of
 other splits (or null) are neither training nor evaluation; an id on both sides isn't paired with itself; pairs are
@@ -17,162 +24,222 @@ distinct; an empty table gives no rows.  Texts without any word are left out.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread_scan
-from . import plain_text, tokens
+from ..session import cut, scratch, spread_join, spread_scan
+from . import wordcodes
 
-SIMILAR = 0.62
-RUN, RUN_UNSPACED = 3, 6
+SIMILAR = 0.73
+CELLS = 1 << 24
+BLOCK = 1 << 16  # cells of a block of the sketch
+SMALL = 500_000  # ids up to which they may be broadcast
+SHARE = 20  # a candidate shares a key, and one more for so many of its runs
 
 
-@lru_cache(maxsize=1)
-def _words():
-    import regex
+def _rows(df: DataFrame, train: tuple[str, ...], evaluation: tuple[str, ...]) -> DataFrame:
+    rows = df.select(
+        F.col("id").cast("bigint").alias("id"), F.col("split_name").isin(*train).alias("is_train"), "title", "abstract", "split_name"
+    )
+    return rows.where(
+        F.col("id").isNotNull() & F.col("split_name").isin(*train, *evaluation) & F.col("abstract").rlike(r"(?U)\S")
+    ).drop("split_name")
 
-    own = rf"\p{{Han}}{tokens.KANA_THAI}"
-    return regex.compile(rf"[{own}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{own}]]+", regex.V1)
 
+def _canonical(b: pa.RecordBatch) -> list[str]:
+    return [wordcodes.canonical(x, y) for x, y in zip(b.column("title").to_pylist(), b.column("abstract").to_pylist())]
 
-def words(title: str | None, abstract: str | None) -> list[str]:
-    """Words of the canonical record; characters in scripts without blanks."""
-    text = "\n".join(plain_text.clean(t)[0] for t in (title, abstract) if t)
-    return _words().findall(text.casefold())
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % CELLS
 
-def runs(found: list[str], memo: dict[str, int]) -> tuple[int, np.ndarray]:
-    """Hash of all words, and the distinct hashes of their runs."""
-    import xxhash
 
-    codes = np.empty(len(found), np.uint64)
-    for k, w in enumerate(found):
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        codes[k] = h
-    whole = int(np.int64(np.uint64(xxhash.xxh64_intdigest(codes.tobytes()))))
-    single = np.array([len(w) == 1 and ord(w) > 0xE00 for w in found])
-    out = []
-    for size, starts in ((RUN, ~single), (RUN_UNSPACED, single)):
-        n = len(codes) - size + 1
-        if n < 1:
-            if starts.any():
-                out.append(np.array([whole], np.int64).view(np.uint64))
-            continue
-        h = np.zeros(n, np.uint64)
-        for k in range(size):
-            h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(h[starts[:n]])
-    return whole, np.unique(np.concatenate(out)).view(np.int64)
+_HASHED = "id bigint, is_train boolean, h bigint, g bigint, block int, offsets binary, counts binary"
 
 
-def hashed(df: DataFrame, train: tuple[str, ...], evaluation: tuple[str, ...]) -> DataFrame:
-    """``id, is_train, h, runs`` of every row with a filled abstract."""
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each record, and at the end of the partition its counts of runs, in blocks."""
+    schema = pa.schema([("id", pa.int64()), ("is_train", pa.bool_()), ("h", pa.int64()), ("g", pa.int64()), ("block", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
+    seen: list[list[np.ndarray]] = [[], []]
+    waiting = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for b in batches:
-            ids, side, whole, parts = [], [], [], []
-            for key, is_train, title, abstract in zip(*(c.to_pylist() for c in b.columns)):
-                if found := words(title, abstract):
-                    h, r = runs(found, memo)
-                    ids.append(key), side.append(is_train), whole.append(h), parts.append(r)
-            sizes = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+    def settle(side: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = seen[side]
+        cells = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, np.int64)
+        n = np.concatenate([k for _, k in parts]) if parts else np.empty(0, np.int64)
+        u, at = np.unique(cells, return_inverse=True)
+        total = np.bincount(at, n, len(u)).astype(np.int64) if len(u) else np.empty(0, np.int64)
+        seen[side] = [(u, total)] if len(u) else []
+        return u, total
+
+    for b in batches:
+        side = np.array(b.column("is_train").to_pylist(), bool)
+        ids = b.column("id").to_numpy()
+        keep, hs, gs = [], [], []
+        for first, bounds, codes, single in wordcodes.coded(_canonical(b)):
+            h, g = wordcodes.wholes(bounds, codes)
+            filled = np.flatnonzero(np.diff(bounds))
+            keep.append(first + filled), hs.append(h[filled]), gs.append(g[filled])
+            t, r = wordcodes.runs(bounds, codes, single)
+            of = side[first + t]
+            for k in (0, 1):
+                own, n = np.unique(_cells(r[of == bool(k)]), return_counts=True)
+                seen[k].append((own, n))
+                waiting += len(own)
+        if waiting > 20_000_000:  # at most a number a cell is kept
+            waiting = sum(len(settle(k)[0]) for k in (0, 1))
+        at = np.concatenate(keep) if keep else np.empty(0, np.int64)
+        none = pa.nulls(len(at))
+        if len(at):
+            columns = [pa.array(ids[at]), pa.array(side[at]), pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs))]
+            yield pa.RecordBatch.from_arrays([*columns, none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
+    for k in (0, 1):
+        u, total = settle(k)
+        edges = np.searchsorted(u, np.arange(0, CELLS + 1, BLOCK))
+        blocks = np.flatnonzero(np.diff(edges))
+        if len(blocks):
+            low, n = (u % BLOCK).astype(np.uint16), np.minimum(total, 255).astype(np.uint8)
+            none = pa.nulls(len(blocks), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(side, pa.bool_()), pa.array(whole, pa.int64()), lists],
-                names=["id", "is_train", "h", "runs"],
+                [
+                    none,
+                    pa.array([bool(k)] * len(blocks)),
+                    none,
+                    none,
+                    pa.array(blocks.astype(np.int32)),
+                    pa.array([low[edges[x] : edges[x + 1]].tobytes() for x in blocks], pa.binary()),
+                    pa.array([n[edges[x] : edges[x + 1]].tobytes() for x in blocks], pa.binary()),
+                ],
+                schema=schema,
             )
 
-    rows = df.select(
-        F.col("id").cast("bigint").alias("id"), F.col("split_name").isin(*train).alias("is_train"), "title", "abstract", "split_name"
-    )
-    rows = rows.where(
-        F.col("id").isNotNull() & F.col("split_name").isin(*train, *evaluation) & F.col("abstract").rlike(r"(?U)\S")
-    ).drop("split_name")
-    return spread_scan(rows).mapInArrow(run, "id bigint, is_train boolean, h bigint, runs array<bigint>")
 
+def _merge(parts: pa.Table) -> pa.Table:
+    """The bytes of one block: 0 where a side has no run, else a step of the logarithm of the count of both."""
+    counts = np.zeros((2, BLOCK), np.int64)
+    for side, offsets, n in zip(*(parts.column(c).to_pylist() for c in ("is_train", "offsets", "counts"))):
+        np.add.at(counts[int(side)], np.frombuffer(offsets, np.uint16), np.frombuffer(n, np.uint8))
+    step = np.minimum(255, 1 + np.floor(np.log2(np.maximum(1, counts.sum(0))) * 8)).astype(np.uint8)
+    step[(counts == 0).any(0)] = 0
+    return pa.table({"block": parts.column("block").slice(0, 1), "steps": pa.array([step.tobytes()], pa.binary())})
 
-STEPS = 6  # steps of a doubling in which frequencies are told apart
-LOW = (1 << 55) - 1
 
+def sketch(hashed: DataFrame) -> np.ndarray:
+    """``CELLS`` bytes on the driver: how frequent the runs of each cell are."""
+    parts = hashed.where("block is not null").select("is_train", "block", "offsets", "counts")
+    out = np.zeros(CELLS, np.uint8)
+    for block, steps in parts.groupBy("block").applyInArrow(_merge, "block int, steps binary").collect():  # CELLS / BLOCK rows
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(steps, np.uint8)
+    return out
 
-def class_pairs(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """``h_a, h_b, similarity`` of different classes, the first with evaluation and the second with training records.
 
-    ``classes``: ``h, has_eval, has_train, runs``; ``n`` their number.  A run is carried as one number, its frequency
-    class above 55 bits of its hash, so that sorting puts the rarest first and equal runs stay equal.
-    """
-    each = classes.select("h", "has_eval", "has_train", F.explode("runs").alias("r"))
-    counts = each.groupBy("r").agg(
-        F.count("*").alias("df"), F.max("has_eval").alias("e"), F.max("has_train").alias("t")
-    )
-    # a run of one class alone that is on both sides makes no pair
-    step = F.least(F.lit(127), F.floor(F.log2("df") * STEPS)).cast("bigint")
-    shared = counts.where("e and t and df > 1").select("r", (F.shiftleft(step, 55) + F.col("r").bitwiseAND(LOW)).alias("x"))
-    top = math.log(n + 1)
-    idf = lambda x: F.lit(top) - F.shiftright(x, 55) * F.lit(math.log(2) / STEPS)
-    weighted = each.select("h", "r").join(shared, "r").groupBy("h").agg(F.array_sort(F.collect_list("x")).alias("s"))
-    weighted = weighted.join(classes.select("h", "has_eval", "has_train", F.size("runs").alias("n_runs")), "h")
-    weight = F.aggregate("s", F.lit(0.0), lambda a, x: a + idf(x)) + (F.col("n_runs") - F.size("s")) * F.lit(top)
-    weighted = cut(weighted.withColumn("w", weight).drop("n_runs"))
-    # the rarest runs until those left weigh less than ``similar`` of the class: a pair that is similar shares one of them
-    least = F.lit(similar - 1e-9)
-    weigh = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + idf(x))
-    start = F.struct(weigh.alias("rest"), F.lit(0).alias("k"))
-    take = lambda p, x: F.when(p.rest >= least * F.col("w"), F.struct((p.rest - idf(x)).alias("rest"), (p.k + 1).alias("k"))).otherwise(p)
-    prefix = weighted.withColumn("p", F.aggregate("s", start, take)).where("p.k > 0")
-    keys = prefix.select(
-        "h", "has_eval", "has_train", "w", "p.rest", F.element_at("s", F.col("p.k")).alias("last"), F.explode(F.slice("s", 1, F.col("p.k"))).alias("x")
-    )
-    side = lambda flag, end: keys.where(flag).select("x", *(F.col(c).alias(f"{c}_{end}") for c in ("h", "w", "rest", "last")))
-    within = F.least("w_a", "w_b") >= least * F.greatest("w_a", "w_b")
-    pairs = side("has_eval", "a").join(side("has_train", "b"), "x").where((F.col("h_a") != F.col("h_b")) & within)
-    pairs = pairs.groupBy("h_a", "h_b").agg(
-        F.sum(idf(F.col("x"))).alias("shared"), *(F.first(f"{c}_{e}").alias(f"{c}_{e}") for c in ("w", "rest", "last") for e in "ab")
-    )
-    # beyond the keys that end first, no more can be shared than what that class has left
-    more = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    pairs = pairs.where(F.col("shared") + more >= least * F.greatest("w_a", "w_b")).select("h_a", "h_b")
-    full = weighted.select("h", "s", "w")
-    both = pairs.join(full.select(F.col("h").alias("h_a"), F.col("s").alias("s_a"), F.col("w").alias("w_a")), "h_a").join(
-        full.select(F.col("h").alias("h_b"), F.col("s").alias("s_b"), F.col("w").alias("w_b")), "h_b"
-    )
-    common = F.aggregate(F.array_intersect("s_a", "s_b"), F.lit(0.0), lambda acc, x: acc + idf(x))
-    out = both.select("h_a", "h_b", (common / F.greatest("w_a", "w_b")).alias("similarity"))
-    return out.where(F.col("similarity") >= similar)
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Keys that a record of n runs shares at least with any that overlaps it and isn't larger: k of the bound."""
+    return 1 + n // SHARE
+
+
+def keys(rows: DataFrame, steps: np.ndarray, similar: float) -> DataFrame:
+    """``x, h, n, is_train``: keys of every class, once a partition; n is the class's number of runs."""
+    shared = rows.sparkSession.sparkContext.broadcast(steps)  # CELLS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_of = shared.value
+        known: set[tuple[int, bool]] = set()
+        for b in batches:
+            side = np.array(b.column("is_train").to_pylist(), bool)
+            for first, bounds, codes, single in wordcodes.coded(_canonical(b)):
+                h, _ = wordcodes.wholes(bounds, codes)
+                if len(known) > 2_000_000:
+                    known.clear()
+                new = np.zeros(len(h), bool)
+                for k, key in enumerate(zip(h.tolist(), side[first : first + len(h)].tolist())):
+                    if key not in known:
+                        known.add(key)
+                        new[k] = True
+                t, r = wordcodes.runs(bounds, codes, single)
+                t, r = t[new[t]], r[new[t]]
+                if not len(t):
+                    continue
+                n = np.bincount(t, minlength=len(h))
+                step = order_of[_cells(r)]
+                order = np.lexsort((r, step, t))
+                t, r, step = t[order], r[order], step[order]
+                place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+                length = n - np.ceil(similar * n - 1e-9).astype(np.int64) + least_shared(n)
+                keep = (place < length[t]) & (step > 0)
+                # fewer keys that both sides may hold than a pair must share: no partner
+                keep &= np.bincount(t[keep], minlength=len(h))[t] >= least_shared(np.ceil(similar * n).astype(np.int64))[t]
+                t, r = t[keep], r[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r.view(np.int64)), pa.array(h[t]), pa.array(n[t].astype(np.int32)), pa.array(side[first + t])],
+                    names=["x", "h", "n", "is_train"],
+                )
+
+    return spread_scan(rows).mapInArrow(run, "x bigint, h bigint, n int, is_train boolean")
+
+
+def candidates(found: DataFrame, similar: float) -> DataFrame:
+    """``h_a, h_b``: evaluation and training classes that share as many keys as an overlap takes."""
+    side = lambda flag, end: found.where(flag).select("x", F.col("h").alias(f"h_{end}"), F.col("n").alias(f"n_{end}")).distinct()
+    met = spread_join(side("not is_train", "a"), side("is_train", "b"), ["x"])
+    met = met.where((F.col("h_a") != F.col("h_b")) & (F.least("n_a", "n_b") >= F.lit(similar - 1e-9) * F.greatest("n_a", "n_b")))
+    shared = met.groupBy("h_a", "h_b").agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
+    return shared.where(F.col("shared") >= 1 + F.floor(F.col("n") / SHARE)).select("h_a", "h_b")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = []
+        for title, abstract in (("title", "abstract"), ("title_b", "abstract_b")):
+            texts = [wordcodes.canonical(x, y) for x, y in zip(b.column(title).to_pylist(), b.column(abstract).to_pylist())]
+            own: list[np.ndarray] = []
+            for _, bounds, codes, single in wordcodes.coded(texts):
+                t, r = wordcodes.runs(bounds, codes, single)
+                own += np.split(r, np.searchsorted(t, np.arange(1, len(bounds) - 1)))
+            sets.append(own)
+        value = [len(np.intersect1d(x, y, assume_unique=True)) / max(1, len(x), len(y)) for x, y in zip(*sets)]
+        yield pa.RecordBatch.from_arrays([b.column("h_a"), b.column("h_b"), pa.array(value, pa.float64())], names=["h_a", "h_b", "similarity"])
+
+
+def compared(pairs: DataFrame, rows: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``h_a, h_b, similarity`` of candidate classes, from the whole texts of one record of each."""
+    one = lambda flag, h, key: hashed.where(flag).groupBy(F.col("h").alias(h)).agg(F.min("id").alias(key))
+    pairs = cut(spread_join(spread_join(pairs, one("not is_train", "h_a", "id"), ["h_a"]), one("is_train", "h_b", "id_b"), ["h_b"]))
+    wanted = pairs.select("id").unionAll(pairs.select("id_b")).distinct()
+    small = wanted.count() <= SMALL
+    texts = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id", "is_train"])
+    a = texts.where("not is_train").select("id", "title", "abstract")
+    b = texts.where("is_train").select(F.col("id").alias("id_b"), F.col("title").alias("title_b"), F.col("abstract").alias("abstract_b"))
+    both = spread_join(spread_join(pairs, a, ["id"], least=2000), b, ["id_b"], least=2000)
+    both = both.select("h_a", "h_b", "title", "abstract", "title_b", "abstract_b")
+    return both.mapInArrow(_compare, "h_a bigint, h_b bigint, similarity double")
 
 
 def overlaps(
     df: DataFrame, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("test", "dev"), similar: float = SIMILAR
 ) -> DataFrame:
     """``eval_id, train_id, similarity`` (1.0: equal but for formatting) of all overlapping records."""
-    rows = cut(hashed(df, train, evaluation))
-    members = rows.select("id", "is_train", "h")
-    classes = cut(
-        rows.groupBy("h").agg(
-            F.max(~F.col("is_train")).alias("has_eval"), F.max("is_train").alias("has_train"), F.first("runs").alias("runs")
-        )
-    )
-    near = class_pairs(classes, classes.count(), similar=similar)
-    exact = classes.where("has_eval and has_train").select(
-        F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.lit(1.0).alias("similarity")
-    )
-    pairs = exact.unionAll(near)
-    e = members.where("not is_train").select(F.col("h").alias("h_a"), F.col("id").alias("eval_id")).distinct()
-    t = members.where("is_train").select(F.col("h").alias("h_b"), F.col("id").alias("train_id")).distinct()
-    out = pairs.join(e, "h_a").join(t, "h_b").where("eval_id <> train_id")
+    spark = df.sparkSession
+    rows = _rows(df, train, evaluation)
+    path = scratch(spark, "hashed")
+    spread_scan(rows).mapInArrow(_hash, _HASHED).write.parquet(path)
+    hashed = spark.read.schema(_HASHED).parquet(path)
+    path = scratch(spark, "keys")
+    keys(rows, sketch(hashed), similar).write.parquet(path)
+    found = spark.read.schema("x bigint, h bigint, n int, is_train boolean").parquet(path)
+    members = hashed.where("id is not null").select("id", "is_train", "h", "g")
+    near = compared(candidates(found, similar), rows, members).where(F.col("similarity") >= F.lit(similar - 1e-9))
+    evals = members.where("not is_train").select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("id").alias("eval_id")).distinct()
+    trains = members.where("is_train").select(F.col("h").alias("h_b"), F.col("g").alias("g_b"), F.col("id").alias("train_id")).distinct()
+    exact = spread_join(evals, trains.withColumnsRenamed({"h_b": "h_a", "g_b": "g_a"}), ["h_a", "g_a"], least=2000)
+    exact = exact.select("eval_id", "train_id", F.lit(1.0).alias("similarity"))
+    ends = cut(near)
+    almost = spread_join(spread_join(evals.drop("g_a"), ends, ["h_a"], least=2000), trains.drop("g_b"), ["h_b"], least=2000)
+    out = exact.unionAll(almost.select("eval_id", "train_id", "similarity")).where("eval_id <> train_id")
     return out.groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
 

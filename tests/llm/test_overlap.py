@@ -1,6 +1,10 @@
 import random
 
+import regex
+
 from harrow.llm import overlap as O
+from harrow.llm import tokens as T
+from harrow.llm import wordcodes as W
 
 
 def article(rng, n=90):
@@ -47,11 +51,68 @@ def test_many_copies_are_all_paired(spark):
     assert O.overlaps(df).count() == 300
 
 
-def test_long_text_and_scripts():
+def words(*texts):
+    own = W.canonical(*texts)
+    return regex.findall(rf"[\p{{Han}}{T.KANA_THAI}]|[[\p{{L}}\p{{M}}\p{{N}}]--[\p{{Han}}{T.KANA_THAI}]]+", own, regex.V1)
+
+
+def shingles(*texts):
+    """Runs by the plain rule, as tuples of words."""
+    found = words(*texts)
+    lone = [len(w) == 1 and regex.match(rf"[\p{{Han}}{T.KANA_THAI}]", w) is not None for w in found]
+    out = {tuple(found[k : k + (6 if lone[k] else 3)]) for k in range(len(found))}
+    out = {r for r in out if len(r) == (6 if regex.match(rf"[\p{{Han}}{T.KANA_THAI}]", r[0]) else 3)}
+    return out or {tuple(found)}
+
+
+def test_words_and_runs_are_those_of_the_plain_rule():
     rng = random.Random(1)
-    assert O.words("A-b", "中文，字") == ["a", "b", "中", "文", "字"]
-    h, runs = O.runs(article(rng, 20_000).split(), {})
-    assert len(runs) > 19_000
+    texts = ["A-b", "中文，字 and 漢字仮名ひらがな", "", "ß Straße ÉCOLE e\u0301t", "ภาษาไทย now", "x" * 300_000 + " y z", article(rng, 20_000), "a\0b c", "two words"]
+    done = [W.canonical("", t) for t in texts]
+    seen = []
+    for first, bounds, codes, single in W.coded(done):
+        t, r = W.runs(bounds, codes, single)
+        for k in range(len(bounds) - 1):
+            want = words("", texts[first + k])
+            assert bounds[k + 1] - bounds[k] == len(want)
+            assert len(r[t == k]) == (len(shingles("", texts[first + k])) if want else 0)
+            seen.append(first + k)
+    assert seen == list(range(len(texts)))
+    pairs = [("The  cat, sat", "<i>THE</i> cat sat"), ("Straße", "STRASSE")]
+    for a, b in pairs:
+        one, other = (next(W.coded([W.canonical(x, None)])) for x in (a, b))
+        assert W.wholes(*one[1:3])[0] == W.wholes(*other[1:3])[0]
+
+
+def test_every_pair_of_brute_force_at_three_levels(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        base = article(rng, rng.choice([12, 40, 90, 250])).split() + "the stock phrase that all of them have in common".split()
+        for j in range(4):
+            own = list(base)
+            for _ in range(int(len(own) * rng.random() * 0.16)):
+                own[rng.randrange(len(own))] = f"q{rng.randint(0, 10**6)}"
+            rows.append((len(rows), f"Title {k}", " ".join(own), "train" if j < 2 else "test"))
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string, split_name string")
+    sets = {r[0]: shingles(r[1], r[2]) for r in rows}
+    alike = {
+        (e[0], t[0]): len(sets[e[0]] & sets[t[0]]) / max(len(sets[e[0]]), len(sets[t[0]]))
+        for e in rows if e[3] == "test" for t in rows if t[3] == "train"
+    }
+    for level in (0.6, 0.73, 0.9):
+        wanted = {p for p, v in alike.items() if v >= level}
+        found = {(r["eval_id"], r["train_id"]) for r in O.overlaps(df, similar=level).collect()}
+        assert wanted and found == wanted
+
+
+def test_hot_run_and_hot_copy(spark):
+    """Half of the rows are copies of one text, and all texts share a phrase."""
+    rng = random.Random(4)
+    rows = [(k, "Hot", "this text was delivered very often indeed", "train" if k % 40 else "dev") for k in range(800)]
+    rows += [(1000 + k, "", f"the phrase that all of them share {article(rng, 8)}", "train" if k % 2 else "test") for k in range(800)]
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string, split_name string")
+    assert O.overlaps(df).count() == 20 * 780
 
 
 def test_variants_of_one_text_hide_no_pair(spark):
