@@ -81,6 +81,6 @@ def find(text: str) -> list[str]:
         kinds.append("latex")
     if any(x in text for x in _WIKI_SIGNS) and WIKI.search(text) or ("]]" in text and text.count("]") > text.count("[")):
         kinds.append("wiki")
-    if any(x in text for x in _MARKDOWN_SIGNS) and MARKDOWN.search(text) or any(x in text for x in "*+-") and BULLETS.search(text):
+    if any(x in text for x in _MARKDOWN_SIGNS) and MARKDOWN.search(text) or ("\n" in text or text.lstrip(" \t")[:1] in "*+-") and BULLETS.search(text):
         kinds.append("markdown")
     return kinds

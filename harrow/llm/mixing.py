@@ -8,7 +8,8 @@ Within a source, a document is expected to be used rate = wanted tokens / tokens
 whole copies are certain.  The rest is a sample with inclusion odds by size: p = c * tokens, with documents whose p would
 exceed 1 taken for certain.  Pareto order sampling ranks the documents by q = odds(u) / odds(p), u uniform from a hash
 of id and seed, and takes the first of them; the sample ends at the document with which the wanted tokens are reached.
-That document is found through a histogram of log q (at most ``CELLS`` numbers a source), only one cell is sorted.
+That document is found through two histograms of log q, the second inside the edge cell of the first (at most ``CELLS``
+numbers a source each); only one cell of the second, a ``CELLS`` squared-th of the range, is sorted.
 
 Defined results: documents whose source is null or not in the targets, and those without tokens, are not used; a target
 source without documents gives 0; equal q is ordered by id; an empty table gives a report of zeros.
@@ -87,29 +88,22 @@ def mixture(
     pi = F.least(F.lit(1.0), F.col("c") * F.col("size"))
     log_q = F.log(u / (1 - u)) - F.log(pi / (1 - pi))
     x = x.withColumn("q", F.when(F.col("rest") <= 0, None).when(pi >= 1, F.lit(-1e9)).otherwise(log_q))
-    cell = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((F.col("q") + 40) * (CELLS / 80)))).cast("int")
-    x = cut(x.withColumn("cell", F.when(F.col("q").isNotNull(), cell)))
-
-    per_cell = x.where("q is not null").groupBy("source", "cell").agg(F.sum("size").alias("t"))
-    borders = []
-    by_source: dict[str, list[tuple[int, int]]] = {}
-    for s, k, t in per_cell.collect():  # at most CELLS rows a source
-        by_source.setdefault(s, []).append((k, t))
-    for s, cells in by_source.items():
-        seen = 0
-        for k, t in sorted(cells):
-            if seen + t >= rests[s]:
-                borders.append((s, k, float(rests[s] - seen)))
-                break
-            seen += t
-        else:
-            borders.append((s, CELLS, 0.0))
-    b = spark.createDataFrame(borders, "source string, border int, missing double")
+    at = (F.col("q") + 40) * (CELLS / 80)
+    cell = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(at))).cast("int")
+    fine = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((at - F.floor(at)) * CELLS))).cast("int")
+    x = cut(x.withColumn("cell", F.when(F.col("q").isNotNull(), cell)).withColumn("fine", F.when(F.col("q").isNotNull(), fine)))
+    coarse = _border(x.where("q is not null"), "cell", rests)
+    inner = x.join(F.broadcast(spark.createDataFrame([(s, k) for s, (k, _) in coarse.items()], "source string, cell int")), ["source", "cell"])
+    finest = _border(inner, "fine", {s: missing for s, (_, missing) in coarse.items()})
+    borders = [(s, k, *finest.get(s, (CELLS, 0.0))) for s, (k, _) in coarse.items()]
+    b = spark.createDataFrame(borders, "source string, border int, edge int, missing double")  # a row per source
     y = x.join(F.broadcast(b), "source", "left")
-    sure = y.where("q is null or cell <> border or border is null")
-    sure = sure.select("id", "source", "size", (F.col("whole") + F.when(F.col("q").isNotNull() & (F.col("cell") < F.col("border")), 1).otherwise(0)).alias("copies"))
+    inside = (F.col("cell") < F.col("border")) | ((F.col("cell") == F.col("border")) & (F.col("fine") < F.col("edge")))
+    on_edge = F.coalesce((F.col("cell") == F.col("border")) & (F.col("fine") == F.col("edge")), F.lit(False))
+    sure = y.where(~on_edge)
+    sure = sure.select("id", "source", "size", (F.col("whole") + F.when(F.col("q").isNotNull() & inside, 1).otherwise(0)).alias("copies"))
     order = Window.partitionBy("source").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = y.where("q is not null and cell = border").withColumn("sum", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    edge = y.where(on_edge).withColumn("sum", F.coalesce(F.sum("size").over(order), F.lit(0)))
     # the document that reaches the target is taken if that misses it by less than leaving it out
     taken = F.col("missing") - F.col("sum") > F.col("size") / 2
     edge = edge.select("id", "source", "size", (F.col("whole") + F.when(taken, 1).otherwise(0)).alias("copies"))
@@ -117,6 +111,23 @@ def mixture(
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("size").alias(size_col), "copies")
 
 
+def _border(rows: DataFrame, cell: str, wanted: dict[str, float]) -> dict[str, tuple[int, float]]:
+    """Of each source, the cell in which its wanted tokens are reached, and how many are missing before it."""
+    by_source: dict[str, list[tuple[int, int]]] = {}
+    for s, k, t in rows.groupBy("source", cell).agg(F.sum("size").alias("t")).collect():  # at most CELLS rows a source
+        by_source.setdefault(s, []).append((k, t))
+    out = {}
+    for s, cells in by_source.items():
+        seen, want = 0, wanted.get(s, 0.0)
+        out[s] = (CELLS, 0.0)
+        for k, t in sorted(cells):
+            if seen + t >= want:
+                out[s] = (k, float(want - seen))
+                break
+            seen += t
+    return out
+
+
 def _scales(rows: DataFrame, rests: dict[str, float]) -> dict[str, float]:
     """c of each source with sum(size * min(1, c * size)) = its rest, by bisection over a histogram of sizes.
 

@@ -2,7 +2,7 @@
 
 Records are canonicalised (markup removed, case folded, words only) and hashed to 128 bits; equal hashes are one class,
 and the join of evaluation with training classes on the hash gives the exact overlaps.  The same join on hashes of parts
-gives the near ones: the parts of a record are its runs of three words (six characters in scripts without blanks), and
+gives the near ones: the parts of a record are its runs of five words (ten characters in scripts without blanks), and
 two records overlap if they share at least ``similar`` of the runs of the one with more.
 
 Candidates come from an exact bound, not from a fixed number of keys.  All runs have one global order, rarest first.  Of
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, scratch, spread_join, spread_scan
+from ..session import cut, hot_keys, scratch, spread_join, spread_scan
 from . import wordcodes
 
-SIMILAR = 0.73
+SIMILAR = 0.63
 CELLS = 1 << 24
 BLOCK = 1 << 16  # cells of a block of the sketch
 SMALL = 500_000  # ids up to which they may be broadcast
@@ -184,13 +184,22 @@ def keys(rows: DataFrame, steps: np.ndarray, similar: float) -> DataFrame:
 
 def candidates(found: DataFrame, similar: float) -> DataFrame:
     """``h_a, h_b``: evaluation and training classes that share as many keys as an overlap takes."""
-    side = lambda flag, end: found.where(flag).select("x", F.col("h").alias(f"h_{end}"), F.col("n").alias(f"n_{end}")).distinct()
-    met = spread_join(side("not is_train", "a"), side("is_train", "b"), ["x"])
+    if hot_keys(found, ["x"]):
+        one = found.dropDuplicates(["x", "h", "is_train"])
+        met = spread_join(_side(one, False), _side(one, True), ["x"])
+    else:  # one exchange serves both sides and the join
+        one = found.repartition("x").dropDuplicates(["x", "h", "is_train"])
+        met = _side(one, False).join(_side(one, True), "x")
     met = met.where((F.col("h_a") != F.col("h_b")) & (F.least("n_a", "n_b") >= F.lit(similar - 1e-9) * F.greatest("n_a", "n_b")))
     shared = met.groupBy("h_a", "h_b").agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
     return shared.where(F.col("shared") >= 1 + F.floor(F.col("n") / SHARE)).select("h_a", "h_b")
 
 
+def _side(one: DataFrame, train: bool) -> DataFrame:
+    end = "b" if train else "a"
+    return one.where(F.col("is_train") == train).select("x", F.col("h").alias(f"h_{end}"), F.col("n").alias(f"n_{end}"))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = []
@@ -205,18 +214,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("h_a"), b.column("h_b"), pa.array(value, pa.float64())], names=["h_a", "h_b", "similarity"])
 
 
-def compared(pairs: DataFrame, rows: DataFrame, hashed: DataFrame) -> DataFrame:
-    """``h_a, h_b, similarity`` of candidate classes, from the whole texts of one record of each."""
-    one = lambda flag, h, key: hashed.where(flag).groupBy(F.col("h").alias(h)).agg(F.min("id").alias(key))
-    pairs = cut(spread_join(spread_join(pairs, one("not is_train", "h_a", "id"), ["h_a"]), one("is_train", "h_b", "id_b"), ["h_b"]))
-    wanted = pairs.select("id").unionAll(pairs.select("id_b")).distinct()
+def compared(pairs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``h_a, h_b, similarity`` of candidate classes, from the whole texts of one record of each.
+
+    ``pairs``: ``h_a, h_b``; ``ids``: ``h, eval_id, train_id``, the records that stand for each class on either side.
+    """
+    a = ids.select(F.col("h").alias("h_a"), F.col("eval_id").alias("id_a"))
+    b = ids.select(F.col("h").alias("h_b"), F.col("train_id").alias("id_b"))
+    pairs = cut(pairs.join(a, "h_a").join(b, "h_b"))
+    wanted = pairs.select(F.col("id_a").alias("id")).unionAll(pairs.select("id_b")).distinct()
     small = wanted.count() <= SMALL
     texts = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id", "is_train"])
-    a = texts.where("not is_train").select("id", "title", "abstract")
+    a = texts.where("not is_train").select(F.col("id").alias("id_a"), "title", "abstract")
     b = texts.where("is_train").select(F.col("id").alias("id_b"), F.col("title").alias("title_b"), F.col("abstract").alias("abstract_b"))
-    both = spread_join(spread_join(pairs, a, ["id"], least=2000), b, ["id_b"], least=2000)
-    both = both.select("h_a", "h_b", "title", "abstract", "title_b", "abstract_b")
-    return both.mapInArrow(_compare, "h_a bigint, h_b bigint, similarity double")
+    both = cut(spread_join(pairs, a, ["id_a"], least=2000)) if hot_keys(pairs, ["id_b"], 2000) else spread_join(pairs, a, ["id_a"], least=2000)
+    both = spread_join(both, b, ["id_b"], least=2000) if hot_keys(pairs, ["id_b"], 2000) else both.join(b, "id_b")
+    return both.select("h_a", "h_b", "title", "abstract", "title_b", "abstract_b").mapInArrow(_compare, "h_a bigint, h_b bigint, similarity double")
 
 
 def overlaps(
@@ -232,14 +245,22 @@ def overlaps(
     keys(rows, sketch(hashed), similar).write.parquet(path)
     found = spark.read.schema("x bigint, h bigint, n int, is_train boolean").parquet(path)
     members = hashed.where("id is not null").select("id", "is_train", "h", "g")
-    near = compared(candidates(found, similar), rows, members).where(F.col("similarity") >= F.lit(similar - 1e-9))
-    evals = members.where("not is_train").select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("id").alias("eval_id")).distinct()
-    trains = members.where("is_train").select(F.col("h").alias("h_b"), F.col("g").alias("g_b"), F.col("id").alias("train_id")).distinct()
-    exact = spread_join(evals, trains.withColumnsRenamed({"h_b": "h_a", "g_b": "g_a"}), ["h_a", "g_a"], least=2000)
-    exact = exact.select("eval_id", "train_id", F.lit(1.0).alias("similarity"))
-    ends = cut(near)
-    almost = spread_join(spread_join(evals.drop("g_a"), ends, ["h_a"], least=2000), trains.drop("g_b"), ["h_b"], least=2000)
-    out = exact.unionAll(almost.select("eval_id", "train_id", "similarity")).where("eval_id <> train_id")
+    mine = lambda flag: F.min(F.when(flag, F.col("id")))
+    classes = members.groupBy("h", "g").agg(mine(~F.col("is_train")).alias("eval_id"), mine(F.col("is_train")).alias("train_id"))
+    path = scratch(spark, "classes")
+    classes.write.parquet(path)
+    classes = spark.read.schema("h bigint, g bigint, eval_id bigint, train_id bigint").parquet(path)
+    near = compared(cut(candidates(found, similar)), rows, classes).where(F.col("similarity") >= F.lit(similar - 1e-9))
+    exact = classes.where("eval_id is not null and train_id is not null")
+    exact = exact.select(F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.lit(1.0).alias("similarity"))
+    linked = cut(near.unionAll(exact))
+    # the records of the linked classes only; copies are paired at the end
+    ends = linked.select(F.col("h_a").alias("h")).unionAll(linked.select("h_b")).distinct()
+    held = cut(members.join(F.broadcast(ends) if linked.count() <= SMALL else ends, "h", "left_semi"))
+    evals = held.where("not is_train").select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("id").alias("eval_id")).distinct()
+    trains = held.where("is_train").select(F.col("h").alias("h_b"), F.col("g").alias("g_b"), F.col("id").alias("train_id")).distinct()
+    out = spread_join(spread_join(evals, linked, ["h_a"], least=2000), trains, ["h_b"], least=2000)
+    out = out.where((F.col("h_a") != F.col("h_b")) | (F.col("g_a") == F.col("g_b"))).where("eval_id <> train_id")
     return out.groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
 

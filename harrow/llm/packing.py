@@ -2,8 +2,9 @@
 
 Only the counts of the lengths reach the driver, at most ``capacity`` numbers whatever the data.  Best-fit decreasing
 runs over them with runs of identical containers handled at once; its plan says, for each length, which ranks go to
-which containers.  Items then take their slots by joining on (length, rank); the rank within a length is a row number
-within a hash bucket plus the bucket's offset, and frequent lengths have more buckets, so no task holds a whole length.
+which containers.  Items then take their slots by joining on (length, stretch of ranks), so that each meets the few plan
+rows of its stretch; the rank within a length is a row number within a hash bucket plus the bucket's offset, and frequent
+lengths have more buckets, so no task holds a whole length.
 
 Defined results: a document above the capacity gives full pieces and one rest, each an item; others are never divided;
 documents with null id, or with a null, zero or negative size, have no item; repeated documents are items of their own;
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 CHUNK = 200_000  # rows of one length ranked in one task
-SMALL_PLAN = 200_000  # plan rows up to which the plan may be broadcast
+STRETCH = 4096  # ranks of one length that share a join key
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -91,8 +92,7 @@ def pack(
     rows = cut(items(docs, capacity, id_col, size_col))
     histogram = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}  # at most ``capacity`` rows
     planned = plan(histogram, capacity)
-    schema = "size int, r0 bigint, r1 bigint, c0 bigint, per bigint"
-    slots = spark.createDataFrame(planned, schema)
+    slots = spark.createDataFrame(planned, "size int, r0 bigint, r1 bigint, c0 bigint, per bigint")
     hot = spark.createDataFrame([(k, -(-n // chunk)) for k, n in histogram.items() if n > chunk], "size int, parts bigint")
     hashed = rows.withColumn("h", F.xxhash64("id", "piece")).join(F.broadcast(hot), "size", "left")  # at most ``capacity`` rows
     hashed = hashed.withColumn("bucket", F.pmod("h", F.coalesce("parts", F.lit(1)).cast("bigint"))).drop("parts")
@@ -102,9 +102,10 @@ def pack(
     within = Window.partitionBy("size", "bucket").orderBy("h", "id", "piece")
     ranked = hashed.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["size", "bucket"])
     ranked = ranked.withColumn("rank", F.col("r") + F.col("offset")).drop("r", "offset", "bucket", "h")
-    if len(planned) <= SMALL_PLAN:
-        slots = F.broadcast(slots)
-    placed = ranked.join(slots, "size").where("rank >= r0 and rank < r1")
+    # each plan row stands in every stretch of ranks it reaches: a row a stretch more at most
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    slots = slots.withColumn("stretch", F.explode(F.sequence(stretch("r0"), F.floor((F.col("r1") - 1) / STRETCH))))
+    placed = ranked.withColumn("stretch", stretch("rank")).join(slots, ["size", "stretch"]).where("rank >= r0 and rank < r1")
     return placed.select(
         F.col("id").alias(id_col),
         "piece",
@@ -114,6 +115,11 @@ def pack(
     )
 
 
+def divided(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` of the documents that the packing lays into more than one container."""
+    return packed.groupBy(id_col).agg(F.min("container").alias("a"), F.max("container").alias("b")).where("a <> b").select(id_col)
+
+
 def containers(packed: DataFrame, capacity: int) -> DataFrame:
     """``container, n_items, used, unused`` of a packing."""
     return (
@@ -121,3 +127,18 @@ def containers(packed: DataFrame, capacity: int) -> DataFrame:
         .agg(F.count("*").alias("n_items"), F.sum("size").cast("bigint").alias("used"))
         .withColumn("unused", F.lit(capacity) - F.col("used"))
     )
+
+
+def summary(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: ``n_items, tokens, n_containers, overfull, unused_share``, and ``excess``, the share of containers beyond
+    the fewest that the tokens would fill if items could be divided at will."""
+    each = containers(packed, capacity)
+    out = each.agg(
+        F.coalesce(F.sum("n_items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce(F.sum("used"), F.lit(0)).cast("bigint").alias("tokens"),
+        F.count("*").alias("n_containers"),
+        F.coalesce(F.sum(F.when(F.col("unused") < 0, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("overfull"),
+    )
+    room = F.greatest(F.col("n_containers"), F.lit(1)) * F.lit(capacity)
+    fewest = F.greatest(F.ceil(F.col("tokens") / F.lit(capacity)), F.lit(1))
+    return out.withColumn("unused_share", 1 - F.col("tokens") / room).withColumn("excess", F.col("n_containers") / fewest - 1)

@@ -97,24 +97,28 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
+    """The persistent table of ``big_dataset`` after two batches: the deliveries that came late, then the others."""
+    df = table(spark, d, "big_dataset")
+    late = F.coalesce(F.col("loaded_at") >= F.col("labelled_at") + F.expr("INTERVAL 1 DAY"), F.lit(False))
+    state = cooccurrence.PairTable(spark, scratch(spark, "pairs"))
+    state.apply(df.where(late))
+    state.apply(df.where(~late))
+    return state
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = cooccurrence.pair_counts(table(spark, d, "big_dataset"))
-    return cooccurrence.frequent_pairs(scored).select("item_a", "item_b")
+    return cooccurrence.frequent_pairs(_pair_table(spark, d).scored()).select("item_a", "item_b")
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs, counted in one batch."""
     return cooccurrence.pair_counts(table(spark, d, "big_dataset")).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n")
 
 
 def p7_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The same counts from a persistent table that got the deliveries in two batches, the late ones first."""
-    df = table(spark, d, "big_dataset")
-    late = F.col("loaded_at") >= F.col("labelled_at") + F.expr("INTERVAL 1 DAY")
-    late = F.coalesce(late, F.lit(False))
-    state = cooccurrence.PairTable(spark, scratch(spark, "pairs"))
-    state.apply(df.where(late))
-    state.apply(df.where(~late))
-    return cooccurrence.scores(state.counts()).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n")
+    """The same from the persistent table that got the deliveries in two batches."""
+    return _pair_table(spark, d).scored().select("item_a", "item_b", "n_ab", "n_a", "n_b", "n")
 
 
 def _limit(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
@@ -125,7 +129,7 @@ def _limit(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limit(spark, d, "container")
     sizes = tokens.counted(table(spark, d, "documents").select("doc_id", "text"))
-    return packing.pack(sizes, capacity).where("piece = 2").select("doc_id")
+    return packing.divided(packing.pack(sizes, capacity))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +139,13 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, capacity)
 
 
+def p8_unused(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by the rule's tokens; ``near_full``: at most 1 % more of them than the fewest."""
+    capacity, _ = _limit(spark, d, "container")
+    packed = packing.pack(tokens.counted(table(spark, d, "documents").select("doc_id", "text")), capacity)
+    return packing.summary(packed, capacity).select("n_items", "tokens", "overfull", (F.col("excess") <= 0.01).alias("near_full"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     return tokens.counted(table(spark, d, "documents").select("doc_id", "source", "text"), path=tokens.VOCABULARY)
 
@@ -165,7 +176,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             p1_found, p1_sentences, p2_found, p2_collapsed, p3_found, p3_entities, p4_found, p4_unlisted, p5_found,
-            p5_report, p6_found, p6_clean, p7_found, p7_pairs, p7_incremental, p8_found, p8_packed, p9_mixture,
+            p5_report, p6_found, p6_clean, p7_found, p7_pairs, p7_incremental, p8_found, p8_unused, p8_packed, p9_mixture,
             p9_shares, p10_found, p10_pieces,
         )
     }

@@ -17,7 +17,7 @@ import numpy as np
 from . import markup, plain_text, tokens
 
 BLOCK = 1 << 18  # code points handled at once
-RUN, RUN_UNSPACED = 3, 6
+RUN, RUN_UNSPACED = 5, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,7 +105,7 @@ def wholes(bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def runs(bounds: np.ndarray, codes: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct runs of each text: three words, six where they are single characters.
+    """(text, hash) of the distinct runs of each text: five words, ten where they are single characters.
 
     A text too short for a run has one for all its words.
     """

@@ -42,13 +42,35 @@ def test_counts_against_brute_force(spark):
 
 def test_batches_in_any_order_give_the_same_table(spark, tmp_path):
     state = C.PairTable(spark, str(tmp_path / "pairs"), buckets=4)
+    done = []
     for part in (ROWS[5:], ROWS[:3], ROWS[3:5]):
-        affected = state.apply(spark.createDataFrame(part, SCHEMA))
-        affected.collect()
-    assert as_set(C.scores(state.counts())) == brute(ROWS)
+        before = brute(done)
+        done += part
+        affected = as_set(state.apply(spark.createDataFrame(part, SCHEMA)))
+        assert as_set(state.scored()) == brute(done)
+        # what changed besides the number of records was scored again, with the new number
+        assert {r for r in brute(done) if r[:5] not in {x[:5] for x in before}} <= affected <= brute(done)
     again = state.apply(spark.createDataFrame(ROWS[:3], SCHEMA))  # delivered again: nothing changes
     assert again.count() == 0
-    assert as_set(C.scores(state.counts())) == brute(ROWS)
+    assert as_set(state.scored()) == brute(ROWS)
+
+
+def test_scores_follow_the_number_of_records_and_replaced_baskets(spark, tmp_path):
+    state = C.PairTable(spark, str(tmp_path / "pairs"), buckets=3)
+    state.apply(spark.createDataFrame([(k, ["a", "b"], None, T0) for k in range(4)], SCHEMA))
+    assert {(r["lift"], r["pmi"]) for r in state.scored().collect()} == {(1.0, 0.0)}
+    affected = state.apply(spark.createDataFrame([(10 + k, ["c"], None, T0) for k in range(4)], SCHEMA))
+    assert affected.count() == 0  # no count of a, b or their pair changed
+    assert {(r["n"], r["lift"], r["pmi"]) for r in state.scored().collect()} == {(8, 2.0, 1.0)}
+    gone = state.apply(spark.createDataFrame([(k, ["a", "c"], None, T0 + timedelta(1)) for k in range(4)], SCHEMA))
+    assert as_set(gone) == {("a", "c", 4, 4, 8, 8)} == as_set(state.scored())
+
+
+def test_long_basket_and_hot_item(spark, tmp_path):
+    rows = [(k, ["hot", f"i{k}"], None, T0) for k in range(3000)] + [(9000, [f"w{k:04}" for k in range(600)], None, T0)]
+    state = C.PairTable(spark, str(tmp_path / "pairs"))
+    state.apply(spark.createDataFrame(rows, SCHEMA))
+    assert state.scored().count() == 3000 + 600 * 599 // 2 and as_set(state.scored()) == brute(rows)
 
 
 def test_frequent_pairs_use_exact_bounds(spark):
