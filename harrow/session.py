@@ -99,42 +99,36 @@ def removed(spark: SparkSession, path: str) -> None:
 HOT_KEYS = 4096
 
 
-def hot_keys(big: DataFrame, on: list[str], least: int = 20_000) -> list[tuple]:
-    """(key values..., parts) of the keys that hold more than ``least`` rows and more than 1/4096 of all.
+def hot_keys(big: DataFrame, on: list[str], least: int = 20_000) -> list[tuple[int, int]]:
+    """(hash of the key, parts) of the keys that hold more than ``least`` rows and more than about 1/9,000 of all.
 
-    So many can't be more than 4,096, whatever the data.
+    A frequent-items sketch finds them map-side, without a shuffle of the keys; it misses none above that share, and
+    so many can't be more than some thousands, whatever the data.
     """
-    counts = big.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > least)
-    rows = counts.orderBy(F.desc("n")).limit(HOT_KEYS).collect()  # the key ranked 4,097th holds less than 1/4096
-    return [(*r[:-1], -(-r[-1] // least)) for r in rows]
+    sketch = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {HOT_KEYS}, {8 * HOT_KEYS})")
+    found = big.agg(sketch.alias("top")).first()[0] or []
+    return [(r["item"], -(-r["count"] // least)) for r in found if r["count"] > least]
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", least: int = 20_000) -> DataFrame:
     """``big`` joined with ``small`` on equal columns; rows of hot keys of ``big`` are salted, those of ``small`` copied to each salt.
 
-    ``how``: inner, left, left_semi or left_anti (of ``big``).  Columns besides ``on`` must differ in name.
+    ``how``: inner, left, left_semi or left_anti (of ``big``).  Columns besides ``on`` must differ in name.  ``big`` is
+    read twice, so it should be a table or a checkpoint.
     """
     hot = hot_keys(big, on, least)
     if not hot:
         return big.join(small, on, how)
-    spark = big.sparkSession
-    names = [f"_k{k}" for k in range(len(on))]
-    schema = ", ".join(f"{n} {big.schema[c].dataType.simpleString()}" for n, c in zip(names, on)) + ", _parts bigint"
-    table_ = F.broadcast(spark.createDataFrame(hot, schema))  # at most HOT_KEYS rows
+    parts = F.broadcast(big.sparkSession.createDataFrame(hot, "_key bigint, _parts bigint"))  # at most HOT_KEYS rows
 
     def marked(df: DataFrame) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names)]
-        cond = same[0]
-        for s in same[1:]:
-            cond = cond & s
-        return df.join(table_, cond, "left").drop(*names)
+        return df.withColumn("_key", F.xxhash64(*on)).join(parts, "_key", "left").drop("_key")
 
     row = F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")])
-    salted = marked(big).withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row, F.col("_parts")))).drop("_parts")
-    salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
-    copied = marked(small).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))))
-    ).drop("_parts")
+    salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row, F.col("_parts"))).cast("bigint")
+    salted = marked(big).withColumn("_salt", salt).drop("_parts")
+    last = F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))
+    copied = marked(small).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_parts")
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
