@@ -35,7 +35,7 @@ from ..session import cut, hot_keys, scratch, spread_join, spread_scan
 from . import wordcodes
 
 SIMILAR = 0.63
-CELLS = 1 << 24
+CELLS = 1 << 24  # the first 24 bits of the hash of a run
 BLOCK = 1 << 16  # cells of a block of the sketch
 SMALL = 500_000  # ids up to which they may be broadcast
 SHARE = 20  # a candidate shares a key, and one more for so many of its runs
@@ -55,7 +55,7 @@ def _canonical(b: pa.RecordBatch) -> list[str]:
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % CELLS
+    return (h >> np.uint64(wordcodes.BITS - 24)).astype(np.int64)
 
 
 _HASHED = "id bigint, is_train boolean, h bigint, g bigint, block int, offsets binary, counts binary"
@@ -166,8 +166,10 @@ def keys(rows: DataFrame, steps: np.ndarray, similar: float) -> DataFrame:
                     continue
                 n = np.bincount(t, minlength=len(h))
                 step = order_of[_cells(r)]
-                order = np.lexsort((r, step, t))
-                t, r, step = t[order], r[order], step[order]
+                # rarest first: texts stay together, equal steps go by the hash, whose last bits may be left out
+                low = np.uint64(wordcodes.BITS - 42)
+                order = np.argsort(t.astype(np.uint64) << np.uint64(wordcodes.BITS) | step.astype(np.uint64) << np.uint64(42) | r >> low, kind="stable")
+                r, step = r[order], step[order]
                 place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
                 length = n - np.ceil(similar * n - 1e-9).astype(np.int64) + least_shared(n)
                 keep = (place < length[t]) & (step > 0)

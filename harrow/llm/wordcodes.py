@@ -17,6 +17,7 @@ import numpy as np
 from . import markup, plain_text, tokens
 
 BLOCK = 1 << 18  # code points handled at once
+BITS = 50  # of the hash of a run; the other bits number the texts of a block
 RUN, RUN_UNSPACED = 5, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,7 +68,7 @@ def coded(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) < BLOCK):
+        while last < len(texts) and last - first < 1 << 64 - BITS and (last == first or size + len(texts[last]) < BLOCK):
             size += len(texts[last]) + 1
             last += 1
         points = np.frombuffer("\0".join(texts[first:last]).encode("utf-32-le", "replace"), np.uint32)
@@ -105,36 +106,36 @@ def wholes(bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def runs(bounds: np.ndarray, codes: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct runs of each text: five words, ten where they are single characters.
+    """(text, hash) of the distinct runs of each text, ascending: five words, ten where they are single characters.
 
-    A text too short for a run has one for all its words.
+    Hashes have ``BITS`` bits.  A text too short for a run has one for all its words.
     """
     n = len(codes)
     sizes = np.diff(bounds)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    found_t, found_h = [], []
+    text = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    found = []
+    have = np.zeros(len(sizes), bool)
     for size, starts in ((RUN, ~single), (RUN_UNSPACED, single)):
         if n < size or not starts.any():
             continue
         h = np.zeros(n - size + 1, np.uint64)
         for k in range(size):
-            h = (h ^ codes[k : n - size + 1 + k]) * _ODD
+            h ^= codes[k : n - size + 1 + k]
+            h *= _ODD
             h ^= h >> np.uint64(29)
-        ok = starts[: n - size + 1] & (text[: n - size + 1] == text[size - 1 :])
-        found_t.append(text[: n - size + 1][ok])
-        found_h.append(h[ok])
-    have = np.zeros(len(sizes), bool)
-    for t in found_t:
-        have[t] = True
-    short = np.flatnonzero(~have & (sizes > 0))
+        own = text[: n - size + 1]
+        ok = starts[: n - size + 1] & (own == text[size - 1 :])
+        own = own[ok]
+        have[own] = True
+        found.append(own << np.uint64(BITS) | h[ok] >> np.uint64(64 - BITS))
+    short = np.flatnonzero(~have & (sizes > 0)).astype(np.uint64)
     if short.size:
-        found_t.append(short)
-        found_h.append(wholes(bounds, codes)[0][short].view(np.uint64))
-    if not found_t:
+        whole = wholes(bounds, codes)[0][short].view(np.uint64)
+        found.append(short << np.uint64(BITS) | whole >> np.uint64(64 - BITS))
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    t, h = np.concatenate(found_t), np.concatenate(found_h)
-    order = np.lexsort((h, t))
-    t, h = t[order], h[order]
-    keep = np.ones(len(t), bool)
-    keep[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-    return t[keep], h[keep]
+    both = np.sort(np.concatenate(found))
+    keep = np.ones(len(both), bool)
+    keep[1:] = both[1:] != both[:-1]
+    both = both[keep]
+    return (both >> np.uint64(BITS)).astype(np.int64), both & np.uint64((1 << BITS) - 1)
