@@ -1,10 +1,15 @@
 """Mapping typed values to a reference list with a BK-tree under the Levenshtein metric.
 
 Each reference entry stands in the tree under every way it is usually written; a typed value is looked up under its
-normal forms.  Every entry within the radius of a form is found by triangle-inequality pruning, the nearest wins, ties
-go to the smallest reference id.  Distinct values are mapped once, whatever their number of rows.  The tree is
-broadcast only while the reference list has at most ``shard`` entries; a longer list is cut into shards of that size,
-each searched on its own, and the winners of the shards are merged by smallest distance.
+normal forms; abbreviated words are read as those of every entry that has words for all of them.  Every entry within the
+radius of a form is found by triangle-inequality pruning, the nearest wins, ties go to the smallest reference id.  A form
+of seven letters or fewer is taken for a slip only at one edit or two swapped neighbours, and only if the entry is
+written rightly at least ``RARER`` times as often as the value is typed: a frequent value near a short name is a name of
+its own.  Distinct values are mapped once, whatever their number of rows.
+
+A reference list of at most ``shard`` entries is one tree, made on the driver and sent to the tasks.  A longer one never
+reaches the driver: it is cut into shards, each task builds the tree of one shard and searches a part of the values in
+it, and the winners of the shards are merged by smallest distance.
 
 Defined results: null and blank values give no row; a value near no entry has ``ref_id`` 0; an empty reference list
 gives 0 for every value; repeated rows are mapped alike.  Extra columns are ignored.
@@ -18,46 +23,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, spread, spread_join
 from . import name_forms
 from .bktree import BKTree
 
 SHARD = 50_000
-SMALL = 200_000  # distinct values up to which their mapping may be broadcast
+CHUNK = 20_000  # values searched in one tree of a shard at a time
+RARER = 20  # times that a short name is written rightly for one slip
+FOUND = "value string, mentions bigint, distance int, ref_id int, short boolean"
 
 
 def radius(form: str, letters: int = 6) -> int:
-    """Edits allowed: none below 8 letters, then one for every ``letters``, at most 4."""
+    """Edits a form is searched with: up to 3 letters none, up to 7 two, then one for every ``letters``, at most 4."""
     n = len(form)
-    return 0 if n < 8 else min(4, n // letters)
-
-
-def _search(tree: BKTree, forms: Callable[[str], list[str]], letters: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = b.column(0).to_pylist()
-            best, open_ = [(10**6, 0)] * len(values), {}
-            for k, v in enumerate(values):
-                own = forms(v)
-                hit = [(0, r) for f in own if f in tree.exact for r in tree.values[tree.exact[f]]]
-                if hit:
-                    best[k] = min(hit)
-                else:
-                    open_[k] = own
-            # all entries within a smaller radius are nearer than any found later, so growing radii give the same winner
-            for most in (1, 2, 4):
-                queries = sorted({f for own in open_.values() for f in own if radius(f, letters) > most // 2})
-                near = {q: min(f) for q, f in zip(queries, tree.search(queries, lambda q: min(most, radius(q, letters)))) if f}
-                for k in list(open_):
-                    if hit := [near[f] for f in open_[k] if f in near]:
-                        best[k] = min(hit)
-                        del open_[k]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([d for d, _ in best], pa.int32()), pa.array([r for _, r in best], pa.int32())],
-                names=["value", "distance", "ref_id"],
-            )
-
-    return run
+    return 0 if n < 4 else 2 if n < 8 else min(4, n // letters)
+
+
+def slip(form: str, entry: str, d: int) -> bool:
+    """For short forms: is the distance ``d`` one edit, or two neighbours swapped?"""
+    if d < 2:
+        return True
+    off = [k for k, (a, b) in enumerate(zip(form, entry)) if a != b]
+    return len(form) == len(entry) and len(off) == 2 and off[1] == off[0] + 1 and form[off[0]] == entry[off[1]] and form[off[1]] == entry[off[0]]
+
+
+def search(tree: BKTree, forms: Callable[[str], list[str]], letters: int, values: list[str]) -> list[tuple[int, int, bool]]:
+    """(distance, ref_id, by a slip in a short form) of the nearest entry of each value; ref_id 0: none."""
+    best, open_ = [(10**6, 0, False)] * len(values), {}
+    for k, v in enumerate(values):
+        own = forms(v)
+        hit = [(0, r, False) for f in own if f in tree.exact for r in tree.values[tree.exact[f]]]
+        if hit:
+            best[k] = min(hit)
+        else:
+            open_[k] = own
+    # all entries within a smaller radius are nearer than any found later, so growing radii give the same winner
+    for most in (1, 2, 4):
+        queries = sorted({f for own in open_.values() for f in own if radius(f, letters) > most // 2})
+        near = {}
+        for q, found in zip(queries, tree.search(queries, lambda q: min(most, radius(q, letters)))):
+            if len(q) < 8:
+                found = [(d, r) for d, r in found if any(slip(q, w, d) for w in tree.names_of[r])]
+            if found:
+                near[q] = (*min(found), len(q) < 8)
+        for k in list(open_):
+            if hit := [near[f] for f in open_[k] if f in near]:
+                best[k] = min(hit)
+                del open_[k]
+    return best
+
+
+def build(rows: list[tuple], entries: Callable[..., list[str]]) -> BKTree:
+    """Tree of reference rows (id, then what ``entries`` takes)."""
+    tree = BKTree([(text, r[0]) for r in rows for text in entries(*r[1:])])
+    tree.names_of = {}
+    for r in rows:
+        tree.names_of.setdefault(r[0], []).extend(entries(*r[1:]))
+    return tree
+
+
+def _found(values: pa.Array, mentions: pa.Array, best: list[tuple[int, int, bool]]) -> list[pa.Array]:
+    return [values, mentions, *(pa.array([b[k] for b in best], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))]
+
+
+NAMES = ["value", "mentions", "distance", "ref_id", "short"]
 
 
 def map_values(
@@ -68,24 +97,44 @@ def map_values(
     shard: int = SHARD,
     letters: int = 6,
 ) -> DataFrame:
-    """``value, ref_id, distance`` for each distinct ``value``.
+    """``value, ref_id, distance, mentions`` for each distinct ``value``.
 
-    ``reference``: first the id, then what ``entries`` takes; ``forms`` gets the reference rows' names (of a shard) and
-    returns the function that gives a value's forms.
+    ``reference``: first the id, then what ``entries`` takes; ``forms`` gets the reference rows (of a shard) and returns
+    the function that gives a value's forms.
     """
+    reference = reference.where(F.col(reference.columns[0]).isNotNull())
     n = reference.count()
-    parts = max(1, -(-n // shard))
-    distinct = spread(values.select("value").distinct())
-    found = None
-    for k in range(parts):
-        own = reference if parts == 1 else reference.where(F.pmod(F.xxhash64(reference.columns[0]), F.lit(parts)) == k)
-        rows = sorted(tuple(r) for r in own.collect() if r[0] is not None)  # at most about ``shard`` rows
-        tree = BKTree([(text, r[0]) for r in rows for text in entries(*r[1:])])
-        hits = distinct.mapInArrow(_search(tree, forms(rows), letters), "value string, distance int, ref_id int")
-        found = hits if found is None else found.unionAll(hits)
-    if parts > 1:
-        found = found.groupBy("value").agg(F.min(F.struct("distance", "ref_id")).alias("b")).select("value", "b.*")
-    return found
+    counted = values.groupBy("value").agg(F.count("*").alias("mentions"))
+    if n <= shard:
+        rows = sorted(tuple(r) for r in reference.collect())  # at most ``shard`` rows
+        tree, own = build(rows, entries), forms(rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(_found(b.column(0), b.column(1), search(tree, own, letters, b.column(0).to_pylist())), names=NAMES)
+
+        found = cut(spread(counted).mapInArrow(run, FOUND))
+    else:
+        counted = cut(counted)
+        parts, chunks = -(-n // shard), max(1, -(-counted.count() // CHUNK))
+        order = reference.columns
+
+        def of_shard(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = sorted(zip(*(right.column(c).to_pylist() for c in order)))
+            best = search(build(rows, entries), forms(rows), letters, left.column("value").to_pylist())
+            return pa.table(_found(left.column("value"), left.column("mentions"), best), names=NAMES)
+
+        each = lambda k, n, name: k.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        cut_up = each(reference.withColumn("_shard", F.pmod(F.xxhash64(order[0]), F.lit(parts)).cast("int")), chunks, "_chunk")
+        asked = each(counted.withColumn("_chunk", F.pmod(F.xxhash64("value"), F.lit(chunks)).cast("int")), parts, "_shard")
+        hits = asked.groupBy("_shard", "_chunk").cogroup(cut_up.groupBy("_shard", "_chunk")).applyInArrow(of_shard, FOUND)
+        best = F.min(F.struct("distance", F.when(F.col("ref_id") == 0, 1).otherwise(0).alias("none"), "ref_id", "short")).alias("b")
+        found = cut(hits.groupBy("value", "mentions").agg(best).select("value", "mentions", "b.distance", "b.ref_id", "b.short"))
+    # a slip in a short name must be rare beside the name itself
+    right = found.where("distance = 0").groupBy("ref_id").agg(F.sum("mentions").alias("rightly"))
+    told = found.join(right, "ref_id", "left")
+    own = F.col("short") & (F.col("mentions") * RARER > F.coalesce("rightly", F.lit(0)))
+    return told.select("value", F.when(own, F.lit(0)).otherwise(F.col("ref_id")).alias("ref_id"), "distance", "mentions")
 
 
 def journals(values: DataFrame, journal_list: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -123,28 +172,13 @@ def parts(df: DataFrame, column: str, id_col: str = "id") -> DataFrame:
     )
 
 
-def attach(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``mapping`` joined to ``rows`` on ``value``; broadcast only if it was counted to be small.
-
-    A longer mapping is joined by shuffle, with the rows of hot values salted and the mapping copied to each salt.
-    """
-    mapping = cut(mapping)
-    if mapping.count() <= SMALL:
-        return rows.join(F.broadcast(mapping), "value")
-    hot = rows.groupBy("value").count().where("count > 100000").select("value", (F.col("count") / 100000).cast("int").alias("salts"))
-    salted = rows.join(hot, "value", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.coalesce(F.col("salts"), F.lit(0)) + 1).cast("int")
-    )
-    copied = mapping.join(hot, "value", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(0))))
-    )
-    return salted.drop("salts").join(copied.drop("salts"), ["value", "salt"]).drop("salt")
-
-
 def articles(articles_df: DataFrame, journal_list: DataFrame, affiliation_map: DataFrame) -> DataFrame:
     """``id, field, ref_id``, once for each article and entry it names."""
     whole = articles_df.where(F.col("journal").rlike(r"(?U)\S")).select("id", F.col("journal").alias("value"))
     split = parts(articles_df, "raw_affiliation")
-    j = attach(whole, journals(whole, journal_list)).select("id", F.lit("journal").alias("field"), "ref_id")
-    a = attach(split, organisations(split, affiliation_map)).select("id", F.lit("raw_affiliation").alias("field"), "ref_id")
+    named = lambda rows, mapping, field: spread_join(rows, mapping.select("value", "ref_id"), ["value"]).select(
+        "id", F.lit(field).alias("field"), "ref_id"
+    )
+    j = named(whole, journals(whole, journal_list), "journal")
+    a = named(split, organisations(split, affiliation_map), "raw_affiliation")
     return j.unionAll(a.dropDuplicates())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -55,13 +54,18 @@ class Vocabulary:
     """Words of a reference list; ``expand`` gives the words a token may abbreviate, most frequent first."""
 
     def __init__(self, names: Iterable[str]):
-        self.count = Counter(w for name in names for w in tokens(name))
+        self.names = [list(dict.fromkeys(tokens(name))) for name in names]
+        self.count = Counter(w for own in self.names for w in own)
         self._by_first: dict[str, list[str]] = {}
         for w, _ in self.count.most_common():
             self._by_first.setdefault(w[0], []).append(w)
         self._memo: dict[str, list[str]] = {}
+        self._holders: dict[str, set[int]] = {}
+        for k, own in enumerate(self.names):
+            for w in own:
+                self._holders.setdefault(w, set()).add(k)
 
-    def expand(self, token: str, most: int = 3) -> list[str]:
+    def expand(self, token: str) -> list[str]:
         if token in self.count:
             return [token]
         if token not in self._memo:
@@ -69,13 +73,29 @@ class Vocabulary:
             found = [w for w in same_start if w.startswith(token) and w != token]
             if not found and len(token) >= 3:
                 found = [w for w in same_start if abbreviates(token, w) and len(token) <= len(w) - 2]
-            self._memo[token] = found[:most] or [token]
+            self._memo[token] = found or [token]
         return self._memo[token]
 
-    def expanded(self, words: list[str], most: int = 8) -> list[str]:
-        """All readings of abbreviated words as joined strings, at most ``most``; the likeliest first."""
-        readings = itertools.product(*(self.expand(w) for w in words))
-        return [" ".join(r) for r in itertools.islice(readings, most)]
+    def expanded(self, words: list[str]) -> list[str]:
+        """Every reading of abbreviated words in which those of one name of the list stand for them, as joined strings.
+
+        Where no name has words for all of them, each is read as the most frequent word it may abbreviate.
+        """
+        short = {w: found for w in words if (found := self.expand(w)) != [w]}
+        if not short:
+            return [" ".join(words)]
+        names: set[int] | None = None
+        for found in sorted(short.values(), key=len):
+            own = set().union(*(self._holders[w] for w in found))
+            names = own if names is None else names & own
+            if not names:
+                return [" ".join(short[w][0] if w in short else w for w in words)]
+        out: dict[str, None] = {}
+        for k in sorted(names):
+            own = set(self.names[k])
+            read = {w: next(x for x in found if x in own) for w, found in short.items()}
+            out[" ".join(read.get(w, w) for w in words)] = None
+        return list(out)
 
 
 def rotations(words: list[str]) -> list[list[str]]:
