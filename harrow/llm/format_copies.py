@@ -5,7 +5,7 @@ matter.  Keys are grouped with map-side combining; only rows of keys that occur
 compared with the text of the smallest id of its key by the skipping comparison.  Rows that collide without being
 equal form new groups and are compared again until none is left, so the classes are exact.
 
-Groups of any size are spread: a key with n rows is compared in ceil(n / ``hot``) salted parts, to each of which the
+Groups of any size are spread: rows of hot keys meet their group in salted parts, and a key with n rows is compared in ceil(n / ``hot``) salted parts, to each of which the
 one representative is copied.
 
 Defined results: rows where either text is null or blank have no copies; rows with a null id are left out; an id that
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread_scan
+from ..session import cut, spread_join, spread_scan
 from . import foldhash
 
 HOT = 10_000
+SMALL = 500_000  # ids up to which they may be broadcast
 
 
 def keys(df: DataFrame, id_col: str = "id", left: str = "title", right: str = "abstract") -> DataFrame:
@@ -61,6 +62,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(texts: DataFrame, members: DataFrame, hot: int) -> DataFrame:
     """``members`` (id, first_id, n) compared with their representatives."""
     parts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    wanted = members.select("id").unionAll(members.select("first_id")).distinct()
+    small = wanted.count() <= SMALL
+    texts = texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
     rows = members.withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int"))
     reps = members.groupBy("first_id").agg(F.max(parts).alias("parts"))
     reps = (
@@ -81,7 +85,7 @@ def copies(
     texts = _filled(df, id_col, left, right)
     hashed = cut(keys(df, id_col, left, right))
     groups = hashed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members = hashed.join(groups, ["k1", "k2"]).where("id <> first_id").select("id", "first_id", "n")
+    members = cut(spread_join(hashed, groups, ["k1", "k2"]).where("id <> first_id").select("id", "first_id", "n"))
     found = None
     while True:
         checked = cut(_verified(texts, members, hot))
@@ -92,7 +96,7 @@ def copies(
             return found.distinct()
         # collided without being equal: the rest of each key is a group of its own
         groups = rest.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-        members = rest.join(groups, "key").where("id <> first_id").select("id", "first_id", "n")
+        members = cut(spread_join(rest, groups, ["key"]).where("id <> first_id").select("id", "first_id", "n"))
 
 
 def collapse(df: DataFrame, id_col: str = "id", left: str = "title", right: str = "abstract") -> DataFrame:

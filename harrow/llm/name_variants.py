@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, spread, spread_join
 from .canonical import parts
 from .name_forms import Vocabulary, near_stop, organisation_parts, plain
 
@@ -284,7 +284,7 @@ def persons(df: DataFrame, short_forms: DataFrame, column: str = "raw_authors")
         "second", F.when(F.length("initials") > 1, F.substring("initials", 2, 1))
     )
     few = few.select("letter", "second", "family").distinct()
-    fit = few.join(roots, ["letter", "family"]).withColumn(
+    fit = spread_join(roots, few, ["letter", "family"]).withColumn(
         "score",
         F.log("m")
         + F.when(F.col("second").isNull() | F.col("middle").isNull(), 0.0).when(F.col("second") == F.col("middle"), 3.0).otherwise(-6.0),
@@ -349,7 +349,7 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
             own, listed = count(word), vocabulary.count.pop(word, 0)
             vocabulary._memo.pop(word, None)
             least = 2 * own if dotted else max(3 * own, OWN + 1)
-            long = [w for w in vocabulary.expand(word, 50) if vocabulary.count.get(w, 0) >= least and w != word]
+            long = [w for w in vocabulary.expand(word) if vocabulary.count.get(w, 0) >= least and w != word]
             if listed:
                 vocabulary.count[word] = listed
             return max(long, key=lambda w: vocabulary.count[w]) if long else word
@@ -391,7 +391,7 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
                 found = [[correct(expand(w, value)) for w in p if not slip(w)] for p in found]
                 found = [p for p in found if p] or [[value.lower()]]
                 whole = " ".join(w for p in found for w in p)
-                sets = [" ".join(sorted({w for p in found[: len(found) - k] for w in p})) for k in range(min(3, len(found)))]
+                sets = [" ".join(sorted({w for p in found[: len(found) - k] for w in p})) for k in range(len(found))]
                 alone = found[0][0] if len(found[0]) == 1 else None
                 # a first part with a word of its own names the organisation without its places
                 own = len(found[0]) > 1 and min(map(count, found[0])) <= OWN
@@ -424,7 +424,11 @@ def organisations(df: DataFrame, column: str = "raw_affiliation") -> DataFrame:
 
 
 def pairs(linked: DataFrame) -> DataFrame:
-    """``name_a, name_b``: all pairs of spellings of one entity, in order of their code points."""
-    a = linked.select("entity", F.col("value").alias("name_a"))
-    b = linked.select("entity", F.col("value").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    """``name_a, name_b``: all pairs of spellings of one entity, in order of their code points.
+
+    This is the form of the result that was asked for; ``persons`` and ``organisations`` give a row per spelling.
+    """
+    linked = cut(linked.select("entity", "value"))
+    a = linked.withColumnRenamed("value", "name_a")
+    b = linked.withColumnRenamed("value", "name_b")
+    return spread_join(a, b, ["entity"], least=2000).where("name_a < name_b").select("name_a", "name_b")

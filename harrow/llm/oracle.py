@@ -50,5 +50,6 @@ def oracle_sql() -> dict[str, str]:
         "p8_found": f"SELECT doc_id FROM documents, (SELECT max_tokens FROM size_limits WHERE purpose = 'container') WHERE {_COUNT} > max_tokens",
         "p8_unused": f"""SELECT count(*)::BIGINT + coalesce(sum(ceil(c / m) - 1), 0)::BIGINT AS n_items, coalesce(sum(c), 0)::BIGINT AS tokens, 0::BIGINT AS overfull, true AS near_full
             FROM (SELECT {_COUNT} AS c FROM documents WHERE doc_id IS NOT NULL), (SELECT max_tokens::DOUBLE AS m FROM size_limits WHERE purpose = 'container') WHERE c > 0""",
+        "p10_limits": f"SELECT doc_id, ({_COUNT})::BIGINT AS n_tokens, true AS within, true AS counted FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')",
         "p10_found": f"SELECT doc_id FROM documents, (SELECT max_tokens FROM size_limits WHERE purpose = 'piece') WHERE {_COUNT} > max_tokens",
     }

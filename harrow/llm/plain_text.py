@@ -1,9 +1,10 @@
 """Markup residue: texts with HTML, XML, entities, Markdown, wiki or LaTeX markup become clean text.
 
-HTML is parsed into a tree of block nodes.  Each node has a composite text density: its characters per tag, lowered by
-the share of characters and tags that stand in links.  The node whose children's densities sum highest is the content;
-the least density on its path to the body is the threshold, and other nodes of the body stay if they reach it.  Inline
-elements (``i``, ``sub``, ...) count as text of their block, so that an article of one paragraph is kept whole.
+HTML is parsed into a tree of block nodes; each stretch of text between blocks, with its inline elements (``i``, ``sub``,
+...), is a leaf of its own.  Each node has a composite text density: its characters per tag, adjusted by the share of
+characters and tags that stand in links.  The node whose children's densities sum highest is the content (of equal ones
+the innermost); the least density on its path to the body is the threshold.  Outside the content a block stays if it
+reaches the threshold; inside it a block goes only if it is below the threshold and mostly links.  Headings stay.
 
 Structure stays visible in one notation: headings ``# ...``, items ``- ...``, code between ``` fences or single
 backticks, formulas between ``$`` or ``$$``, table rows ``| a | b |``.
@@ -40,11 +41,13 @@ NAVIGATION = {"nav", "aside", "footer", "menu"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "leaves", "sealed", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[Node | str] = []
+        self.leaves: list[Node] = []  # stretches of text, measured as nodes of their own
+        self.sealed = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -78,13 +81,17 @@ class Tree(HTMLParser):
         elif tag in BLOCKS and tag not in VOID:
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and self.at.tag == tag:
                 self.at = self.at.parent
+            self.at.sealed = True
             node = Node(tag, self.at)
             self.at.parts.append(node)
             self.at = node
+            node.link_tags += self.links > 0
+            return
         elif tag == "a":
             self.links += 1
-        self.at.tags += tag not in BLOCKS
-        self.at.link_tags += self.links > 0
+        leaf = self._leaf()
+        leaf.tags += 1
+        leaf.link_tags += self.links > 0
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,61 +128,87 @@ class Tree(HTMLParser):
 
     def _text(self, data: str) -> None:
         self.at.parts.append(data)
+        leaf = self._leaf()
         n = sum(not c.isspace() for c in data)
-        self.at.chars += n
+        leaf.chars += n
         if self.links:
-            self.at.link_chars += n
+            leaf.link_chars += n
+
+    def _leaf(self) -> Node:
+        """The stretch of text in hand: as long as no block begins or ends, the same."""
+        last = self.at.leaves[-1] if self.at.leaves else None
+        if last is None or self.at.sealed:
+            last = Node("#text", self.at)
+            self.at.leaves.append(last)
+            self.at.sealed = False
+        return last
 
 
 def _measure(root: Node) -> None:
-    """Composite text densities of all nodes, from the leaves up (no recursion: trees may be deep)."""
+    """Composite text densities of all nodes, from the leaves up (no recursion: trees may be deep).
+
+    The density of a node with C characters, T tags, of them LC and LT in links, N = C - LC, in a body with CB and LCB:
+    C/T * log(C/LC * T/LT) to the base ln(C/N * LC + LCB/CB * C + e).  Counts that are 0 below a fraction line, and the
+    links of texts that have none, are taken as 1.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += node.blocks()
     for node in reversed(order):
-        for child in node.blocks():
+        for child in [*node.leaves, *node.blocks()]:
             node.chars += child.chars
-            node.tags += child.tags + 1
+            node.tags += child.tags + (child.tag != "#text")
             node.link_chars += child.link_chars
             node.link_tags += child.link_tags
-    whole = root.link_chars / max(1, root.chars)
+    share = root.link_chars / max(1, root.chars)
     for node in order:
-        chars, tags = node.chars, max(1, node.tags)
-        plain = max(1, chars - node.link_chars)
-        if not chars:
-            continue
-        base = math.log(chars * node.link_chars / plain + whole * chars + math.e)
-        ratio = chars * tags / (max(1, node.link_chars) * max(1, node.link_tags))
-        node.density = chars / tags * max(0.0, math.log(max(1.0, ratio)) / math.log(max(base, 1.0 + 1e-9) + math.e))
+        for x in [node, *node.leaves]:
+            if x.chars:
+                tags, links, link_tags = max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
+                base = math.log(x.chars / max(1, x.chars - x.link_chars) * links + share * x.chars + math.e)
+                x.density = x.chars / tags * math.log(max(1.0, x.chars / links * tags / link_tags)) / math.log(base)
     for node in order:
-        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
-        node.total = sum(c.density for c in node.blocks()) + own
+        node.total = sum(c.density for c in [*node.leaves, *node.blocks()])
 
 
-def content(root: Node) -> set[int]:
-    """Ids of the nodes to keep."""
+def content(root: Node) -> tuple[set[int], list[Node]]:
+    """Ids of the nodes to keep, and the outermost blocks that go."""
     _measure(root)
     best, todo = root, [root]
     while todo:
         node = todo.pop()
-        if node.total > best.total:
+        if node.total > best.total or (node.total == best.total and node.total > 0 and _above(best, node)):
             best = node
         todo += [c for c in node.blocks() if c.tag not in NAVIGATION]
-    threshold, at = best.density, best
+    threshold, at = best.density, best.parent
     while at is not None:
         threshold = min(threshold, at.density)
         at = at.parent
+    path = set()
+    at = best
+    while at is not None:
+        path.add(id(at))
+        at = at.parent
     keep: set[int] = set()
+    gone: list[Node] = []
     todo2 = [(root, False)]
     while todo2:
         node, inside = todo2.pop()
-        inside = inside or node is best
-        if inside or node.density >= threshold or node.tag in HEADINGS or _above(node, best):
-            keep.add(id(node))
-            todo2 += [(c, inside) for c in node.blocks() if inside or c.tag not in NAVIGATION]
-    return keep
+        dense = node.density >= threshold
+        if id(node) in path or node.tag in HEADINGS:
+            stays = True
+        elif inside:
+            stays = dense or node.link_chars * 2 <= node.chars
+        else:
+            stays = dense and node.tag not in NAVIGATION
+        if not stays:
+            gone.append(node)
+            continue
+        keep.add(id(node))
+        todo2 += [(c, inside or node is best) for c in node.blocks()]
+    return keep, gone
 
 
 def _above(node: Node, best: Node) -> bool:
@@ -216,15 +249,36 @@ def _render(root: Node, keep: set[int]) -> str:
     return "".join(out)
 
 
-def from_html(text: str) -> str:
-    """Content of a text that holds HTML or XML, whole or broken."""
+def parsed(text: str) -> Node:
+    """Tree of a text that holds HTML or XML, whole or broken."""
     text = re.sub(r"<!--.*?(?:-->|\Z)", " ", text, flags=re.S)
     text = re.sub(r"<(?![A-Za-z/!?])", "&lt;", text)  # comparisons
     text = re.sub(rf"(</?{markup.NAME}(?:{markup.ATTRIBUTE})*)\s*(?=<|\Z)(?<!>)", r"\1>", text, flags=re.I)
     tree = Tree()
     tree.feed(text)
     tree.close()
-    return _render(tree.root, content(tree.root))
+    return tree.root
+
+
+def from_html(text: str) -> str:
+    """Content of a text that holds HTML or XML, whole or broken."""
+    root = parsed(text)
+    return _render(root, content(root)[0])
+
+
+def boilerplate(text: str) -> list[str]:
+    """Texts of the blocks that ``from_html`` leaves out for their density."""
+    gone = content(parsed(text))[1]
+    whole = []
+    for node in gone:
+        keep, todo = set(), [node]
+        while todo:
+            x = todo.pop()
+            keep.add(id(x))
+            todo += x.blocks()
+        if shown := re.sub(r"\s+", " ", _render(node, keep)).strip():
+            whole.append(shown)
+    return whole
 
 
 class _Kept:
@@ -246,6 +300,45 @@ class _Kept:
         return text
 
 
+_group = re.compile(r"\\[\\{}]|(\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{|\{\\[A-Za-z]+\s+)|([{}])")
+
+
+def _ungrouped(text: str) -> str:
+    """Commands with a group become what the group holds, however deep they are nested; plain groups stay."""
+    out: list[str] = []
+    open_: list[bool] = []  # of every open group: does its end go with it
+    at = 0
+    for m in _group.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[1]:
+            open_.append(True)
+        elif m[2] == "{":
+            open_.append(False)
+            out.append("{")
+        elif m[2] == "}":
+            if not open_ or not open_.pop():
+                out.append("}")
+        else:
+            out.append(m[0])
+    return "".join([*out, text[at:]])
+
+
+def _without_templates(text: str) -> str:
+    """Templates between double braces go, however deep they are nested; unmatched signs alone go too."""
+    out: list[str] = []
+    open_: list[int] = []
+    for x in re.split(r"(\{\{|\}\})", text):
+        if x == "{{":
+            open_.append(len(out))
+        elif x == "}}":
+            if open_:
+                del out[open_.pop() :]
+        else:
+            out.append(x)
+    return "".join(out)
+
+
 def from_latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", lambda m: kept.put(f"\n```\n{m[2].strip()}\n```\n"), text, flags=re.S)
     display = r"\\begin\{(?:equation|align|gather|displaymath|math|eqnarray|multline)\*?\}(.*?)\\end\{[a-z]+\*?\}|\\\[(.*?)\\\]|\$\$(.+?)\$\$"
@@ -256,11 +349,7 @@ def from_latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"\\item(?:\[[^\]]*\])?\s*", "\n- ", text)
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", text)
     text = re.sub(r"\s*\\(?:cite[a-z]*|ref|eqref|label|pageref|input|includegraphics|bibliography)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", text)
-    for _ in range(8):  # nested groups from the inside out
-        new = re.sub(r"\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{([^{}]*)\}|\{\\[A-Za-z]+\s+([^{}]*)\}", lambda m: m[1] if m[1] is not None else m[2], text)
-        if new == text:
-            break
-        text = new
+    text = _ungrouped(text)
     text = re.sub(r"\{\\[A-Za-z]+\s+|\\\\(?=\s|$)", " ", text)
     text = re.sub(r"\\([%&$#_{}])", r"\1", text)
     return re.sub(r"\\(?:[A-Za-z]{2,})(?![A-Za-z])\s?", "", text)
@@ -276,8 +365,7 @@ def from_wiki(text: str) -> str:
         return "\n" + "\n".join(lines) + "\n"
 
     text = re.sub(r"^\{\|.*?(?:^\|\}|\Z)", rows, text, flags=re.S | re.M)
-    for _ in range(4):
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    text = _without_templates(text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", lambda m: re.sub(r"^\w+:(?=\S)", "", m[1]), text)
     text = re.sub(r"^(={1,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", r"# \2", text, flags=re.M)
     text = re.sub(r"\[(?:https?://\S+)\s+([^\]]+)\]", r"\1", text)
@@ -351,3 +439,20 @@ def cleaned(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract"), id_c
     rows = rows.where(F.col("text").rlike(markup.SIGNS.pattern))
     kind = df.schema[id_col].dataType.simpleString()
     return spread_scan(rows).mapInArrow(run, f"`{id_col}` {kind}, field string, kinds array<string>, clean_text string")
+
+
+def dropped(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract"), id_col: str = "id") -> DataFrame:
+    """``id, field, block``: the blocks of HTML texts that are left out of the clean text for their density."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, name, text in zip(*(c.to_pylist() for c in b.columns)):
+                if "html" in markup.find(text):
+                    out += [(key, name, block) for block in boilerplate(text)]
+            kinds = (b.column(0).type, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[id_col, "field", "block"])
+
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields)))
+    rows = df.select(F.col(id_col), each.alias("x")).select(id_col, "x.field", "x.text").where(F.contains("text", F.lit("<")))
+    return spread_scan(rows).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, field string, block string")

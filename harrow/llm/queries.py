@@ -64,15 +64,9 @@ def p4_unlisted(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "articles_df")
     whole = df.where(F.col("journal").rlike(r"(?U)\S")).select(F.col("journal").alias("value"))
     split = canonical.parts(df, "raw_affiliation").select("value")
-    out = []
-    for field, values, mapped in (
-        ("journal", whole, canonical.journals(whole, table(spark, d, "journal_list"))),
-        ("raw_affiliation", split, canonical.organisations(split, table(spark, d, "affiliation_map"))),
-    ):
-        counts = values.groupBy("value").agg(F.count("*").alias("mentions"))
-        missed = counts.join(mapped.where("ref_id = 0").select("value"), "value")
-        out.append(missed.select(F.lit(field).alias("field"), "value", "mentions"))
-    return out[0].unionAll(out[1])
+    missed = lambda field, mapped: mapped.where("ref_id = 0").select(F.lit(field).alias("field"), "value", "mentions")
+    j = missed("journal", canonical.journals(whole, table(spark, d, "journal_list")))
+    return j.unionAll(missed("raw_affiliation", canonical.organisations(split, table(spark, d, "affiliation_map"))))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +91,11 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that the text densities of HTML texts leave out."""
+    return plain_text.dropped(table(spark, d, "articles_df"))
+
+
 def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
     """The persistent table of ``big_dataset`` after two batches: the deliveries that came late, then the others."""
     df = table(spark, d, "big_dataset")
@@ -160,15 +159,27 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap_tokens = _limit(spark, d, "piece")
-    cut_up = splitting.split(table(spark, d, "documents"), limit, overlap_tokens, with_text=False, only_long=True)
-    return cut_up.where("piece = 2").select("doc_id")
+    return splitting.split(table(spark, d, "documents"), limit, overlap_tokens, with_text=False).where("piece = 2").select("doc_id")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces by the tokens of a public tokenizer."""
+    """Pieces of all documents by the tokens of a public tokenizer."""
+    limit, overlap_tokens = _limit(spark, d, "piece")
+    return splitting.split(table(spark, d, "documents"), limit, overlap_tokens, path=tokens.VOCABULARY)
+
+
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document by the rule's tokens: how many it has, and whether its pieces keep limit, overlap and text."""
     limit, overlap_tokens = _limit(spark, d, "piece")
     docs = table(spark, d, "documents")
-    return splitting.split(docs, limit, overlap_tokens, path=tokens.VOCABULARY, only_long=True)
+    cut_up = splitting.split(docs, limit, overlap_tokens)
+    back = F.when(F.col("piece") > 1, F.least(F.lit(overlap_tokens), F.lit((limit - 1) // 2))).otherwise(0)
+    each = cut_up.groupBy("doc_id").agg(
+        F.sum(F.col("n_tokens") - back).cast("bigint").alias("n_tokens"),
+        (F.max("n_tokens") <= limit).alias("within"),
+        F.bool_and(F.col("n_tokens") == tokens.rule_count(F.col("piece_text"))).alias("counted"),
+    )
+    return each
 
 
 def queries() -> dict:
@@ -176,7 +187,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             p1_found, p1_sentences, p2_found, p2_collapsed, p3_found, p3_entities, p4_found, p4_unlisted, p5_found,
-            p5_report, p6_found, p6_clean, p7_found, p7_pairs, p7_incremental, p8_found, p8_unused, p8_packed, p9_mixture,
+            p5_report, p6_found, p6_clean, p6_dropped, p7_found, p7_pairs, p7_incremental, p8_found, p8_unused, p8_packed, p9_mixture,
             p9_shares, p10_found, p10_pieces,
+            p10_limits,
         )
     }

@@ -14,48 +14,121 @@ read whole.
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread_scan
 from . import markup
 
-# fixed values: characters with the property Sentence_Terminal that always end a sentence (STerm), and full stops (ATerm)
-STERM = (
-    "!?։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።"
-    "፧፨᙮᜵᜶᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻"
-    "᰼᱾᱿‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷"
-    "꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹖﹗！？｡"
-)
-ATERM = ".․﹒．…"
-CLOSERS = "\"'”’»)]}）」』›】〉》］｣"
+_all = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(sys.maxunicode + 1))
+# by the properties of the Unicode standard: what always ends a sentence, full stops, and closing marks of any script
+STERM = "".join(regex.findall(r"\p{Sentence_Break=STerm}", _all))
+ATERM = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _all)) + "…"
+CLOSERS = "".join(regex.findall(r"[\p{Pe}\p{Pf}\"']", _all))
+del _all
 OPENERS = "“„«「『‹《〈‟｢"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "《": "》", "〈": "〉", "‟": "”", "｢": "｣"}
 
-# fixed values: abbreviations that never end a sentence: titles, and words before a number or a name
-BEFORE_NAME = set(
-    "cv cvs var dr drs prof mr mrs ms mme mlle sr sra srta dra dott hr fr frl st ste sto sta gen col capt lt rev hon gov sen rep "
-    "ing lic mag dipl проф акад доц г-н г-жа им ул डॉ प्रो श्री श्रीमती".split()
-)
-BEFORE_NUMBER = set(
-    "no nos nr nro núm num fig figs tab tabs tabl tbl abb sect sec ch chap cap kap eq eqs eqn vol vols pp pg pág págs "
-    "art para par ref refs ex app ann approx ca cca circa env aprox ungef etwa vs ver n° стр рис табл гл п "
-    "jan feb mar apr jun jul aug sep sept oct nov dec ene abr ago dic déc févr avr juil mär okt dez янв фев апр авг сент "
-    "окт нояб дек bd hrsg тыс млн млрд".split()
-)
+# fixed values, by language ("" for all): abbreviations before a name: titles, varieties
+BEFORE_NAME = {
+    "": "cv cvs var dr prof st",
+    "en": "drs mr mrs ms ste gen col capt lt rev hon gov sen rep",
+    "es": "drs dra sr sra srta ing lic sto sta",
+    "pt": "drs dra sr sra ing eng sto sta",
+    "it": "dott sig ing",
+    "fr": "mme mlle ste ing",
+    "de": "drs ing mag dipl hr fr frl",
+    "ru": "проф акад доц г-н г-жа им ул",
+    "hi": "डॉ प्रो श्री श्रीमती",
+}
+# fixed values: abbreviations before a number, months among them
+BEFORE_NUMBER = {
+    "": "no nos nr fig figs tab tabs eq eqs eqn vol vols pp pg art par ref refs ex app ca cca circa vs ver n°",
+    "en": "sect sec ch chap cap para ann approx env jan feb mar apr jun jul aug sep sept oct nov dec",
+    "es": "nro núm cap pág págs aprox env ene feb mar abr jun jul ago sep sept oct nov dic",
+    "pt": "núm cap pág págs aprox jan fev abr mai jun jul ago set out nov dez",
+    "it": "cap pag pagg tav gen feb apr mag giu lug ago set ott nov dic",
+    "fr": "tabl chap sect env janv févr avr juil août sept oct nov déc",
+    "de": "abb tbl tabl kap sect bd hrsg ungef etwa ann jan feb mär apr jun jul aug sep sept okt nov dez",
+    "ru": "стр рис табл гл п янв фев апр авг сент окт нояб дек тыс млн млрд",
+}
 # fixed values: abbreviations inside a sentence, whatever follows
-INSIDE = set(
-    "cf vgl см ср e.g i.e e.g. viz bzw resp incl inkl excl exkl exc usw u.a z.b d.h p.ej p.ex т.е т.к т.д т.п publ s.d "
-    "ssp subsp var spp comp orig u.n".split()
-)
+INSIDE = {
+    "": "cf e.g i.e e.g. resp incl excl publ s.d ssp subsp var spp comp orig u.n viz exc",
+    "es": "p.ej",
+    "fr": "p.ex",
+    "pt": "p.ex",
+    "de": "vgl bzw inkl exkl usw u.a z.b d.h",
+    "ru": "см ср т.е т.к т.д т.п",
+}
 # fixed values: abbreviations that may be a sentence's last word
-PERHAPS_LAST = set(
-    "etc al ltd inc corp co llc plc bros jr sr a.m p.m u.s u.k u.s.a ph.d m.sc b.sc г гг др usw ecc s.a s.l gmbh ag "
-    "dept univ assoc min max sp".split()
-)
+PERHAPS_LAST = {
+    "": "etc al ltd inc corp co llc plc bros jr sr a.m p.m u.s u.k u.s.a ph.d m.sc b.sc univ assoc min max sp s.a s.l gmbh ag",
+    "en": "dept",
+    "it": "ecc",
+    "de": "usw",
+    "ru": "г гг др",
+}
+# fixed values: common words that tell a language written in Latin letters
+COMMON_WORDS = {
+    "en": "the of and was were with for that which by from",
+    "es": "el los las del una que con por para según entre",
+    "pt": "os das dos uma que com por para não foram em",
+    "it": "il gli della delle una che con per sono nel di",
+    "fr": "le les des une que avec pour dans selon et sur",
+    "de": "der die das und mit von den dem eine wurde für",
+}
+SAYING = set("said says say saying answered answer replied reply was is say, said, was: is:".split())
+TITLES_IN_CAPITALS = set("gen col capt lt rev hon gov sen rep ms mr mrs".split())  # English: in small letters they are words
+
+
+class Lists(NamedTuple):
+    """The abbreviations that hold for a text."""
+
+    before_name: frozenset[str]
+    before_number: frozenset[str]
+    inside: frozenset[str]
+    perhaps_last: frozenset[str]
+    english: bool
+
+
+@lru_cache(maxsize=256)
+def lists(languages: tuple[str, ...]) -> Lists:
+    """Lists of some languages together with those of all."""
+    own = lambda table: frozenset(w for k in ("", *languages) for w in table.get(k, "").split())
+    return Lists(own(BEFORE_NAME), own(BEFORE_NUMBER), own(INSIDE), own(PERHAPS_LAST), languages == ("en",))
+
+
+_latin = {k: frozenset(v.split()) for k, v in COMMON_WORDS.items()}
+_cyrillic, _devanagari = re.compile(r"[\u0400-\u04ff]"), re.compile(r"[\u0900-\u097f]")
+
+
+def languages(text: str) -> tuple[str, ...]:
+    """Languages of a text: by its scripts, and by common words where the script is Latin; all where nothing tells.
+
+    A text in two languages has both.
+    """
+    found = []
+    words = set(text.lower().split())
+    score = {k: len(words & v) for k, v in _latin.items()}
+    most = max(score.values())
+    if most:
+        found += [k for k, n in score.items() if n * 2 > most]
+    if _cyrillic.search(text):
+        found.append("ru")
+    if _devanagari.search(text):
+        found.append("hi")
+    return tuple(found) or tuple(_latin)
+
+
 ORDINAL_BEFORE = set("am im vom zum zur der dem den des die das bis seit ab beim und jeder jedem".split())
 MONTHS = set(
     "januar februar märz april mai juni juli august september oktober november dezember jahr jahrhundert".split()
@@ -69,29 +142,41 @@ _space = re.compile(r"\s+")
 _number = re.compile(r"\d{1,2}$")
 _address = re.compile(r"://|^www\.|@|\.(?:com|org|net|example|png|jpe?g|gif|pdf|html?|csv|txt|xml)\b", re.I)
 
-_single = re.compile(r"(?<!\S)[‘'](?=[^\s'’])[^\n]{1,300}?[.!?,…][’'](?!\w)")  # single marks that quote; others are apostrophes
-
-LONGEST_QUOTE = 600  # characters after which an opening mark counts as unmatched
-LONGEST_BRACKET = 300
+# single marks that quote; others are apostrophes
+_single = re.compile(r"(?<!\S)[‘'](?=[^\s'’])(?:(?!\s[‘'])[^\n])+?[.!?,…][’'](?!\w)")
+_break = re.compile(r"\n[ \t\r]*\n")
+_item = re.compile(r"(?:^|[.;:!?\n])\s*\w{1,2}$")
 
 
 def _spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Quotations and bracketed remarks as (opening, closing) positions; unmatched marks give none."""
+    """Quotations and bracketed remarks as (opening, closing) positions, of any length; unmatched marks give none.
+
+    A mark is matched within its paragraph.  Straight marks are told by what stands around them: one that can only open
+    begins a new quotation, one that can only close (an inch) begins none.
+    """
+    breaks = [m.start() for m in _break.finditer(text)] if "\n" in text else []
     quotes: list[tuple[int, int]] = []
     if _quote.search(text):
         open_at, wanted = -1, ""
         for m in _quote.finditer(text):
             c, k = m[0], m.start()
-            if open_at >= 0 and k - open_at > LONGEST_QUOTE:
+            if open_at >= 0 and breaks and bisect_left(breaks, k) != bisect_left(breaks, open_at):
                 open_at = -1
-            if open_at >= 0:
+            if c == '"' and (open_at < 0 or wanted == '"'):
+                before, after = text[k - 1 : k], text[k + 1 : k + 2]
+                starts_word = not before or before.isspace() or before in "([{（"
+                ends_word = not after or after.isspace() or after in ".,;:!?)]}）"
+                if open_at >= 0 and not (starts_word and not ends_word):
+                    quotes.append((open_at, k))
+                    open_at = -1
+                elif open_at >= 0 or starts_word or not ends_word:
+                    open_at, wanted = k, '"'
+            elif open_at >= 0:
                 if c in wanted:
                     quotes.append((open_at, k))
                     open_at = -1
-                elif c in PAIRS and wanted in ("”", "“”"):
+                elif c in PAIRS and (wanted in ("”", "“”") or PAIRS[c] == wanted):
                     open_at, wanted = k, PAIRS[c]
-            elif c == '"':
-                open_at, wanted = k, '"'
             elif c in PAIRS:
                 open_at, wanted = k, PAIRS[c]
         edges = len(text) - len(text.lstrip()), len(text.rstrip()) - 1
@@ -99,15 +184,20 @@ def _spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     if "'" in text or "‘" in text:
         single = [(m.start(), m.end() - 1) for m in _single.finditer(text)]
         quotes = sorted(quotes + [s for s in single if not any(a <= s[0] <= b for a, b in quotes)])
-    brackets, stack = [], []
+    brackets: list[tuple[int, int]] = []
+    stack: list[int] = []
     if "(" in text or "（" in text:
         for m in re.finditer(r"[()（）]", text):
+            k = m.start()
+            if stack and breaks and bisect_left(breaks, k) != bisect_left(breaks, stack[-1]):
+                stack.clear()
             if m[0] in "(（":
-                stack.append(m.start())
-            elif stack:
+                stack.append(k)
+            elif stack and not (m[0] == ")" and _item.search(text, max(stack[-1] + 1, k - 8), k)):
                 start = stack.pop()
-                if not stack and m.start() - start <= LONGEST_BRACKET:
-                    brackets.append((start, m.start()))
+                while brackets and brackets[-1][0] > start:  # those inside
+                    brackets.pop()
+                brackets.append((start, k))
     return quotes, brackets
 
 
@@ -123,6 +213,7 @@ def starts(text: str) -> list[int]:
     small_case = one_case and lower > upper
     quotes, brackets = _spans(text)
     thai = _thai.search(text) is not None
+    own = lists(languages(text))
     nq = nb = 0
     end = len(text)
     cuts: list[int] = []
@@ -154,7 +245,7 @@ def starts(text: str) -> list[int]:
         if n >= end:
             break
         nxt = text[n]
-        if _ends(text, m[0], i, j, k, n, nxt, at, quote, blank is not None, one_case, small_case):
+        if _ends(text, m[0], i, j, k, n, nxt, at, quote, blank is not None, one_case, small_case, own):
             cuts.append(n)
             at = n
     if thai:
@@ -162,7 +253,7 @@ def starts(text: str) -> list[int]:
     return out + cuts
 
 
-def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case) -> bool:
+def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case, own) -> bool:
     if nxt in ",;:،؛，；：、)]}）」』»›”":
         return False
     after = text[n : n + 2]
@@ -184,7 +275,7 @@ def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case) -
         return not small and not one_case or (one_case and not text[i - 1 : i].isspace() and blank)
     word = _word_before.search(text, max(at, i - 40), i)[0]
     if not blank and k == j:
-        return _glued(text, word, nxt, n, small_case)
+        return _glued(text, word, nxt, n, small_case, own)
     bare = word.lower().strip("([{'’-–—.")
     if not bare:
         return not small
@@ -192,12 +283,16 @@ def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case) -
         return False
     if k > j:  # closing marks after the stop, such as a bracket
         return not small or one_case
-    if bare in BEFORE_NAME or bare in INSIDE:
+    if bare in own.inside:
+        return False
+    if bare in own.before_name and (one_case or not own.english or bare not in TITLES_IN_CAPITALS or word.strip("([{'’-–—.")[:1].isupper()):
         return False
-    if bare in BEFORE_NUMBER:
+    if bare == "no" and own.english and text[max(at, i - 24) : i - len(word)].lower().split()[-1:] and text[max(at, i - 24) : i - len(word)].lower().split()[-1] in SAYING:
+        return True  # an answer, not a number
+    if bare in own.before_number:
         return not (nxt.isdigit() or nxt in ".§" or small)
     last = bare.rpartition(".")[2]
-    if bare in PERHAPS_LAST:
+    if bare in own.perhaps_last:
         return not small and not (one_case and bare != "etc") if nxt.isalpha() else not nxt.isdigit() or bare == "etc"
     if len(last) == 1 and last.isalpha() and not _cjk(last):  # initials, genera, N.E., z. B.
         return False
@@ -215,7 +310,7 @@ def _cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "一" <= c <= "鿿"
 
 
-def _glued(text: str, word: str, nxt: str, n: int, small_case: bool) -> bool:
+def _glued(text: str, word: str, nxt: str, n: int, small_case: bool, own: Lists) -> bool:
     """A full stop without a blank after it: decimals, addresses and dotted abbreviations go on."""
     tail = re.match(r"\S*", text[n : n + 40])[0]
     if _address.search(word + "." + tail):
@@ -235,7 +330,7 @@ def _glued(text: str, word: str, nxt: str, n: int, small_case: bool) -> bool:
     if nxt.isupper() or text[n + 1 : n + 2].isupper():
         if prev.isdigit() or prev in ")%»”]":
             return True
-        if letters and letters[0].lower() in BEFORE_NAME | INSIDE | BEFORE_NUMBER:
+        if letters and any(letters[0].lower() in x for x in (own.before_name, own.inside, own.before_number)):
             return False
         return bool(letters) and len(letters[0]) > 1 and text[n + 1 : n + 2] != "."
     if _cjk(nxt) or not (nxt.isupper() or nxt.islower()):

@@ -1,13 +1,13 @@
 """Splitting oversized texts at natural boundaries, with overlap between consecutive pieces.
 
-The separators form a hierarchy: section, paragraph, sentence, word, character.  A text is a row of units (tokens of
-the rule, or words of a public tokenizer with their token counts); before each unit stands the highest separator found
-there.  Units are packed greedily: a piece ends at the last separator of the highest kind that lies in its second half
-within the limit, else at the next lower kind, and at the limit itself when there is none.  The next piece begins
-``overlap`` tokens before that end.  A unit larger than the limit is itself cut between characters.
-
-Defined results: null and blank texts and texts up to the limit give one piece or, for ``only_long``, none; every
-character that is not white space is in a piece; a last piece may be short, but always holds more than the overlap; the
+The separators form a hierarchy: section, paragraph, sentence, word, character.  A text that is too large is split at
+its sections; a section that is still too large at its paragraphs, such a paragraph at its sentences, such a sentence
+between words, and a word between characters.  What comes out are the text's parts in order, each small enough to follow
+an overlap.  They are packed greedily: a piece takes whole parts while they fit into the limit, and the next piece begins
+``overlap`` tokens before its end.
+
+Defined results: null and blank texts give no piece; texts up to the limit give one; every character that is not white
+space is in a piece; a last piece may be short, but always holds more than the overlap; the
 overlap is exact with the rule's tokens and, with a public tokenizer, the least run of whole words that reaches it; an
 overlap of half the limit or more is cut down to less than half.  Texts of any length are read whole.
 """
@@ -15,7 +15,9 @@ overlap of half the limit or more is cut down to less than half.  Texts of any l
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,35 @@ _paragraph = re.compile(r"\n[ \t\r]*\n\s*|\n(?=[ \t]*(?:[-*+•]|\d{1,3}[.)])\s)
 Units = tuple[np.ndarray, np.ndarray, np.ndarray]  # starts, ends, token counts
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 white space, 1 in a run that is one token, 2 a token by itself."""
+    import regex
+
+    whole = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "-" for c in range(sys.maxunicode + 1))
+    kind = np.full(len(whole), 2, np.uint8)
+    for k, sign in ((1, r"[\p{L}\p{N}]+"), (2, rf"[\p{{Han}}{tokens.KANA_THAI}]+"), (0, r"\p{White_Space}+")):
+        for m in regex.finditer(sign, whole):
+            kind[m.start() : m.end()] = k
+    return kind
+
+
+def _kind_of(text: str) -> np.ndarray:
+    return _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def rule_units(text: str) -> Units:
-    spans = np.array([m.span() for m in tokens.rule().finditer(text)], np.int64).reshape(-1, 2)
-    return spans[:, 0], spans[:, 1], np.ones(len(spans), np.int64)
+    """The tokens of the rule, by one table lookup a character."""
+    kind = _kind_of(text)
+    run = kind == 1
+    begins = kind == 2
+    begins[:1] |= run[:1]
+    begins[1:] |= run[1:] & ~run[:-1]
+    stops = kind == 2
+    stops[-1:] |= run[-1:]
+    stops[:-1] |= run[:-1] & ~run[1:]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.ones(len(starts), np.int64)
 
 
 def vocabulary_units(path: str, limit: int) -> Callable[[str], Units]:
@@ -77,55 +105,75 @@ def vocabulary_units(path: str, limit: int) -> Callable[[str], Units]:
     return units
 
 
-def levels(text: str, starts: np.ndarray) -> np.ndarray:
-    """The highest separator before each unit."""
-    level = np.zeros(len(starts), np.int8)
-    if not len(starts):
-        return level
-    blank = np.array([c.isspace() for c in text] + [True])
-    level[blank[starts] | blank[np.maximum(starts - 1, 0)]] = WORD
-
-    def mark(positions: list[int], kind: int) -> None:
-        if positions:
-            p = np.asarray(positions)
-            at = np.searchsorted(starts, p)
-            # a unit may hold the blank before its word
-            back = np.maximum(at - 1, 0)
-            held = (at > 0) & (starts[back] < p) & blank[starts[back]] & (starts[back] >= p - 2)
-            at = np.where(held, back, at)
-            at = at[at < len(starts)]
-            level[at] = np.maximum(level[at], kind)
-
-    mark(sentences.starts(text), SENTENCE)
-    mark([m.end() for m in _paragraph.finditer(text)], PARAGRAPH)
-    mark([m.start() for m in _heading.finditer(text)], SECTION)
-    return level
-
-
-def pieces(n: np.ndarray, level: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Unit ranges [a, b) of the pieces."""
-    overlap = max(0, min(overlap, (limit - 1) // 2))
-    before = np.concatenate(([0], np.cumsum(n)))
-    total = len(n)
-    at_least = [np.flatnonzero(level >= k) for k in range(SECTION + 1)]
-    out, a, covered = [], 0, 0
-    while True:
-        if before[total] - before[a] <= limit:
-            out.append((a, total))
-            return out
-        last = int(np.searchsorted(before, before[a] + limit, "right")) - 1  # the piece may end before this unit
-        last = max(last, covered + 1, a + 1)
-        first = max(int(np.searchsorted(before, before[a] + max(limit // 2, overlap + 1))), covered + 1)
-        b = last
-        for kind in range(SECTION, CHARACTER, -1):
-            k = int(np.searchsorted(at_least[kind], last, "right")) - 1
-            if k >= 0 and first <= at_least[kind][k] <= last:
-                b = int(at_least[kind][k])
-                break
+class Separators:
+    """Where each kind of separator stands before a unit of a text; sentences are sought only where they are wanted."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.starts, self.ends = text, starts, ends
+        self.blank = np.append(_kind_of(text) == 0, True)
+        self._whole: dict[int, np.ndarray] = {}
+
+    def units(self, positions: list[int]) -> np.ndarray:
+        """Numbers of the units that begin at character positions, or hold the blank before them."""
+        p = np.asarray(positions, np.int64)
+        at = np.searchsorted(self.starts, p)
+        back = np.maximum(at - 1, 0)
+        held = (at > 0) & (self.starts[back] < p) & self.blank[self.starts[back]] & (self.starts[back] >= p - 2)
+        return np.unique(np.where(held, back, at))
+
+    def inside(self, kind: int, lo: int, hi: int) -> np.ndarray:
+        """Units after ``lo`` and before ``hi`` that stand behind a separator of this kind."""
+        if kind == SENTENCE:
+            first = int(self.starts[lo])
+            found = self.units([first + x for x in sentences.starts(self.text[first : int(self.ends[hi - 1])])])
+        else:
+            if kind not in self._whole:
+                if kind == SECTION:
+                    whole = self.units([m.start() for m in _heading.finditer(self.text)])
+                elif kind == PARAGRAPH:
+                    whole = self.units([m.end() for m in _paragraph.finditer(self.text)])
+                else:
+                    whole = np.flatnonzero(self.blank[self.starts] | self.blank[np.maximum(self.starts - 1, 0)])
+                self._whole[kind] = whole
+            found = self._whole[kind]
+        return found[np.searchsorted(found, lo, "right") : np.searchsorted(found, hi)]
+
+
+def parts(before: np.ndarray, separators: Separators, first: int, later: int) -> list[int]:
+    """Ends of the parts of a text, in order: at most ``first`` tokens for a part at its start, ``later`` for others.
+
+    ``before``: tokens before each unit, and of all.
+    """
+    out: list[int] = []
+    todo = [(0, len(before) - 1, SECTION)]
+    while todo:
+        lo, hi, kind = todo.pop()
+        most = first if lo == 0 else later
+        if before[hi] - before[lo] <= most:
+            out.append(hi)
+        elif kind == CHARACTER:
+            at = max(lo + 1, int(np.searchsorted(before, before[lo] + most, "right")) - 1)
+            out.append(at)
+            if at < hi:
+                todo.append((at, hi, CHARACTER))
+        else:
+            bounds = [lo, *separators.inside(kind, lo, hi).tolist(), hi]
+            todo += [(a, b, kind - 1) for a, b in zip(bounds[-2::-1], bounds[:0:-1])]
+    return out
+
+
+def pack(before: np.ndarray, ends: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Unit ranges [a, b) of the pieces: as many parts as fit, each piece from ``overlap`` tokens before the last one's end."""
+    out, a, b, k = [], 0, 0, 0
+    bounds = np.asarray(ends)
+    while k < len(ends):
+        if out:
+            a = max(int(np.searchsorted(before, before[b] - overlap, "right")) - 1, a + 1) if overlap else b
+        last = int(np.searchsorted(before[bounds], before[a] + limit, "right"))
+        k = max(last, k + 1)
+        b = ends[k - 1]
         out.append((a, b))
-        covered = b
-        a = int(np.searchsorted(before, before[b] - overlap, "right")) - 1 if overlap else b
-        a = max(a, out[-1][0] + 1)
+    return out
 
 
 def split_text(text: str, limit: int, overlap: int, units: Callable[[str], Units] = rule_units) -> list[tuple[int, int, int]]:
@@ -133,10 +181,13 @@ def split_text(text: str, limit: int, overlap: int, units: Callable[[str], Units
     starts, ends, n = units(text)
     if not len(starts):
         return []
-    if int(n.sum()) <= limit:
-        return [(int(starts[0]), int(ends[-1]), int(n.sum()))]
-    found = pieces(n, levels(text, starts), limit, overlap)
     before = np.concatenate(([0], np.cumsum(n)))
+    if before[-1] <= limit:
+        return [(int(starts[0]), int(ends[-1]), int(before[-1]))]
+    overlap = max(0, min(overlap, (limit - 1) // 2))
+    # whole units may reach further back than the overlap
+    later = max(1, limit - overlap - (int(n.max()) - 1 if overlap else 0))
+    found = pack(before, parts(before, Separators(text, starts, ends), limit, later), limit, overlap)
     return [(int(starts[a]), int(ends[b - 1]), int(before[b] - before[a])) for a, b in found]
 
 
@@ -148,27 +199,19 @@ def split(
     text_col: str = "text",
     path: str | None = None,
     with_text: bool = True,
-    only_long: bool = False,
 ) -> DataFrame:
     """``id_col, piece, pieces, start_pos, n_tokens`` and, if wanted, ``piece_text``; positions and numbers from 1.
 
-    ``path``: vocabulary of a public tokenizer, None for the rule.  ``only_long`` leaves out texts of one piece; with
-    the rule they are told apart inside the JVM.
+    ``path``: vocabulary of a public tokenizer, None for the rule.
     """
     rows = df.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
-    if only_long and path is None:
-        rows = rows.where(tokens.rule_count(F.col("text")) > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = rule_units if path is None else vocabulary_units(path, limit)
         for b in batches:
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if only_long and path is not None and len(text) <= limit // 4:  # at most four tokens a character
-                    continue
                 found = split_text(text, limit, overlap, units)
-                if only_long and len(found) < 2:
-                    continue
                 for k, (x, y, n) in enumerate(found, 1):
                     out.append((key, k, len(found), x + 1, n, text[x:y] if with_text else None))
             kinds = [b.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]

@@ -112,9 +112,38 @@ def test_cuts_are_at_sentences_where_possible():
     assert all(TEXT[:e].endswith(".") for _, e, _ in found[:-1])
 
 
+def test_higher_separators_come_first():
+    section = lambda name, n: f"# {name}\n" + " ".join(f"word{k}" for k in range(n - 2))
+    text = section("One", 43) + "\n" + section("Two", 95)
+    found = splitting.split_text(text, 100, 0)
+    assert [n for _, _, n in found] == [43, 95] and text[found[1][0] :].startswith("# Two")
+    # a section that is too large goes by paragraphs, such a paragraph by sentences
+    long = "# Three\n" + "\n\n".join(" ".join("It was dry." for _ in range(k)) for k in (10, 20, 60, 5))
+    found = splitting.split_text(text + "\n" + long, 120, 10)
+    ends = [(text + "\n" + long)[:e] for _, e, _ in found]
+    assert all(e.endswith(".") or e.rstrip().endswith(("word40", "word92")) for e in ends)
+    assert all(n <= 120 for _, _, n in found) and found[0][2] == 43 and found[1][2] == 105
+
+
+def test_rule_units_are_the_tokens_of_the_rule():
+    for text in ["", " a", "one two-three é½", "中文字abc, 12\u3000テスト・ไทย x", "a\u0301b _x_", "\ud800 lone"]:
+        starts, ends, n = splitting.rule_units(text)
+        assert [text[a:b] for a, b in zip(starts, ends)] == tokens.rule().findall(text)
+
+
+def test_containers_are_nearly_full(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(k, rng.choice([7, 30, 111, 900, 2500, rng.randint(1, 2000)])) for k in range(9000)], "doc_id bigint, n_tokens bigint")
+    packed = packing.pack(df, 2048, chunk=500)
+    row = packing.summary(packed, 2048).first()
+    assert row["overfull"] == 0 and row["excess"] < 0.01 and row["tokens"] == df.agg({"n_tokens": "sum"}).first()[0]
+    assert {r[0] for r in packing.divided(packed).collect()} == {r[0] for r in df.where("n_tokens > 2048").collect()}
+    assert packing.summary(packing.pack(df.where("doc_id < 0"), 2048), 2048).first()["n_containers"] == 0
+
+
 def test_split_defined_cases(spark):
     df = spark.createDataFrame([(1, None), (2, " "), (3, "short"), (4, "w " * 500), (4, "w " * 500)], "doc_id bigint, text string").selectExpr("*", "1 as piece")
     got = splitting.split(df, 100, 10).collect()
     assert {r["doc_id"] for r in got} == {3, 4}
-    assert {r["doc_id"] for r in splitting.split(df, 100, 10, only_long=True).collect()} == {4}
+    assert {r["doc_id"] for r in got if r["piece"] == 2} == {4}
     assert splitting.split(df.where("doc_id > 9"), 100, 10).count() == 0
