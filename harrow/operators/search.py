@@ -29,20 +29,22 @@ class Index:
     def build(cls, docs: DataFrame, columns: list[str], id_col: str = "id", path: str | None = None) -> Index:
         """Index the texts of ``columns`` together; terms never span two of them.
 
-        The postings are a written table, by default in the shared folder: searches read it and don't tokenise again.
+        Postings and vocabulary are written tables, by default in the shared folder: searches read them and neither
+        tokenise nor count again.
         """
         words = spread_scan(docs.select(id_col, *(c for c in columns if c != id_col))).select(F.col(id_col).alias("doc_id"), *(T.token_list(c).alias(f"w{k}") for k, c in enumerate(columns)))
         terms = [x for k in range(len(columns)) for x in (F.col(f"w{k}"), T.bigrams(F.col(f"w{k}")))]
         path = path or scratch(docs.sparkSession, "index")
-        words.select("doc_id", F.explode(F.array_distinct(F.concat(*terms))).alias("term")).write.parquet(path)
+        words.select("doc_id", F.explode(F.array_distinct(F.concat(*terms))).alias("term")).write.parquet(f"{path}/postings")
+        vocabulary = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        vocabulary = vocabulary.withColumn("prefix", F.substring("term", 1, 3)).withColumn("n_words", F.size(F.split("term", " ")))
+        vocabulary.write.parquet(f"{path}/vocabulary")
         return cls.load(docs.sparkSession, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        rows = spark.read.parquet(path)
-        vocabulary = rows.groupBy("term").agg(F.count("*").alias("df"))
-        vocabulary = vocabulary.withColumn("prefix", F.substring("term", 1, 3)).withColumn("n_words", F.size(F.split("term", " ")))
-        return cls(rows, vocabulary)
+        kinds = "term string, df bigint, prefix string, n_words int"
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.schema(kinds).parquet(f"{path}/vocabulary"))
 
     def lookup(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term).select("doc_id")

@@ -4,18 +4,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedupe, merging, search
-from ..session import table
+from ..session import scratch, table, written
 from . import query, sql
 
 A = "articles_df"
-_POST = f"""t AS (SELECT id, {sql.tokens('title')} AS l FROM articles_df UNION ALL SELECT id, {sql.tokens('keywords')} AS l FROM articles_df),
+INDEXED = ("title", "abstract", "keywords", "identificators")
+_POST = "t AS (" + " UNION ALL ".join(f"SELECT id, {sql.tokens(c)} AS l FROM articles_df" for c in INDEXED) + """),
 post AS (SELECT DISTINCT id AS doc_id, term FROM (SELECT id, unnest(l) AS term FROM t UNION ALL SELECT id, unnest(list_transform(range(1, length(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM t)),
 vocab AS (SELECT term, count(*) AS df, substr(term, 1, 3) AS prefix, length(string_split(term, ' '))::INT AS n_words FROM post GROUP BY term)"""
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def index(spark, d, path=None):
-    """Of the whole text; the SQL still states titles and keywords alone (see the README)."""
-    return search.Index.build(table(spark, d, A), ["title", "abstract", "keywords", "identificators"], path=path)
+    """Of the whole text; built once for a session and data directory, as long as its tables are there."""
+    if path is not None:
+        return search.Index.build(table(spark, d, A), list(INDEXED), path=path)
+    key = (spark.sparkContext.applicationId, d)
+    if not written(_built.get(key, "")):
+        _built[key] = scratch(spark, "index")
+        return search.Index.build(table(spark, d, A), list(INDEXED), path=_built[key])
+    return search.Index.load(spark, _built[key])
 
 
 def frequent(ix, n=40):

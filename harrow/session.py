@@ -71,6 +71,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(path: str) -> bool:
+    """Was this path given by ``scratch`` and not removed since?"""
+    return path in _scratch
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove the tables written by ``scratch``, once no DataFrame that reads them is wanted any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
