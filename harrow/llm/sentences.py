@@ -80,11 +80,11 @@ PERHAPS_LAST = {
 # fixed values: common words that tell a language written in Latin letters
 COMMON_WORDS = {
     "en": "the of and was were with for that which by from",
-    "es": "el los las del una que con por para según entre",
-    "pt": "os das dos uma que com por para não foram em",
-    "it": "il gli della delle una che con per sono nel di",
-    "fr": "le les des une que avec pour dans selon et sur",
-    "de": "der die das und mit von den dem eine wurde für",
+    "es": "el la los las del una que con por para según entre en durante se fue",
+    "pt": "os das dos uma que com por para não foram em segundo da do ao às mais",
+    "it": "il gli della delle una che con nel di dei sono",
+    "fr": "le la les du une que avec pour dans selon et au par ont",
+    "de": "der das und mit von den dem eine wurde wurden für um im auf bei",
 }
 SAYING = set("said says say saying answered answer replied reply was is say, said, was: is:".split())
 TITLES_IN_CAPITALS = set("gen col capt lt rev hon gov sen rep ms mr mrs".split())  # English: in small letters they are words
@@ -114,14 +114,12 @@ _cyrillic, _devanagari = re.compile(r"[\u0400-\u04ff]"), re.compile(r"[\u0900-\u
 def languages(text: str) -> tuple[str, ...]:
     """Languages of a text: by its scripts, and by common words where the script is Latin; all where nothing tells.
 
-    A text in two languages has both.
+    A text in several languages has all of them.
     """
     found = []
     words = set(text.lower().split())
     score = {k: len(words & v) for k, v in _latin.items()}
-    most = max(score.values())
-    if most:
-        found += [k for k, n in score.items() if n * 2 > most]
+    found += [k for k, n in score.items() if n]
     if _cyrillic.search(text):
         found.append("ru")
     if _devanagari.search(text):

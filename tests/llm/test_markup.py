@@ -56,3 +56,30 @@ def test_defined_cases(spark):
 
 def test_deep_trees_dont_overflow():
     assert P.clean("<div>" * 5000 + "x" + "</div>" * 5000)[0] == "x"
+
+
+LONG = "The yields of maize rose in all of the plots that had been mulched, and farmers said so. " * 6
+
+
+def test_blocks_go_for_their_density():
+    page = f"<html><body><div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright 2020 Some Press. Subscribe to our newsletter</div></body></html>"
+    assert "Copyright" not in P.clean(page)[0] and P.boilerplate(page) == ["Copyright 2020 Some Press. Subscribe to our newsletter"]
+    links = "<body><p>One short paragraph of text.</p><ul>" + "".join(f"<li><a href='x{k}'>link number {k}</a></li>" for k in range(30)) + "</ul></body>"
+    assert P.clean(links)[0] == "One short paragraph of text." and len(P.boilerplate(links)) == 1
+    # short blocks of text inside the content stay
+    article = f"<p>Two <i>kinds</i> of soil.</p><p>{LONG}</p><ul><li>one</li><li>two</li></ul><h2>End</h2><p>x</p>"
+    assert P.boilerplate(article) == [] and P.clean(article)[0].endswith("- one\n- two\n\n# End\n\nx")
+
+
+def test_nesting_has_no_bound():
+    for depth in (10, 500):
+        assert P.clean("\\textbf{" * depth + "deep" + "}" * depth + " text")[0] == "deep text"
+        assert P.clean("a {{x|" + "{{y|" * depth + "}}" * depth + "}} b ''it''")[0] == "a  b it"
+    assert P.clean(r"\emph{a {b} c} and \{d\}")[0] == "a {b} c and {d}"
+
+
+def test_dropped_blocks_as_rows(spark):
+    page = f"<div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright and so on</div>"
+    df = spark.createDataFrame([(1, page, None), (2, "a < b", "<i>x</i>")], "id bigint, title string, abstract string").selectExpr("*", "1 as block", "2 as field")
+    assert [tuple(r) for r in P.dropped(df).collect()] == [(1, "title", "Copyright and so on")]
+    assert P.dropped(df.where("id > 9")).count() == 0

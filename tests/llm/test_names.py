@@ -106,3 +106,21 @@ def test_words_below_the_frequent_list_keep_their_counts(spark, monkeypatch):
     monkeypatch.setattr(V, "COMMON", 0.5)  # 50 of 100 spellings, as for 100,000
     got = {r["value"]: r["entity"] for r in V.organisations(df).collect()}
     assert len(got) == 100 and all("tordavek" in e for v, e in got.items() if "Tordavek" in v)
+
+
+def test_short_names_by_slips_and_frequency(spark):
+    journals = spark.createDataFrame([(1, "Nature", None), (2, "Science", None)], "journal_id int, journal_name string, short_name string")
+    typed = ["Nature"] * 60 + ["Science"] * 60 + ["Natrue", "Scienec", "Natur"] + ["Mature"] * 30 + ["Future"]
+    values = spark.createDataFrame([(t,) for t in typed], "value string")
+    for shard in (50_000, 1):
+        got = {r["value"]: r["ref_id"] for r in canonical.journals(values, journals, shard).collect()}
+        assert got == {"Nature": 1, "Science": 2, "Natrue": 1, "Scienec": 2, "Natur": 1, "Mature": 0, "Future": 0}
+
+
+def test_abbreviations_have_no_bound():
+    names = [f"Annals of Soil {k}ology" for k in ("a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l")]
+    from harrow.llm.name_forms import Vocabulary
+
+    v = Vocabulary([*names, "Acta Semantica Kinetica"])
+    assert "annals soil kology" in v.expanded(["ann", "soil", "kol"])
+    assert v.expanded(["a", "s", "kin"]) == ["acta semantica kinetica"]

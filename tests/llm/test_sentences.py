@@ -89,3 +89,29 @@ def test_every_character_is_in_one_sentence(text):
     if at:
         assert text[: at[0]].strip() == ""
         assert all(not text[k].isspace() for k in at)
+
+
+def test_terminators_of_any_script():
+    khmer, brahmi = ["ខ្ញុំទៅ។", "គាត់មក។", "ល្អ។"], ["𑀅𑀓𑁇", "𑀆𑀓𑁇", "𑀇𑀓𑁇"]
+    assert cut(" ".join(khmer)) == khmer and cut(" ".join(brahmi)) == brahmi
+    assert len(S.STERM) >= 150
+
+
+def test_long_quotations_and_brackets_stay_whole():
+    inner = "It rained all day. We left the field. " * 30
+    quoted = [f'He said: "{inner}"', "Then they went.", "All was good."]
+    assert cut(" ".join(quoted)) == quoted
+    bracket = ["The trial (" + "see the first plot. Also the second one. " * 12 + ") was dry.", "It ended."]
+    assert cut(" ".join(bracket)) == bracket
+    inches = ['A 5" pipe broke.', 'She said "It is. Fine."', "Then she left.", 'The 6" one held.']
+    assert cut(" ".join(inches)) == inches
+    lone = ['The "open quotation began here.', "It never ended.", 'He said "We wait. Then we go."', "They did."]
+    assert cut(" ".join(lone)) == lone
+
+
+def test_abbreviations_hold_for_their_language():
+    assert cut("They sold the car to the rep. The next day it rained.") == ["They sold the car to the rep.", "The next day it rained."]
+    assert cut("We met Rep. Smith and Dr. Kolb. They left.") == ["We met Rep. Smith and Dr. Kolb.", "They left."]
+    assert cut("He said no. 12 farmers of the village agreed.") == ["He said no.", "12 farmers of the village agreed."]
+    assert cut("The plots no. 12 and no. 13 were dry. It was so.") == ["The plots no. 12 and no. 13 were dry.", "It was so."]
+    assert cut("Los datos de la Sra. Vega son de 2004. La Dra. Ruiz los leyó.") == ["Los datos de la Sra. Vega son de 2004.", "La Dra. Ruiz los leyó."]
