@@ -18,8 +18,7 @@ from ..functions import text as T
 from ..session import cut
 
 SAMPLE = 20_000  # labelled rows a classifier is fitted on at most
-BLOCK = 2_048  # query vectors compared at once
-VOCABULARY = 20_000  # terms of a topic model at most
+BLOCK = 4_096  # vectors of a side that a task compares
 
 
 class Predictor(Protocol):
@@ -78,17 +77,18 @@ def phrases(words: DataFrame, id_col: str, column: str, least: int = 5, threshol
     return j.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
-def mutual_neighbours(rows: DataFrame, k: int, least: float, id_col: str = "vec_id", vector: str = "embedding", group: str = "label") -> DataFrame:
-    """``a, b``: rows of one group that are each among the other's k of highest cosine, at least ``least``.
+def _block_pairs(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
+    """``a, b, s``: for each query (``id, v, g``) the k rows of its group of highest cosine, itself excluded.
 
-    All rows are compared with all of their group, block by block; a block pair is a task's work and leaves k a row.
+    Both sides are cut into blocks of about ``BLOCK`` rows of a group by a hash; a pair of blocks is a task's work and
+    leaves k rows a query, so that neither the driver nor a task holds more than two blocks.
     """
-    rows = cut(rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(group).alias("g")))
-    most = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n = -(-most // BLOCK) or 1
-    own, every = F.pmod(F.xxhash64("id"), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("g", own.cast("int").alias("i"), every.alias("j"), "id", "v")
-    right = rows.select("g", every.alias("i"), own.cast("int").alias("j"), "id", "v")
+    count = lambda df: df.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    nq, nr = -(-count(queries) // BLOCK) or 1, -(-count(rows) // BLOCK) or 1
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("g", own(nq).alias("i"), every(nr).alias("j"), "id", "v")
+    right = rows.select("g", every(nq).alias("i"), own(nr).alias("j"), "id", "v")
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
         out = {"a": [], "b": [], "s": []}
@@ -101,69 +101,58 @@ def mutual_neighbours(rows: DataFrame, k: int, least: float, id_col: str = "vec_
             sim[a[:, None] == b[None, :]] = -2
             top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             near = np.take_along_axis(sim, top, 1)
-            keep = near >= least
+            keep = (near >= least) & (near > -2)
             out = {"a": np.repeat(a, top.shape[1])[keep.ravel()], "b": b[top][keep], "s": near[keep]}
         return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "s": pa.array(out["s"], pa.float64())})
 
     near = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(run, "a bigint, b bigint, s double")
     r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    near = cut(near.withColumn("r", r).where(F.col("r") <= k).select("a", "b"))
+    return near.withColumn("r", r).where(F.col("r") <= k).drop("r")
+
+
+def _vectors(rows: DataFrame, id_col: str, vector: str, group) -> DataFrame:
+    return rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), group.alias("g"))
+
+
+def mutual_neighbours(rows: DataFrame, k: int, least: float, id_col: str = "vec_id", vector: str = "embedding", group: str = "label") -> DataFrame:
+    """``a, b``: rows of one group that are each among the other's k of highest cosine, at least ``least``.
+
+    All rows are compared with all of their group, block by block.
+    """
+    rows = cut(_vectors(rows, id_col, vector, F.col(group)))
+    near = cut(_block_pairs(rows, rows, k, least).select("a", "b"))
     return near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, id, similarity``: the k rows of highest cosine for each query, itself excluded.
+    """``query_id, id, similarity``: the k rows of highest cosine for each query, itself excluded; exact, block by block."""
+    one = F.lit(0)
+    found = _block_pairs(cut(_vectors(queries, id_col, vector, one)), cut(_vectors(rows, id_col, vector, one)), k, least)
+    return found.select(F.col("a").alias("query_id"), F.col("b").alias("id"), F.col("s").alias("similarity"))
 
-    A stated set of queries goes to the rows in blocks of ``BLOCK``: each block is broadcast, multiplied with every
-    partition, and only k candidates a query leave a partition; the winners are merged by rank.
-    """
-    ids = [r[0] for r in queries.select(id_col).orderBy(id_col).collect()]
-    found = None
-    for start in range(0, len(ids), BLOCK):
-        block = queries.where(F.col(id_col).between(ids[start], ids[min(start + BLOCK, len(ids)) - 1])).select(id_col, vector).collect()
-        own = [r[0] for r in block]
-        m = np.array([r[1] for r in block], np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-        def run(batches: Iterator[pa.RecordBatch], own=own, m=m) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys = np.array(b.column(0).to_pylist(), np.int64)
-                if not len(keys):
-                    continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = m @ x.T
-                s[np.array(own)[:, None] == keys[None, :]] = -2
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                q = np.repeat(own, top.shape[1])
-                sim = np.take_along_axis(s, top, 1).ravel()
-                keep = sim >= least
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(keys[top.ravel()[keep]]), pa.array(sim[keep])], names=["query_id", "id", "similarity"])
-
-        part = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint"), vector).mapInArrow(run, "query_id bigint, id bigint, similarity double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double")
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("r", r).where(F.col("r") <= k).drop("r")
-
-
-def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, terms: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+
+def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df: float = 0.0015, max_df: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Topics of ``id, term, w``: (``id, topic, weight``), (``term, topic, weight``) by multiplicative updates.
 
-    The term side (at most ``terms`` of the most frequent terms, times k) is held by the driver and broadcast; documents
-    stay distributed.  Each round every partition solves its documents against it and sends back sums of size terms x k.
+    Terms are those in a share of the documents between ``min_df`` and ``max_df``, so there are at most the mean number
+    of terms of a document over ``min_df`` of them, however many documents there are; the term side (terms x k) is held
+    by the driver and broadcast, documents stay distributed.  Documents without such a term have weights of zero.  Each
+    round every partition solves its documents against the terms and sends back sums of size terms x k.
     """
-    top = weights.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(terms)
+    n = weights.select("id").distinct().count()
+    top = weights.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= min_df * n) & (F.col("n") <= max(1.0, max_df * n)))
     names = sorted(r["term"] for r in top.collect())
     place = {t: j for j, t in enumerate(names)}
     spark = weights.sparkSession
     index = spark.createDataFrame(list(place.items()), "term string, j int")
-    docs = weights.join(F.broadcast(index), "term").groupBy("id").agg(F.collect_list("j").alias("j"), F.collect_list("w").alias("w"))
+    docs = weights.join(F.broadcast(index), "term", "left").groupBy("id")
+    docs = docs.agg(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "w"))).alias("x")).select("id", F.col("x.j").alias("j"), F.col("x.w").alias("w"))
     docs = cut(docs)
     h = np.random.default_rng(seed).random((len(names), k)) + 0.1
 
     def solve(j: np.ndarray, w: np.ndarray, h: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        if not len(j):
+            return np.zeros(h.shape[1])
         v, target = np.full(h.shape[1], 0.5), w @ h[j]
         for _ in range(25):
             v *= target / np.maximum(gram @ v, 1e-12)
@@ -176,7 +165,7 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, terms: i
             up, down = np.zeros_like(h), np.zeros((h.shape[1], h.shape[1]))
             for b in batches:
                 for j, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    j, w = np.array(j), np.array(w)
+                    j, w = np.array(j, np.int64), np.array(w, float)
                     v = solve(j, w, h, gram)
                     up[j] += np.outer(w, v)
                     down += np.outer(v, v)
@@ -195,7 +184,7 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, terms: i
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [solve(np.array(j), np.array(w), h, gram).tolist() for j, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            v = [solve(np.array(j, np.int64), np.array(w, float), h, gram).tolist() for j, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.list_(pa.float64()))], names=["id", "v"])
 
     own = docs.mapInArrow(final, "id bigint, v array<double>").select("id", F.posexplode("v").alias("topic", "weight"))

@@ -259,13 +259,27 @@ def ag_major(spark, d):
     return c.groupBy("journal").agg(F.min(F.struct(-F.col("n"), "dataset")).alias("b")).select("journal", F.col("b.dataset").alias("main_dataset"))
 
 
-@query("""WITH g AS (SELECT dataset, year, count(*) AS n FROM articles_df WHERE year BETWEEN 1990 AND 2030 GROUP BY ALL),
-t AS (SELECT dataset, least(10, min(floor(n * 0.2)))::BIGINT AS thr FROM g GROUP BY dataset)
-SELECT dataset, year, n FROM g JOIN t USING (dataset) WHERE n >= thr""")
+_CLUSTERS = r"""r AS (SELECT id, unnest(string_split(intervention_labels, ';')) AS x, topics FROM big_dataset WHERE id IS NOT NULL),
+c AS (SELECT DISTINCT id, trim(lower(x)) AS cluster, topics FROM r WHERE trim(x) <> ''),
+f AS (SELECT DISTINCT id, lower(trim(t)) AS focus FROM (SELECT id, unnest(topics) AS t FROM big_dataset WHERE id IS NOT NULL) WHERE trim(t) <> ''),
+n AS (SELECT focus, floor(count(*) * 0.02)::BIGINT AS least FROM f GROUP BY focus),
+m AS (SELECT cluster, min(least) AS least FROM (SELECT DISTINCT cluster, focus FROM (SELECT cluster, lower(trim(unnest(topics))) AS focus FROM c)) JOIN n USING (focus) GROUP BY cluster)"""
+
+
+@query(f"""WITH {_CLUSTERS} SELECT cluster, count(DISTINCT id) AS n_docs, least(10, coalesce(any_value(least), 10))::BIGINT AS threshold FROM c LEFT JOIN m USING (cluster)
+GROUP BY cluster HAVING count(DISTINCT id) >= least(10, coalesce(any_value(least), 10))""")
 def ag_min_thr(spark, d):
-    g = table(spark, d, "articles_df").where("year between 1990 and 2030").groupBy("dataset", "year").agg(F.count("*").alias("n"))
-    t = g.groupBy("dataset").agg(F.least(F.lit(10), F.min(F.floor(F.col("n") * 0.2))).alias("thr"))
-    return g.join(t, "dataset").where("n >= thr").drop("thr")
+    """Clusters (labels) in at least as many documents as 2 % of those of their rarest focus (topic), 10 at most; without any focus 10."""
+    b = table(spark, d, "big_dataset").where("id is not null")
+    c = b.select("id", "topics", F.explode(F.split("intervention_labels", ";")).alias("x"))
+    c = c.select("id", "topics", F.trim(F.lower("x")).alias("cluster")).where("cluster <> ''")
+    clean = F.lower(F.trim("t")).alias("focus")
+    f = b.select("id", F.explode("topics").alias("t")).select("id", clean).where("focus <> ''").distinct()
+    n = f.groupBy("focus").agg(F.floor(F.count("*") * 0.02).alias("least"))
+    m = c.select("cluster", F.explode("topics").alias("t")).select("cluster", clean).distinct().join(n, "focus").groupBy("cluster").agg(F.min("least").alias("least"))
+    docs = c.groupBy("cluster").agg(F.count_distinct("id").alias("n_docs"))
+    out = docs.join(m, "cluster", "left").select("cluster", "n_docs", F.least(F.lit(10), F.coalesce("least", F.lit(10))).cast("bigint").alias("threshold"))
+    return out.where("n_docs >= threshold")
 
 
 @query("""WITH a AS (SELECT dataset, bool_or(list_contains(topics, 'maize')) AS m, bool_or(list_contains(topics, 'rice')) AS r, bool_or(list_contains(topics, 'honey')) AS h FROM big_dataset GROUP BY dataset)
@@ -311,20 +325,39 @@ def wn_topn_group(spark, d):
     return R.first_n(c, ["dataset"], [F.desc("n"), "topic"], 5)
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(range(0, length(embedding)))::INT AS topic, unnest(embedding)::DOUBLE AS p FROM embeddings)
-SELECT vec_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, topic) AS r, p / max(p) OVER (PARTITION BY topic) AS q FROM p) WHERE r <= 3 OR q >= 0.9""")
+_SHARES = """t AS (SELECT dataset, lower(trim(unnest(topics))) AS topic FROM big_dataset WHERE dataset IS NOT NULL),
+c AS (SELECT dataset, topic, count(*) AS n FROM t WHERE topic <> '' GROUP BY ALL), p AS (SELECT dataset, topic, n / sum(n) OVER (PARTITION BY dataset) AS p FROM c)"""
+
+
+def _shares(spark, d):
+    """``dataset, topic, p``: share of each topic in the topics of a source."""
+    t = table(spark, d, "big_dataset").where("dataset is not null").select("dataset", F.explode("topics").alias("t"))
+    c = t.select("dataset", F.lower(F.trim("t")).alias("topic")).where("topic <> ''").groupBy("dataset", "topic").agg(F.count("*").alias("n"))
+    return c.join(c.groupBy("dataset").agg(F.sum("n").alias("whole")), "dataset").select("dataset", "topic", (F.col("n") / F.col("whole")).alias("p"))
+
+
+@query(f"""WITH {_SHARES} SELECT dataset, topic FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY p DESC, topic) AS r, p / max(p) OVER (PARTITION BY topic) AS q FROM p) WHERE r <= 3 OR q >= 0.3""")
 def wn_top3_thr(spark, d):
-    """Topics among a document's top three, or near the topic's maximum; the maxima are an aggregate, not a window."""
-    p = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("topic", "p")).withColumn("p", F.col("p").cast("double"))
+    """Topics among a source's top three, or at 0.3 of the topic's maximum; the maxima are an aggregate, not a window."""
+    p = _shares(spark, d)
     top = p.groupBy("topic").agg(F.max("p").alias("hi"))
-    r = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("p"), "topic"))
-    return p.join(F.broadcast(top), "topic").withColumn("r", r).where("r <= 3 or p / hi >= 0.9").select("vec_id", "topic")
+    r = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("p"), "topic"))
+    return p.join(top, "topic").withColumn("r", r).where("r <= 3 or p / hi >= 0.3").select("dataset", "topic")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_discount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r < 3 OR l_discount >= 0.09")
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(0, length(v))) AS p FROM e) GROUP BY label, p),
+c AS (SELECT label, list(x ORDER BY p) AS mean FROM m GROUP BY label), s AS (SELECT vec_id, e.label, round(list_cosine_similarity(v, mean), 9) AS s FROM e JOIN c USING (label))
+SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM s) WHERE r <= 20 OR s >= 0.5""")
 def wn_topn_or_sim(spark, d):
-    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber"))
-    return table(spark, d, "lineitem").withColumn("r", r).where("r < 3 or l_discount >= 0.09").select("l_orderkey", "l_linenumber")
+    """Of each label the 20 vectors nearest to its mean, and all others of cosine 0.5 or more."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    m = e.select("label", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))
+    c = m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda y: y.x).alias("mean"))  # a row per label
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda i, j: i + j)
+    s = F.round(dot("v", "mean") / F.sqrt(dot("v", "v") * dot("mean", "mean")), 9)
+    scored = e.join(c, "label").select("vec_id", "label", s.alias("s"))
+    r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s"), "vec_id"))
+    return scored.withColumn("r", r).where("r <= 20 or s >= 0.5").select("vec_id", "label")
 
 
 @query("SELECT id, exact_study_type FROM (SELECT id, exact_study_type, row_number() OVER (PARTITION BY exact_study_type ORDER BY id) AS r FROM study_type_df WHERE exact_study_type IS NOT NULL) WHERE r <= 20")

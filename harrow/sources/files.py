@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 ROWS_PER_PART = 100_000
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """A CSV file or folder with a header, nulls as empty strings; the next encoding is tried where text is broken.
+def read_csv(spark: SparkSession, path: str, breaks_in_cells: bool = True) -> DataFrame:
+    """A CSV file or folder with a header, nulls as empty strings; cells that aren't UTF-8 are read as Latin-1.
 
-    An empty file is an error, as its columns can't be known.
+    The file is read once, as bytes; each cell is decoded by itself.  Where cells hold line breaks a file is the work of
+    one task, so large tables come as folders of parts, or with ``breaks_in_cells`` off, which lets files be split.  An
+    empty file is an error, as its columns can't be known.
     """
-    df = None
-    for encoding in encodings:
-        df = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).na.fill("")
-        if not df.columns:
-            raise ValueError(f"{path} has no columns")
-        broken = df.where(F.exists(F.array(*df.columns), lambda c: F.contains(c, F.lit("�"))))
-        if encoding == encodings[-1] or broken.isEmpty():
-            break
-    return df
+    df = spark.read.csv(
+        path, header=True, encoding="ISO-8859-1", multiLine=breaks_in_cells, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    if not df.columns:
+        raise ValueError(f"{path} has no columns")
+
+    def name(c: str) -> str:
+        try:
+            return c.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return c
+
+    raw = lambda c: F.encode(F.col(f"`{c}`"), "ISO-8859-1").cast("string")
+    cells = [F.when(F.is_valid_utf8(raw(c)), raw(c)).otherwise(F.col(f"`{c}`")).alias(name(c)) for c in df.columns]
+    return df.select(*cells).na.fill("")
 
 
 def list_cells(x: str) -> Column:

@@ -22,22 +22,36 @@ def run_available(
     return spark.read.parquet(target)
 
 
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the finished versions ``v<number>`` under ``target``, ascending."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
 def upsert_batches(spark: SparkSession, source: str, schema, key: str, order: str, target: str, checkpoint: str) -> DataFrame:
-    """Latest row of each key over all batches; each batch writes a new version of the table and then its number."""
-    state: dict[str, str] = {}
+    """Latest row of each key over all batches; batch n writes version n of the table from the last one before it.
+
+    The state is what lies under ``target``, so a later call, in another process too, goes on from there; a batch that
+    is done again after a failure starts from the same version and gives the same.  Of equal ``order`` the row whose
+    other columns are greater stays.  Without any batch the table is empty.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if "at" in state:
-            rows = rows.unionByName(spark.read.parquet(state["at"]))
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order))).alias("r")).select("r.*")
-        at = f"{target}/v{number}"
-        latest.write.mode("overwrite").parquet(at)
-        state["at"] = at
+        before = [v for v in versions(spark, target) if v < number]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/v{before[-1]}")) if before else batch
+        latest = rows.groupBy(key).agg(F.max(F.struct(order, *(c for c in rows.columns if c not in (key, order)))).alias("r"))
+        latest.select(key, "r.*").select(*rows.columns).write.mode("overwrite").parquet(f"{target}/v{number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(state["at"])
+    last = versions(spark, target)
+    return spark.read.schema(schema).parquet(f"{target}/v{last[-1]}") if last else spark.createDataFrame([], schema)
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
