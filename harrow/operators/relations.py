@@ -8,22 +8,100 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import spread_scan
 
-# general terms before, special terms after; or the other way round
-LIST = r"((?:[a-z-]+ ){0,2}[a-z-]+(?:,? (?:and|or) (?:[a-z-]+ )?[a-z-]+)?)"
-GENERAL_FIRST = r"([a-z-]+),? (?:such as|including|e\.g\.|especially) " + LIST
-SPECIAL_FIRST = LIST + r",? and other ([a-z-]+)"
-
-
-def hearst(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id_col, general, special`` of every pattern found."""
-    docs = spread_scan(docs.select(id_col, text))
-    low = F.lower(F.regexp_replace(text, r"\s+", " "))
-    first = docs.select(id_col, F.explode(F.regexp_extract_all(low, F.lit(GENERAL_FIRST), F.lit(0))).alias("m"))
-    first = first.select(id_col, F.regexp_extract("m", GENERAL_FIRST, 1).alias("general"), F.regexp_extract("m", GENERAL_FIRST, 2).alias("l"))
-    last = docs.select(id_col, F.explode(F.regexp_extract_all(low, F.lit(SPECIAL_FIRST), F.lit(0))).alias("m"))
-    last = last.select(id_col, F.regexp_extract("m", SPECIAL_FIRST, 2).alias("general"), F.regexp_extract("m", SPECIAL_FIRST, 1).alias("l"))
-    both = first.unionAll(last).select(id_col, "general", F.explode(F.split("l", ",? (?:and|or) |, ")).alias("special"))
-    return both.where("special <> '' and special <> general")
+# fixed values: cues that stand after the general term and before the special ones
+GENERAL_FIRST = (
+    "such as", "including", "especially", "like", "for example", "mainly", "mostly", "notably", "particularly", "principally",
+    "in particular", "except", "other than", r"e\.g\.", r"i\.e\.", "which is similar to", "which are similar to",
+    "examples of this is", "examples of this are", "types", "compared to", "among them",
+)
+# fixed values: cues that stand after the special terms and before the general one
+SPECIAL_FIRST = (
+    "any other", "some other", "like other", "other", "is an? example of", "is example of", "are examples of", "which is called", "which is named",
+    "which looks like", "which sounds like", "(?:is |was )?an? (?:kind|form|type|sort) of", "(?:is |are |were |was )?(?:kinds?|forms?|types?|sorts?) of",
+    "is", "are", "was", "were",
+)
+BASIC = ("such as", "including", "especially")
+COMPARISON = ("of", "between", "to", "with", "among")
+# fixed values: words that end a noun phrase, and words that only begin one
+BETWEEN = (
+    "of in on at by from to with without for as than that which who where when while after before during since until under over into "
+    "between among about because if but not nor so then there here also however they we it he she i you has have had be been being "
+    "do does did can could may might must should would will explained reported measured used showed found rose fell grew remained using"
+).split()
+ARTICLES = "a an the this these those their its our his her some any all each most many several both".split()
+MOST_WORDS = 4  # of a term
+
+Step = tuple[str, str]
+
+
+def steps(extended: bool = True, comparison: bool = False) -> list[Step]:
+    """Replacements (pattern, by what) that turn a lower-case text into terms, commas, cues ``<1>`` and ``<2>`` and bars.
+
+    The same regular expressions are understood by the JVM and by RE2, so another engine can state the rule with them.
+    """
+    first = GENERAL_FIRST if extended else BASIC
+    out = [(r"[0-9]+", "|"), (r"\s+", " ")]
+    if comparison:
+        return [*out, (r"\bcomparisons? (?:" + "|".join(COMPARISON) + r") ", " compared <1> "), *_rest()]
+    out += [
+        (r"\bsuch ([a-z -]+?),? as ", "$1 <1> "),
+        (r"\bexamples of ([a-z -]+?),? (?:is|are) ", "$1 <1> "),
+        (r"\bcompare ([a-z ,-]+?) with ", "$1 <2> "),
+        (r"\b(?:" + "|".join(sorted(first, key=len, reverse=True)) + r")( |$)", " <1> "),
+    ]
+    if extended:
+        out.append((r"\b(?:and |or )?(?:" + "|".join(SPECIAL_FIRST) + r")( |$)", " <2> "))
+    return out + _rest()
+
+
+def _rest() -> list[Step]:
+    return [
+        (r"\b(?:and|or)\b", ","),
+        (r"\b(?:" + "|".join(ARTICLES) + r")\b", " "),
+        (r"\b(?:" + "|".join(BETWEEN) + r")\b", "|"),
+        (r"[^a-z ,<>12|-]+", "|"),
+        (r"\s*,[\s,]*", ","),
+        (r" +", " "),
+    ]
+
+
+FIRST_FOUND = r"([a-z -]+),? ?<1>[ ,]?([a-z ,-]+)"
+LAST_FOUND = r"([a-z ,-]+)<2> ?([a-z -]+)"
+
+
+def hearst(docs: DataFrame, id_col: str, text: str, extended: bool = True, comparison: bool = False) -> DataFrame:
+    """``id_col, general, special`` of every pattern found: noun phrases on either side of a cue.
+
+    A noun phrase is what stands between cues, commas, "and" and "or", and words that end one (prepositions, pronouns,
+    verbs); articles don't count.  Terms have at most ``MOST_WORDS`` words.  ``comparison``: what is compared with each
+    other ("comparison of a and b"), all under the general term "compared".
+    """
+    marked = F.lower(F.col(text))
+    for pattern, by in steps(extended, comparison):
+        marked = F.regexp_replace(marked, pattern, by)
+    docs = spread_scan(docs.select(id_col, text)).select(id_col, marked.alias("t"))
+    first = docs.select(id_col, F.explode(F.regexp_extract_all("t", F.lit(FIRST_FOUND), F.lit(0))).alias("m"))
+    first = first.select(id_col, F.regexp_extract("m", FIRST_FOUND, 1).alias("general"), F.regexp_extract("m", FIRST_FOUND, 2).alias("l"))
+    last = docs.select(id_col, F.explode(F.regexp_extract_all("t", F.lit(LAST_FOUND), F.lit(0))).alias("m"))
+    last = last.select(id_col, F.regexp_extract("m", LAST_FOUND, 2).alias("general"), F.regexp_extract("m", LAST_FOUND, 1).alias("l"))
+    both = first.unionAll(last).select(id_col, F.trim("general").alias("general"), F.explode(F.split("l", ",")).alias("special"))
+    both = both.select(id_col, "general", F.trim("special").alias("special"))
+    short = lambda c: F.size(F.split(c, " ")) <= MOST_WORDS
+    return both.where((F.length("special") > 1) & (F.length("general") > 1) & (F.col("special") != F.col("general")) & short("special") & short("general"))
+
+
+def hearst_sql(table: str = "articles_df", id_col: str = "id", text: str = "abstract", extended: bool = True, comparison: bool = False) -> str:
+    """The same as a common table expression ``rel`` (id, general, special)."""
+    quoted = lambda x: x.replace("'", "''")
+    marked = f"lower({text})"
+    for pattern, by in steps(extended, comparison):
+        marked = f"regexp_replace({marked}, '{quoted(pattern)}', '{by.replace('$', chr(92))}', 'g')"
+    short = lambda c: f"length(string_split({c}, ' ')) <= {MOST_WORDS} AND length({c}) > 1"
+    return f"""marked AS (SELECT {id_col} AS id, {marked} AS t FROM {table}),
+found AS (SELECT id, regexp_extract(m, '{FIRST_FOUND}', 1) AS general, regexp_extract(m, '{FIRST_FOUND}', 2) AS l FROM (SELECT id, unnest(regexp_extract_all(t, '{FIRST_FOUND}')) AS m FROM marked)
+  UNION ALL SELECT id, regexp_extract(m, '{LAST_FOUND}', 2), regexp_extract(m, '{LAST_FOUND}', 1) FROM (SELECT id, unnest(regexp_extract_all(t, '{LAST_FOUND}')) AS m FROM marked)),
+each_of AS (SELECT id, trim(general) AS general, trim(unnest(string_split(l, ','))) AS special FROM found),
+rel AS (SELECT * FROM each_of WHERE special <> general AND {short('special')} AND {short('general')})"""
 
 
 def pair_counts(relations: DataFrame, id_col: str) -> DataFrame:

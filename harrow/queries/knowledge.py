@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import entities as E
+from ..operators import labelling as L
 from ..operators import relations as X
 from ..session import table
 from . import query, sql
@@ -127,12 +128,7 @@ def se_small_ctx(spark, d):
 
 # ---- relations
 
-_L = r"((?:[a-z-]+ ){0,2}[a-z-]+(?:,? (?:and|or) (?:[a-z-]+ )?[a-z-]+)?)"
-_G, _S = r"([a-z-]+),? (?:such as|including|e\.g\.|especially) " + _L, _L + r",? and other ([a-z-]+)"
-_REL = rf"""low AS (SELECT id, lower(regexp_replace(abstract, '\s+', ' ', 'g')) AS t FROM articles_df),
-m AS (SELECT id, regexp_extract(m, '{_G}', 1) AS general, regexp_extract(m, '{_G}', 2) AS l FROM (SELECT id, unnest(regexp_extract_all(t, '{_G}')) AS m FROM low)
-UNION ALL SELECT id, regexp_extract(m, '{_S}', 2), regexp_extract(m, '{_S}', 1) FROM (SELECT id, unnest(regexp_extract_all(t, '{_S}')) AS m FROM low)),
-rel AS (SELECT * FROM (SELECT id, general, unnest(regexp_split_to_array(l, ',? (?:and|or) |, ')) AS special FROM m) WHERE special <> '' AND special <> general)"""
+_REL = X.hearst_sql()
 
 
 def relations(spark, d):
@@ -205,7 +201,6 @@ def rx_merge(spark, d):
 
 # ---- extractors
 
-_CMP = r"compared ([a-z -]+) and ([a-z -]+) for their effect"
 _SENT = r"s AS (SELECT id, unnest(list_filter(string_split(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda w: trim(w) <> '')) AS s FROM articles_df)"
 
 
@@ -213,10 +208,13 @@ def _sentences(spark, d):
     return table(spark, d, A).select("id", F.explode(T.split_sentences("abstract")).alias("s"))
 
 
-@query(f"WITH {_SENT} SELECT id, regexp_extract(lower(s), '{_CMP}', 1) AS a, regexp_extract(lower(s), '{_CMP}', 2) AS b FROM s WHERE regexp_matches(lower(s), '{_CMP}')")
+_MARKED = r"regexp_replace(regexp_replace(lower(abstract), '\s+', ' ', 'g'), 'compared ([a-z -]+) and ([a-z -]+) for their effect', 'comparison of \1 and \2 with', 'g')"
+
+
+@query(f"WITH src AS (SELECT id, {_MARKED} AS abstract FROM articles_df), {X.hearst_sql('src', comparison=True)} SELECT id, list_sort(list_distinct(list(special))) AS compared FROM rel WHERE general = 'compared' GROUP BY id")
 def lb_compare(spark, d):
-    s = _sentences(spark, d).where(F.lower("s").rlike(_CMP))
-    return s.select("id", F.regexp_extract(F.lower("s"), _CMP, 1).alias("a"), F.regexp_extract(F.lower("s"), _CMP, 2).alias("b"))
+    """What each article compares with each other, by the cues of comparison."""
+    return L.compared_terms(table(spark, d, A).select("id", "abstract"), ["abstract"])
 
 
 _PROG = r"((?:[A-Z][a-z]+ )+(?:Program|Programme|Project|Initiative|Centre|Trust))"
