@@ -110,6 +110,15 @@ def normal_sentence(x: Text) -> Column:
     return F.array_join(token_list(x), " ")
 
 
+def stems_with_numbers(x: Text) -> Column:
+    """Stems of the words of a text, numbers kept: no stop words, no single letters but digits; null is empty."""
+    from .stem import stems
+
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col(x), F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
+    return stems(F.transform(kept, lemma))
+
+
 def key_sorted(x: Text) -> Column:
     """Word-order-free key of a sentence."""
     return F.array_join(F.array_sort(token_list(x)), " ")

@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -77,6 +77,91 @@ def phrases(words: DataFrame, id_col: str, column: str, least: int = 5, threshol
     return j.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
+def phrased(words: DataFrame, id_col: str, column: str, found: DataFrame) -> DataFrame:
+    """``id_col, column``: word lists in which pairs of ``found`` (``a, b``) are one element, from left to right."""
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size(column) - 1, F.lit(1)))).alias("i")
+    pairs = words.where(F.size(column) > 1).select(id_col, at, column)
+    pairs = pairs.select(id_col, "i", F.element_at(column, F.col("i")).alias("a"), F.element_at(column, F.col("i") + 1).alias("b"))
+    hits = pairs.join(found.select("a", "b").distinct(), ["a", "b"]).groupBy(id_col).agg(F.array_sort(F.collect_list("i")).alias("h"))
+    # a pair begins at a hit unless one began just before
+    first = F.aggregate("h", F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (F.element_at(acc, -1) < i - 1), F.concat(acc, F.array(i))).otherwise(acc))
+    j = words.select(id_col, column).join(hits, id_col, "left").withColumn("h", F.when(F.col("h").isNotNull(), first).otherwise(F.array().cast("array<int>")))
+    put = F.transform(
+        column,
+        lambda w, k: F.when(F.array_contains("h", k + 1), F.concat_ws(" ", w, F.try_element_at(column, k + 2))).when(~F.array_contains("h", k), w),
+    )
+    return j.select(id_col, F.array_compact(put).alias(column))
+
+
+class Stacked:
+    """Classifiers over texts, and a forest over their probabilities; fitted on at most ``sample`` labelled rows.
+
+    ``bases``: (text column, "logistic" or "bayes").  The first learn from one half of the rows, told by a hash; the
+    forest learns from what they say of the other.
+    """
+
+    def __init__(self, bases: list[tuple[str, str]], label: str = "label", id_col: str = "id", features: int = 1 << 12, sample: int = SAMPLE, trees: int = 30):
+        self.bases, self.label, self.id_col, self.features, self.sample, self.trees = bases, label, id_col, features, sample, trees
+
+    def fit(self, df: DataFrame) -> Stacked:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+        from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
+
+        rows = df.where(F.col(self.label).isNotNull()).orderBy(F.xxhash64(self.id_col), self.id_col).limit(self.sample)
+        self.indexer = StringIndexer(inputCol=self.label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
+        rows = cut(self._words(self.indexer.transform(rows)))
+        half = F.pmod(F.xxhash64(F.lit(1), F.col(self.id_col)), F.lit(2)) == 0
+        self.models = []
+        for k, (_, kind) in enumerate(self.bases):
+            names = {"featuresCol": f"_x{k}", "labelCol": "_y", "predictionCol": f"_p{k}", "probabilityCol": f"_q{k}", "rawPredictionCol": f"_r{k}"}
+            last = LogisticRegression(maxIter=20, regParam=0.01, **names) if kind == "logistic" else NaiveBayes(**names)
+            stages = [HashingTF(inputCol=f"_w{k}", outputCol=f"_t{k}", numFeatures=self.features), IDF(inputCol=f"_t{k}", outputCol=f"_x{k}"), last]
+            self.models.append(Pipeline(stages=stages).fit(rows.where(half)))
+        self.assembler = VectorAssembler(inputCols=[f"_q{k}" for k in range(len(self.bases))], outputCol="_x")
+        said = self.assembler.transform(self._said(rows.where(~half)))
+        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r", numTrees=self.trees, maxDepth=5, seed=7)
+        self.model = forest.fit(cut(said.select("_x", "_y")))
+        return self
+
+    def _words(self, df: DataFrame) -> DataFrame:
+        return df.select(self.id_col, self.label, "_y", *(T.token_list(c).alias(f"_w{k}") for k, (c, _) in enumerate(self.bases)))
+
+    def _said(self, rows: DataFrame) -> DataFrame:
+        for m in self.models:
+            rows = m.transform(rows)
+        return rows
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``id_col, label`` (if known), ``predicted`` and what each base says as ``base_<k>``."""
+        known = df if self.label in df.columns else df.withColumn(self.label, F.lit(self.indexer.labels[0]))
+        out = self.model.transform(self.assembler.transform(self._said(self._words(self.indexer.transform(known)))))
+        names = F.array(*map(F.lit, self.indexer.labels))
+        name = lambda c: F.element_at(names, F.col(c).cast("int") + 1)
+        return out.select(self.id_col, self.label, name("_p").alias("predicted"), *(name(f"_p{k}").alias(f"base_{k}") for k in range(len(self.bases))))
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """``model, macro_f1`` of every base and of the whole."""
+        from .evaluation import report
+
+        said = cut(self.predict(df))
+        out = None
+        for name, column in [(f"{c} {k}", f"base_{i}") for i, (c, k) in enumerate(self.bases)] + [("stacked", "predicted")]:
+            one = report(said, self.label, column).agg(F.lit(name).alias("model"), F.round(F.avg("f1"), 4).alias("macro_f1"))
+            out = one if out is None else out.unionAll(one)
+        return out
+
+
+def cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda i, j: i + j)
+    return dot(a, b) / F.greatest(F.sqrt(dot(a, a) * dot(b, b)), F.lit(1e-12))
+
+
+def term_vectors(words: DataFrame) -> DataFrame:
+    """``term, v``: weights of each term in all topics, in their order."""
+    return words.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "weight"))), lambda x: x.weight).alias("v"))
+
+
 def _block_pairs(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
     """``a, b, s``: for each query (``id, v, g``) the k rows of its group of highest cosine, itself excluded.
 

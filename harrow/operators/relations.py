@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import spread_scan
+from ..session import cut, spread_scan
 
 # fixed values: cues that stand after the general term and before the special ones
 GENERAL_FIRST = (
@@ -142,3 +142,15 @@ def glued(freq: DataFrame, rare: int = 5, often: int = 70) -> DataFrame:
     front = cuts.join(F.broadcast(stop), F.col("a") == F.col("stop")).select("w", "a", "b", F.col("b").alias("rest"))
     back = cuts.join(F.broadcast(stop), F.col("b") == F.col("stop")).select("w", "a", "b", F.col("a").alias("rest"))
     return front.unionAll(back).join(common, "rest").select("w", F.concat_ws(" ", "a", "b").alias("fixed")).distinct()
+
+
+def mended(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``df`` with the words of ``text`` that the collection shows to be capitals of small words, or two words run together, put right."""
+    freq = cut(word_df(df.select(id_col, text), id_col, text))
+    fixes = upper_to_lower(freq).toDF("w", "fixed").unionAll(glued(freq).groupBy("w").agg(F.min("fixed").alias("fixed")))
+    fixes = fixes.groupBy("w").agg(F.min("fixed").alias("fixed"))
+    each = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(F.split(text, r"(?<=[A-Za-z])(?![A-Za-z])|(?<![A-Za-z])(?=[A-Za-z])")).alias("at", "w"))
+    hit = each.join(fixes, "w").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "fixed"))).alias("_fix"))
+    parts = F.split(text, r"(?<=[A-Za-z])(?![A-Za-z])|(?<![A-Za-z])(?=[A-Za-z])")
+    put = F.array_join(F.transform(parts, lambda w, i: F.coalesce(F.try_element_at("_fix", i), w)), "")
+    return df.join(hit, id_col, "left").withColumn(text, F.when(F.col("_fix").isNotNull(), put).otherwise(F.col(text))).drop("_fix")

@@ -3,8 +3,9 @@
 Settings are JSON: ``{"columns": [{"column_filler_class": "<name>", ..., "step_name": "..."}]}``.  Every step is
 validated against the table's columns before anything runs; a step that can't be planned is skipped and the table goes
 on unchanged.  With ``isolate`` each step's table is written to the shared folder: a step that fails while running is
-skipped too, and later steps read the table instead of planning all earlier ones again.  Short lists of cheap steps may
-do without.
+skipped too, with its error in the status, and later steps read the table instead of planning all earlier ones again.
+Short lists of cheap steps may do without.  The search index of the table is built when a step first wants it and used
+by all later ones, until a step changes the texts.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedupe, entities, search
+from ..operators import dedupe, entities, labelling, models, relations, search
 from ..session import cut, scratch
 
 Step = Callable[[DataFrame, dict], DataFrame]
@@ -50,22 +51,28 @@ class Status:
         return spark.createDataFrame(rows, "position int, step string, state string, error string")
 
 
+CHANGE_TEXTS = {"AdvancedTextNormalizer", "Deduplicator", "KeywordNormalizer"}
+
+
 def run(df: DataFrame, settings: str | dict, isolate: bool = True) -> tuple[DataFrame, Status]:
     """The enriched table and the states: Finished, or Finished with errors for skipped steps."""
     spec = json.loads(settings) if isinstance(settings, str) else settings
     status = Status()
     steps = [(s.get("step_name") or s.get("column_filler_class", ""), s) for s in spec.get("columns", [])]
+    indexes: dict[tuple[str, ...], search.Index] = {}
     for name, _ in steps:
         status.set(name, "Pending")
     for name, s in steps:
         status.set(name, "In Progress")
         try:
-            new = FILLERS[s["column_filler_class"]](df, s)
+            new = FILLERS[s["column_filler_class"]](df, s | {"indexes": indexes})
             _ = new.schema  # analysed here, so that wrong columns are found
             df = _written(new) if isolate else new
             status.set(name, "Finished")
-        except Exception as e:  # a failing step is skipped, whatever failed
+        except Exception as e:  # a failing step is skipped, whatever failed; its error stays in the status
             status.set(name, "Finished with errors", f"{type(e).__name__}: {e}"[:300])
+        if s.get("column_filler_class") in CHANGE_TEXTS:
+            indexes.clear()
     return df, status
 
 
@@ -81,13 +88,21 @@ def _default(df: DataFrame, labels: DataFrame, key: str, column: str) -> DataFra
 
 
 def _index(df: DataFrame, s: dict) -> search.Index:
-    return search.Index.build(df, s.get("columns_to_search", ["title", "abstract", "keywords"]))
+    columns = tuple(s.get("columns_to_search", ["title", "abstract", "keywords"]))
+    known = s.setdefault("indexes", {})
+    if columns not in known:
+        known[columns] = search.Index.build(df, list(columns))
+    return known[columns]
 
 
 @filler("AdvancedTextNormalizer")
 def normalise(df: DataFrame, s: dict) -> DataFrame:
-    for c in s.get("columns_to_process", ["title", "abstract"]):
+    """Escapes, braces, tags, copyright remarks and loose marks go; with ``full_normalization`` words are mended too."""
+    columns = s.get("columns_to_process", ["title", "abstract"])
+    for c in columns:
         df = df.withColumn(c, T.trim_punctuation(T.drop_copyright(T.drop_escapes(T.drop_braces(T.drop_html(c))))))
+        if s.get("full_normalization"):
+            df = relations.mended(df, "id", c)
     return df
 
 
@@ -140,7 +155,7 @@ def crops(df: DataFrame, s: dict) -> DataFrame:
 
 @filler("PopulationTagsFinder")
 def population(df: DataFrame, s: dict) -> DataFrame:
-    return df.join(search.population_tags(df, s.get("column", "abstract")).withColumnRenamed("tag", "population"), "id", "left")
+    return df.join(search.population_tags(df, s.get("column", "abstract")).withColumnRenamed("tag", s.get("column_name", "population")), "id", "left")
 
 
 @filler("StudyTypeLabeller")
@@ -177,9 +192,87 @@ def priority(df: DataFrame, s: dict) -> DataFrame:
 
 @filler("OutcomesFinder")
 def outcomes(df: DataFrame, s: dict) -> DataFrame:
-    """Sentence labels by a predictor (words of each label unless a model is set), united per article."""
-    words = F.split(F.regexp_replace(F.lower("s"), "[^a-z]+", " "), " ")
-    label = F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, ws))), k) for k, ws in s["labels"].items())))
-    each = df.select("id", F.explode(T.split_sentences(s.get("column", "abstract"))).alias("s")).select("id", F.explode(label).alias("l"))
-    name = s.get("column_name", "outcomes")
-    return _default(df, each.groupBy("id").agg(F.array_sort(F.collect_set("l")).alias(name)), "id", name)
+    """Sentence labels by a predictor (words of each label unless a model is set), united per article, with details."""
+    columns = s.get("columns_to_take", [s["column_to_take"]] if "column_to_take" in s else ["title", "abstract"])
+    out = labelling.united(labelling.sentence_labels(df, columns, s["labels"]))
+    name = s.get("column", "outcomes_found")
+    df = _default(df, out.select("id", F.col("labels").alias(name)), "id", name)
+    details = s.get("column_details", "outcomes_details")
+    return _default(df, out.select("id", F.col("details").alias(details)), "id", details)
+
+
+@filler("ComparedTermsLabeller")
+def compared(df: DataFrame, s: dict) -> DataFrame:
+    name = s.get("column_name", "compared_terms")
+    return _default(df, labelling.compared_terms(df, s.get("columns_to_process", ["title", "abstract"]), out=name), "id", name)
+
+
+@filler("ProgramExtractor")
+def programs(df: DataFrame, s: dict) -> DataFrame:
+    """Programmes of a list ("name # meaning"), or, with the type "model", those that patterns tell."""
+    name = s.get("column_name", "programs_found")
+    if s.get("model_type", "model") == "model":
+        found = labelling.programmes(df, s.get("columns_to_process", ["title", "abstract"]))
+        found = found.groupBy("id").agg(F.array_sort(F.collect_set("programme")).alias(name))
+        return _default(df, found, "id", name)
+    rows = [(p.partition("#")[0].strip(), p) for p in s["programs"]]
+    listed = df.sparkSession.createDataFrame(rows, "query string, program string")
+    hits = _index(df, s).search(listed.select("query")).join(listed, "query")
+    return _default(df, hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("program")).alias(name)), "doc_id", name)
+
+
+@filler("InterventionsSearchForLabeling")
+def interventions(df: DataFrame, s: dict) -> DataFrame:
+    """``interventions_found, intervention_labels, interventions_found_raw`` from a taxonomy."""
+    rows = [(t["concept"], t["class"], t.get("middle", [])) for t in s["taxonomy"]]
+    taxonomy = df.sparkSession.createDataFrame(rows, "concept string, class string, middle array<string>")
+    out = labelling.interventions(_index(df, s), taxonomy, s.get("threshold"))
+    for column, name in (("found", "interventions_found"), ("classes", "intervention_labels"), ("raw", "interventions_found_raw")):
+        df = _default(df.drop(name), out.select("doc_id", F.col(column).alias(name)), "doc_id", name)
+    return df
+
+
+@filler("MeasurementsLabeler")
+def measured(df: DataFrame, s: dict) -> DataFrame:
+    """Of each list column the terms that stand nearest to a number; ``measurements`` tells which columns have any."""
+    mapping = s.get("mappings_for_measurements", {"interventions_found_raw": "measurements_for_interventions"})
+    columns = s.get("columns_to_process", ["title", "abstract"])
+    has = []
+    for source, name in mapping.items():
+        found = labelling.measurements(df, columns, source).groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("_m"))
+        df = df.join(found, "id", "left")
+        new = F.coalesce("_m", F.array().cast("array<string>"))
+        df = df.withColumn(name, F.array_sort(F.array_union(name, new)) if name in df.columns else new).drop("_m")
+        has.append(F.when(F.size(name) > 0, F.lit(name)))
+    return df.withColumn("measurements", F.array_distinct(F.array_compact(F.array(*has))))
+
+
+@filler("InterventionLabeller")
+def classified(df: DataFrame, s: dict) -> DataFrame:
+    """A class for the text of ``narrow_concept_column``, by a classifier fitted on the rows that have one."""
+    concept, known, out = s["narrow_concept_column"], s["label_column"], s.get("predicted_label_column", "Predicted Label")
+    parts = [concept, *([s["broad_concepts_name"]] if "broad_concepts_name" in s else [])]
+    text = F.concat_ws(" ", *(F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.col(c) for c in parts))
+    label = F.element_at(known, 1) if dict(df.dtypes)[known].startswith("array") else F.col(known)
+    label = label if not dict(df.dtypes)[known].startswith("array") else F.when(F.size(known) == 1, label)
+    rows = df.select("id", text.alias("text"), label.alias("label"))
+    model = models.TextClassifier(features=s.get("features", 4096)).fit(rows.where("label is not null and text <> ''"))
+    return df.join(model.predict(rows.select("id", "text").where("text <> ''")).select("id", F.col("predicted").alias(out)), "id", "left")
+
+
+@filler("TopicModeler")
+def topics(df: DataFrame, s: dict) -> DataFrame:
+    """``topics`` (three words joined), ``topics_keywords`` and ``topics_hierarchy`` of each row, by factors of its texts."""
+    text = labelling.joined(df, s.get("columns_to_process", ["title", "abstract"]))
+    own, words = models.nmf(dedupe.tfidf(text, "text"), k=s.get("n_components", 8), rounds=s.get("rounds", 6))
+    r = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))
+    top = words.withColumn("r", r).where("r <= 3").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x.term).alias("w"))
+    chosen = models.topics_of(own).join(F.broadcast(top), "topic")  # a row per topic
+    got = chosen.groupBy("id").agg(
+        F.array_sort(F.collect_set(F.array_join("w", ","))).alias("topics"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("w")))).alias("topics_keywords"),
+        F.array_sort(F.collect_set(F.concat(F.element_at("w", 1), F.lit("/")))).alias("topics_hierarchy"),
+    )
+    for name in ("topics", "topics_keywords", "topics_hierarchy"):
+        df = _default(df.drop(name), got.select("id", name), "id", name)
+    return df

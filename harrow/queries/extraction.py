@@ -48,13 +48,6 @@ def se_abbr_filter(spark, d):
     return occurrences(spark, d).join(wanted, "abbr", "left_semi").select("id").distinct()
 
 
-@query(f"WITH {_MEAN} SELECT affiliation_id, coalesce(replace(lower(normalized_name), meaning, meaning || ' (' || abbr || ')'), lower(normalized_name)) AS text FROM affiliation_map LEFT JOIN mean ON meaning = lower(normalized_name)")
-def ab_replace(spark, d):
-    a = table(spark, d, "affiliation_map").select("affiliation_id", F.lower("normalized_name").alias("t"))
-    j = a.join(meanings(spark, d), F.col("t") == F.col("meaning"), "left")
-    return j.select("affiliation_id", F.coalesce(F.concat("meaning", F.lit(" ("), "abbr", F.lit(")")), "t").alias("text"))
-
-
 @query(f"WITH {_MEAN} SELECT meaning, count(*) AS n, list_sort(list(abbr)) AS abbrs FROM mean GROUP BY meaning")
 def ab_merge(spark, d):
     return meanings(spark, d).groupBy("meaning").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("abbr")).alias("abbrs"))
@@ -169,26 +162,12 @@ def ecs_split(spark, d):
     return e.select("id", "crop", context.alias("context"))
 
 
-@query("SELECT dataset, arg_min(label, (-n, label)) AS label, max(n) AS n FROM (SELECT dataset, exact_study_type AS label, count(*) AS n FROM study_type_df WHERE exact_study_type IS NOT NULL GROUP BY ALL) GROUP BY dataset")
-def swi_label(spark, d):
-    """Majority label of each source."""
-    c = table(spark, d, "study_type_df").where("exact_study_type is not null").groupBy("dataset", F.col("exact_study_type").alias("label")).agg(F.count("*").alias("n"))
-    return c.groupBy("dataset").agg(F.min(F.struct(-F.col("n"), "label")).alias("b"), F.max("n").alias("n")).select("dataset", F.col("b.label").alias("label"), "n")
-
-
 @query(rf"WITH {_SENT} SELECT id, s, [contains(lower(s), 'yield')::INT, contains(lower(s), 'income')::INT, contains(lower(s), 'water')::INT] AS y FROM s")
 def ml_outcome_prep(spark, d):
     """Sentences with a 0/1 label for each outcome."""
     return _sentences(spark, d).select("id", "s", F.array(*(F.contains(F.lower("s"), F.lit(w)).cast("int") for w in ("yield", "income", "water"))).alias("y"))
 
 
-@query("SELECT id, (length(title) - position('ezaim' IN reverse(lower(title))) - 3)::INT AS start, 'maize' AS label FROM articles_df WHERE contains(lower(title), 'maize')")
-def ml_ner_prep(spark, d):
-    """Span of the last mention in each title (positions from 1)."""
-    t = table(spark, d, A).where("contains(lower(title), 'maize')")
-    return t.select("id", (F.length("title") - F.locate("ezaim", F.reverse(F.lower("title"))) - 3).alias("start"), F.lit("maize").alias("label"))
-
-
 # ---- sinks and incremental runs
 
 

@@ -220,12 +220,6 @@ def lb_compare(spark, d):
 _PROG = r"((?:[A-Z][a-z]+ )+(?:Program|Programme|Project|Initiative|Centre|Trust))"
 
 
-@query(f"SELECT affiliation_id, unnest(regexp_extract_all(raw_university_name, '{_PROG}')) AS program FROM affiliation_map")
-def lb_programs_model(spark, d):
-    """Capitalised runs that end in a word for a programme: the rule that stands in for an entity model."""
-    return table(spark, d, "affiliation_map").select("affiliation_id", F.explode(F.regexp_extract_all("raw_university_name", F.lit(_PROG), F.lit(0))).alias("program"))
-
-
 @query(f"SELECT program, count(*) AS n FROM (SELECT unnest(regexp_extract_all(raw_affiliation, '{_PROG}')) AS program FROM articles_df) WHERE length(program) > 12 GROUP BY program")
 def pe_find(spark, d):
     p = table(spark, d, A).select(F.explode(F.regexp_extract_all("raw_affiliation", F.lit(_PROG), F.lit(0))).alias("program"))
@@ -235,46 +229,15 @@ def pe_find(spark, d):
 _OUT = {"Income": ["income", "returns", "costs"], "Yield": ["yield", "yields", "germination"], "Water": ["water", "runoff", "irrigation"]}
 
 
-@query(f"""WITH {_SENT}, l AS ({' UNION ALL '.join(f"SELECT id, s, '{k}' AS label FROM s WHERE list_has_any(string_split(regexp_replace(lower(s), '[^a-z]+', ' ', 'g'), ' '), {ws})" for k, ws in _OUT.items())})
-SELECT id, list_sort(list_distinct(list(label))) AS labels, list_sort(list_distinct(list('[' || label || ']' || s))) AS details FROM l GROUP BY id""")
-def lb_outcomes(spark, d):
-    """Labels of sentences by a predictor (here words), united per article with the sentences that gave them."""
-    words = F.split(F.regexp_replace(F.lower("s"), "[^a-z]+", " "), " ")
-    label = F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, ws))), k) for k, ws in _OUT.items())))
-    s = _sentences(spark, d).select("id", "s", F.explode(label).alias("label"))
-    return s.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.array_sort(F.collect_set(F.concat(F.lit("["), "label", F.lit("]"), "s"))).alias("details"))
-
-
 @query(r"""SELECT id, CASE WHEN p < 0.1 THEN 'Unlikely' WHEN p < 0.4 THEN 'Less likely' ELSE 'More likely' END AS priority FROM (SELECT id, least(1.0, length(regexp_extract_all(lower(coalesce(abstract, '')), 'trial|survey|evidence|randomised')) / 4.0) AS p FROM articles_df)""")
 def lb_priority(spark, d):
     p = F.least(F.lit(1.0), F.size(F.regexp_extract_all(F.lower(F.coalesce("abstract", F.lit(""))), F.lit("trial|survey|evidence|randomised"), F.lit(0))) / 4.0)
     return table(spark, d, A).select("id", F.when(p < 0.1, "Unlikely").when(p < 0.4, "Less likely").otherwise("More likely").alias("priority"))
 
 
-@query(rf"""WITH {_SENT}, t AS (SELECT id, s, string_split(regexp_replace(lower(s), '\s+', ' ', 'g'), ' ') AS l FROM s), w AS (SELECT id, s, unnest(l) AS w, unnest(range(0, length(l))) AS p FROM t),
-n AS (SELECT * FROM w WHERE regexp_matches(w, '^[0-9.]+$') AND regexp_matches(w, '[0-9]')), c AS (SELECT * FROM w WHERE w IN ('yield', 'costs', 'rainfall', 'losses'))
-SELECT id, number, concept FROM (SELECT n.id, n.w AS number, c.w AS concept, row_number() OVER (PARTITION BY n.id, n.s, n.p ORDER BY abs(n.p - c.p), c.p) AS r FROM (SELECT DISTINCT * FROM n) n JOIN (SELECT DISTINCT * FROM c) c ON n.id = c.id AND n.s = c.s) WHERE r = 1""")
-def lb_measure(spark, d):
-    """Each number of a sentence with the nearest concept in it."""
-    s = _sentences(spark, d).distinct().select("id", F.split(F.regexp_replace(F.lower("s"), r"\s+", " "), " ").alias("l"))
-    at = lambda ok: F.filter(F.transform("l", lambda w, i: F.when(ok(w), F.struct(i.alias("p"), w.alias("w")))), lambda x: x.isNotNull())
-    numbers = at(lambda w: w.rlike("^[0-9.]+$") & w.rlike("[0-9]"))
-    concepts = at(lambda w: w.isin("yield", "costs", "rainfall", "losses"))
-    s = s.select("id", concepts.alias("c"), F.explode(numbers).alias("n")).where("size(c) > 0")
-    near = F.array_min(F.transform("c", lambda x: F.struct(F.abs(x.p - F.col("n.p")).alias("d"), x.p.alias("p"), x.w.alias("w"))))
-    return s.select("id", F.col("n.w").alias("number"), near.w.alias("concept"))
-
-
 _EXT = ["intervention", "systems", "services", "plans", "tests"]
 
 
-@query("SELECT id, list_sort(list_distinct(list(CASE WHEN list_contains(" + str(_EXT) + ", string_split(t, ' ')[-1]) THEN t ELSE t || ' intervention' END))) AS names FROM (SELECT id, regexp_replace(lower(trim(unnest(topics))), '\\s+', ' ', 'g') AS t FROM big_dataset) WHERE t <> '' GROUP BY id")
-def lb_interv(spark, d):
-    t = table(spark, d, "big_dataset").select("id", F.explode("topics").alias("x")).select("id", F.regexp_replace(F.lower(F.trim("x")), r"\s+", " ").alias("t")).where("t <> ''")
-    name = F.when(F.element_at(F.split("t", " "), -1).isin(*_EXT), F.col("t")).otherwise(F.concat("t", F.lit(" intervention")))
-    return t.groupBy("id").agg(F.array_sort(F.collect_set(name)).alias("names"))
-
-
 @query("""WITH t AS (SELECT DISTINCT lower(trim(unnest(topics))) AS t FROM big_dataset), k(k) AS (VALUES ('soil water'), ('crop plants'), ('market prices'), ('animal keeping'))
 SELECT t AS topic, CASE WHEN s >= 0.3 THEN k ELSE 'other' END AS middle FROM (SELECT t, k, 1 - levenshtein(t, k) / greatest(length(t), length(k)) AS s, row_number() OVER (PARTITION BY t ORDER BY 1 - levenshtein(t, k) / greatest(length(t), length(k)) DESC, k) AS r FROM t, k WHERE t <> '') WHERE r = 1""")
 def id_dict(spark, d):

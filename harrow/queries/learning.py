@@ -359,7 +359,7 @@ _SETTINGS = {
 }
 
 
-@query(f"""WITH w AS (SELECT id, dataset, {sql.tokens('title')} AS t FROM articles_df)
+@query(f"""WITH w AS (SELECT id, dataset, list_concat(list_concat({sql.tokens('title')}, {sql.tokens('abstract')}), {sql.tokens('keywords')}) AS t FROM articles_df)
 SELECT id, CASE WHEN dataset = 'ruraldocs' THEN 'rural' ELSE dataset END AS source, list_filter(['Cereals', 'Methods'], lambda x: (x = 'Cereals' AND list_has_any(t, ['maize', 'sorghum'])) OR (x = 'Methods' AND list_has_any(t, ['survey', 'trial']))) AS tags FROM w""")
 def pipeline_run(spark, d):
     """Settings with two broken steps: the table goes on without them."""
