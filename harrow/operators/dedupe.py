@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut, spread_scan
+from ..session import cut, spread_join, spread_scan
+
+
+def _block(words: Column) -> Column:
+    key = F.concat_ws("|", F.col("year").cast("string"), F.element_at(words, 1), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
+    return F.when((F.size(words) > 0) & F.col("year").isNotNull(), key)
 
 
 def block_keys(df: DataFrame) -> DataFrame:
     """``id, block`` of year and the first two normalised title words; titles without words have none."""
-    df = spread_scan(df.select("id", "year", "title")).select("id", "year", T.token_list("title").alias("w"))
-    words = F.col("w")
-    key = F.concat_ws("|", F.col("year").cast("string"), F.element_at(words, 1), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
-    return df.where((F.size(words) > 0) & F.col("year").isNotNull()).select("id", key.alias("block"))
+    rows = spread_scan(df.select("id", "year", "title")).select("id", "year", T.token_list("title").alias("w"))
+    return rows.select("id", _block(F.col("w")).alias("block")).where("block is not null")
 
 
-def tfidf(df: DataFrame, column: str) -> DataFrame:
-    """``id, term, w``: weights of distinct document terms, idf = ln((1+n)/(1+df))+1, rows of unit length."""
-    words = spread_scan(df.select("id", column)).select("id", F.explode(T.token_list(column)).alias("term"))
-    tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+def tfidf(df: DataFrame, column: str, used: DataFrame | None = None) -> DataFrame:
+    """``id, term, w``: weights of distinct document terms, idf = ln((1+n)/(1+df))+1, rows of unit length.
+
+    Document frequencies are those of all rows; weights are made for the ids of ``used`` only, if it is given.
+    """
+    rows = df.select("id", column)
     n = df.select("id").count()
-    tf = cut(tf)
-    idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x"))
+    seen = spread_scan(rows).select(F.explode(F.array_distinct(T.token_list(column))).alias("term"))
+    idf = seen.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
+    own = spread_scan(rows) if used is None else rows.join(used, "id", "left_semi")
+    tf = own.select("id", F.explode(T.token_list(column)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    raw = cut(tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x")))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("w"))
 
@@ -38,29 +45,34 @@ def cosines(pairs: DataFrame, weights: DataFrame, out: str) -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Pairs of ids in one block that aren't the same text; exact copies are joined to their first id only."""
-    k = block_keys(df).join(df.select("id", "title", "abstract"), "id")
+    """Pairs of ids in one block that aren't the same text; exact copies are joined to their first id only.
+
+    Rows of a hot block are spread over salted parts.
+    """
     same = F.xxhash64(F.lower("title"), F.lower(F.coalesce("abstract", F.lit(""))))
-    k = k.withColumn("h", same)
-    reps = k.groupBy("block", "h").agg(F.min("id").alias("id"))
-    a = reps.select("block", F.col("id").alias("id_a"))
-    near = a.join(reps.select("block", F.col("id").alias("id_b")), "block").where("id_a < id_b").select("id_a", "id_b")
-    exact = k.join(reps.withColumnRenamed("id", "id_a"), ["block", "h"]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
+    rows = spread_scan(df.select("id", "year", "title", "abstract"))
+    rows = rows.select("id", "year", T.token_list("title").alias("w"), same.alias("h"))
+    k = cut(rows.select("id", _block(F.col("w")).alias("block"), "h").where("block is not null"))
+    reps = cut(k.groupBy("block", "h").agg(F.min("id").alias("id_a")))
+    a = reps.select("block", "id_a")
+    near = spread_join(a, a.withColumnRenamed("id_a", "id_b"), ["block"], least=2000).where("id_a < id_b").select("id_a", "id_b")
+    exact = spread_join(k.withColumnRenamed("id", "id_b"), reps, ["block", "h"]).where("id_a < id_b").select("id_a", "id_b")
     return near.unionAll(exact)
 
 
 def duplicates(df: DataFrame) -> DataFrame:
     """``id_a, id_b, title_lev, title_cos, abs_cos`` of the pairs that the rule calls duplicates."""
-    text = df.select("id", F.lower("title").alias("t"), (F.trim(F.coalesce("abstract", F.lit(""))) == "").alias("none"))
-    p = cosines(candidates(df), tfidf(df, "title"), "title_cos")
+    p = cut(candidates(df))
+    used = p.select(F.col("id_a").alias("id")).union(p.select("id_b")).distinct()
+    text = df.select("id", F.lower("title").alias("t"), (F.trim(F.coalesce("abstract", F.lit(""))) == "").alias("none")).join(used, "id", "left_semi")
+    p = cosines(p, tfidf(df, "title", used), "title_cos")
     p = p.join(text.toDF("id_a", "ta", "na"), "id_a").join(text.toDF("id_b", "tb", "nb"), "id_b")
     p = p.withColumn("title_lev", T.similarity("ta", "tb")).drop("ta", "tb")
     alike = (F.col("title_lev") >= 0.9) | (F.col("title_cos") >= 0.95)
     # titles decide which abstracts are compared at all
     p = cut(p.where(alike | (F.col("title_cos") > 0.8)))
-    weights = tfidf(df, "abstract")
     used = p.select(F.col("id_a").alias("id")).union(p.select("id_b")).distinct()
-    scores = cosines(p.select("id_a", "id_b"), weights.join(used, "id", "left_semi"), "abs_cos")
+    scores = cosines(p.select("id_a", "id_b"), tfidf(df, "abstract", used), "abs_cos")
     p = p.join(scores, ["id_a", "id_b"])
     rule = (alike & ((F.col("abs_cos") >= 0.85) | F.col("na") | F.col("nb"))) | ((F.col("title_cos") > 0.8) & (F.col("abs_cos") >= 0.94))
     return p.where(rule).select("id_a", "id_b", "title_lev", "title_cos", "abs_cos")

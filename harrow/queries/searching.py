@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedupe, merging, search
-from ..session import scratch, table, written
+from ..session import cut, scratch, table, written
 from . import query, sql
 
 A = "articles_df"
@@ -254,9 +254,26 @@ def dd_tfidf(spark, d):
     return dedupe.tfidf(table(spark, d, A), "title").select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query()
+# the other engine's edit distance counts bytes
+_TITLE_SIM = "1 - levenshtein(x.t, y.t) / greatest(strlen(x.t), strlen(y.t))"
+
+
+def _cosine_sql(name, weights, least):
+    return f"{name} AS (SELECT id_a, id_b, sum(a.w * b.w) AS c FROM {least} JOIN {weights} a ON a.id = id_a JOIN {weights} b ON b.id = id_b AND a.term = b.term GROUP BY id_a, id_b)"
+
+
+_RULE = f"""{_KEY}, {_TW}, {_AW},
+c AS (SELECT block, id, lower(title) AS t, lower(coalesce(abstract, '')) AS a, trim(coalesce(abstract, '')) = '' AS none FROM articles_df JOIN b USING (id)),
+rep AS (SELECT block, t, a, min(id) AS id FROM c GROUP BY ALL),
+cand AS (SELECT x.id AS id_a, y.id AS id_b FROM rep x JOIN rep y ON x.block = y.block AND x.id < y.id UNION ALL SELECT r.id, c.id FROM rep r JOIN c USING (block, t, a) WHERE r.id < c.id),
+{_cosine_sql('tc', 'tn', 'cand')}, {_cosine_sql('ac', 'an', 'cand')},
+scored AS (SELECT cand.id_a, cand.id_b, {{sim}} AS lev, coalesce(tc.c, 0) AS tc, coalesce(ac.c, 0) AS ac, x.none OR y.none AS none FROM cand JOIN c x ON x.id = cand.id_a JOIN c y ON y.id = cand.id_b
+  LEFT JOIN tc ON tc.id_a = cand.id_a AND tc.id_b = cand.id_b LEFT JOIN ac ON ac.id_a = cand.id_a AND ac.id_b = cand.id_b),
+dup AS (SELECT id_a, id_b FROM scored WHERE ((lev >= 0.9 OR tc >= 0.95) AND (ac >= 0.85 OR none)) OR (tc > 0.8 AND ac >= 0.94))""".replace("{sim}", _TITLE_SIM)
+
+
+@query(f"WITH {_RULE} SELECT id_a, id_b FROM dup")
 def dd_rule(spark, d):
-    """Duplicate pairs; the scores hang on sums of many doubles, so rows-only and a brute-force test."""
     return dedupe.duplicates(table(spark, d, A)).select("id_a", "id_b")
 
 
@@ -265,15 +282,11 @@ _PRIORITY = {"ruraldocs": 1, "openplots": 2, "seedlib": 3}
 
 def _decided(spark, d):
     a = table(spark, d, A)
-    k = a.where("title is not null and abstract is not null").select("id", F.xxhash64(F.lower("title"), F.lower("abstract")).alias("k"))
-    first = k.groupBy("k").agg(F.min("id").alias("id_a"))
-    pairs = k.join(first, "k").where("id > id_a").select("id_a", F.col("id").alias("id_b"))
-    return dedupe.decide(pairs, a, _PRIORITY)
+    return cut(dedupe.decide(dedupe.duplicates(a), a, _PRIORITY))
 
 
-_DEC = """r AS (SELECT id, lower(title) AS t, lower(abstract) AS a, CASE dataset WHEN 'ruraldocs' THEN 1 WHEN 'openplots' THEN 2 WHEN 'seedlib' THEN 3 ELSE 4 END AS p FROM articles_df WHERE title IS NOT NULL AND abstract IS NOT NULL),
-f AS (SELECT t, a, min(id) AS id FROM r GROUP BY t, a), pr AS (SELECT f.id AS id_a, r.id AS id_b, x.p AS pa, r.p AS pb FROM f JOIN r ON f.t = r.t AND f.a = r.a AND r.id > f.id JOIN r x ON x.id = f.id),
-dec AS (SELECT CASE WHEN pa <= pb THEN id_a ELSE id_b END AS kept, CASE WHEN pa <= pb THEN id_b ELSE id_a END AS deleted FROM pr)"""
+_DEC = f"""{_RULE}, r AS (SELECT id, CASE dataset WHEN 'ruraldocs' THEN 1 WHEN 'openplots' THEN 2 WHEN 'seedlib' THEN 3 ELSE 4 END AS p FROM articles_df),
+dec AS (SELECT CASE WHEN x.p <= y.p THEN id_a ELSE id_b END AS kept, CASE WHEN x.p <= y.p THEN id_b ELSE id_a END AS deleted FROM dup JOIN r x ON x.id = id_a JOIN r y ON y.id = id_b)"""
 
 
 @query(f"WITH {_DEC} SELECT kept, deleted FROM dec")
