@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,19 +20,65 @@ def roots(parents: DataFrame) -> DataFrame:
             return links
 
 
+def near_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
+    """``item, other``: candidates for a similarity of ``threshold`` or more of distinct strings, exactly all of them.
+
+    ``longer`` holds ``item``, ``shorter`` ``other``, which is of the same length or less.  Two strings within d edits,
+    d being what the threshold allows for the longer, share at least one of d + 1 segments of the shorter, moved by d
+    places at most; so pairs are joined on segments, which are far rarer than first letters, and no bucket is compared
+    with itself.
+    """
+    left = 1 - threshold + 1e-9
+    edits = lambda n: F.floor(n * F.lit(left)).cast("int")
+    n = F.col("l")
+    begin = F.floor(F.col("i") * n / (F.col("d") + 1)).cast("int")
+    size = F.floor((F.col("i") + 1) * n / (F.col("d") + 1)).cast("int") - begin
+    every = lambda df, a, b, name: df.withColumn(name, F.explode(F.sequence(a, b)))
+    index = shorter.select("other", F.length("other").alias("l")).where("l > 0")
+    index = every(index, edits(n), edits(F.floor(n / F.lit(threshold - 1e-9))), "d")
+    index = every(index, F.lit(0), F.col("d"), "i").select("other", "l", "d", "i", F.substring("other", begin + 1, size).alias("seg"))
+    probe = longer.select("item", F.length("item").alias("n")).where("n > 0").withColumn("d", edits(F.col("n")))
+    probe = every(probe, F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(threshold - 1e-9)).cast("int")), F.col("n"), "l")
+    probe = every(probe, F.lit(0), F.col("d"), "i")
+    at = F.greatest(F.lit(0), begin - F.col("d")), F.least(F.col("n") - size, begin + F.col("d"))
+    probe = probe.withColumn("p", F.explode(F.when(at[0] <= at[1], F.sequence(*at)).otherwise(F.array().cast("array<int>"))))
+    probe = probe.select("item", "l", "d", "i", F.substring("item", F.col("p") + 1, size).alias("seg")).distinct()
+    return probe.join(index, ["l", "d", "i", "seg"]).select("item", "other").distinct()
+
+
+def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """``item, other`` of different strings of column ``item`` whose edit similarity is ``threshold`` or more, both ways."""
+    x = items.select("item").distinct()
+    found = near_pairs(x, x.withColumnRenamed("item", "other"), threshold).where("item <> other")
+    found = cut(found.where(T.similarity("item", "other") >= threshold))
+    return found.unionAll(found.select(F.col("other").alias("item"), F.col("item").alias("other"))).distinct()
+
+
+def sibilant_pairs(items: DataFrame, others: DataFrame) -> DataFrame:
+    """``item, other``: words that differ in one s or z after the second letter; the key is the word with a gap there."""
+
+    def keys(c: str) -> Column:
+        part = lambda i, n: F.substring(F.col(c), i, n)
+        gap = lambda i: F.concat(part(F.lit(1), i - 1), F.lit("_"), part(i + 1, F.length(c)))
+        places = F.sequence(F.lit(3), F.greatest(F.length(c), F.lit(3)))
+        return F.explode(F.array_compact(F.transform(places, lambda i: F.when(part(i, F.lit(1)).isin("s", "z"), gap(i))))).alias("key")
+
+    a, b = items.select("item", keys("item")), others.select("other", keys("other"))
+    return a.join(b, "key").where((F.col("item") != F.col("other")) & T.zs_variant("item", "other")).select("item", "other")
+
+
 def merge_similar(items: DataFrame, threshold: float, block: int = 5, keep: str = "last") -> DataFrame:
     """``item, root``: items (``item, weight``) joined to a similar one of greater weight in their prefix block.
 
     Of several, the parent is the last (lightest) or the first (heaviest) of them, as ``keep`` says; items that stay by
-    themselves are their own root.  Blocks are equal prefixes of ``block`` letters; lengths may differ as far as the
-    threshold allows.
+    themselves are their own root.  Similar are those of one prefix of ``block`` letters; they are found by segments.
     """
-    x = items.where("item is not null and item <> ''").groupBy("item").agg(F.max("weight").alias("weight"))
-    x = x.withColumn("p", F.substring("item", 1, block))
-    pairs = x.alias("a").join(x.select(F.col("item").alias("other"), F.col("weight").alias("w2"), "p"), "p")
+    x = cut(items.where("item is not null and item <> ''").groupBy("item").agg(F.max("weight").alias("weight")))
+    pairs = similar_pairs(x, threshold).unionAll(sibilant_pairs(x.select("item"), x.select(F.col("item").alias("other")))).distinct()
+    pairs = pairs.where(F.substring("item", 1, block) == F.substring("other", 1, block))
+    pairs = pairs.join(x, "item").join(x.select(F.col("item").alias("other"), F.col("weight").alias("w2")), "other")
     heavier = (F.col("w2") > F.col("weight")) | ((F.col("w2") == F.col("weight")) & (F.col("other") < F.col("item")))
-    band = F.abs(F.length("item") - F.length("other")) <= F.ceil(F.greatest(F.length("item"), F.length("other")) * (1 - threshold))
-    near = pairs.where(heavier & band & T.similar("item", "other", threshold))
+    near = pairs.where(heavier & T.similar("item", "other", threshold))
     if keep == "first":
         chosen = near.groupBy("item").agg(F.min(F.struct((-F.col("w2")).alias("k"), "other")).alias("b"))
     else:

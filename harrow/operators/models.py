@@ -235,13 +235,17 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
     docs = cut(docs)
     h = np.random.default_rng(seed).random((len(names), k)) + 0.1
 
-    def solve(j: np.ndarray, w: np.ndarray, h: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        if not len(j):
-            return np.zeros(h.shape[1])
-        v, target = np.full(h.shape[1], 0.5), w @ h[j]
+    def solve(b: pa.RecordBatch, h: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and weight of each entry of a batch, and the weights of its documents, all documents at once."""
+        offsets = np.asarray(b.column(1).offsets) - b.column(1).offsets[0].as_py()
+        j, w = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        target = np.zeros((b.num_rows, h.shape[1]))
+        np.add.at(target, row, w[:, None] * h[j])
+        v = np.where(np.diff(offsets)[:, None] > 0, 0.5, 0.0) * np.ones((1, h.shape[1]))
         for _ in range(25):
-            v *= target / np.maximum(gram @ v, 1e-12)
-        return v
+            v *= target / np.maximum(v @ gram, 1e-12)
+        return row, j, w, v
 
     for _ in range(rounds):
         gram = h.T @ h
@@ -249,11 +253,9 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
         def sums(batches: Iterator[pa.RecordBatch], h=h, gram=gram) -> Iterator[pa.RecordBatch]:
             up, down = np.zeros_like(h), np.zeros((h.shape[1], h.shape[1]))
             for b in batches:
-                for j, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    j, w = np.array(j, np.int64), np.array(w, float)
-                    v = solve(j, w, h, gram)
-                    up[j] += np.outer(w, v)
-                    down += np.outer(v, v)
+                row, j, w, v = solve(b, h, gram)
+                np.add.at(up, j, w[:, None] * v[row])
+                down += v.T @ v
             used = np.flatnonzero(up.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1], pa.int32()), pa.array([*up[used].tolist(), down.ravel().tolist()], pa.list_(pa.float64()))], names=["j", "v"])
 
@@ -269,8 +271,8 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [solve(np.array(j, np.int64), np.array(w, float), h, gram).tolist() for j, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.list_(pa.float64()))], names=["id", "v"])
+            v = solve(b, h, gram)[3]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
 
     own = docs.mapInArrow(final, "id bigint, v array<double>").select("id", F.posexplode("v").alias("topic", "weight"))
     words = spark.createDataFrame([(t, c, float(h[j, c])) for t, j in place.items() for c in range(k)], "term string, topic int, weight double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import scratch, spread_scan
+from .merging import near_pairs, sibilant_pairs
 
 THRESHOLD = 0.85
 
@@ -62,13 +63,16 @@ class Index:
         """``word, term``: indexed words like each ``word``: itself, spellings at least ``threshold`` similar that are
         less than four times as frequent, and s/z variants."""
         v = self.vocabulary.where("n_words = 1").select("term", "df", "prefix")
-        own = words.join(v.select(F.col("term").alias("word"), F.col("df").alias("own")), "word", "left")
-        near = own.withColumn("prefix", F.substring("word", 1, 3)).join(v, "prefix")
-        band = F.abs(F.length("word") - F.length("term")) <= F.ceil(F.greatest(F.length("word"), F.length("term")) * (1 - threshold))
-        alike = (T.similarity("word", "term") >= threshold) & (F.col("own").isNull() | (F.col("df") < 4 * F.col("own")))
-        long = F.length("word") >= 3
-        kept = near.where((F.col("word") == F.col("term")) | (band & long & (alike | T.zs_variant("word", "term"))))
-        return kept.select("word", "term").distinct()
+        words = words.select("word").distinct()
+        a, b = words.select(F.col("word").alias("item")), v.select(F.col("term").alias("other"))
+        forth = near_pairs(a, b, threshold).toDF("word", "term")
+        back = near_pairs(v.select(F.col("term").alias("item")), words.select(F.col("word").alias("other")), threshold).toDF("term", "word").select("word", "term")
+        alike = forth.unionAll(back).distinct().where((T.similarity("word", "term") >= threshold) & (F.length("word") >= 3))
+        alike = alike.where(F.substring("word", 1, 3) == F.substring("term", 1, 3)).join(v.select("term", "df"), "term")
+        own = v.select(F.col("term").alias("word"), F.col("df").alias("own"))
+        alike = alike.join(own, "word", "left").where(F.col("own").isNull() | (F.col("df") < 4 * F.col("own"))).select("word", "term")
+        same = words.join(own, "word").select("word", F.col("word").alias("term"))
+        return same.unionAll(alike).unionAll(sibilant_pairs(words.where("length(word) >= 3").toDF("item"), v.select(F.col("term").alias("other")))).distinct()
 
     def search(self, queries: DataFrame, threshold: float | None = None) -> DataFrame:
         """``query, doc_id`` of all texts that hold a query: one or two words as a term, more as all their pairs.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import entities as E
 from ..operators import labelling as L
+from ..operators import merging
 from ..operators import relations as X
 from ..session import table
 from . import query, sql
@@ -56,17 +57,25 @@ OR 1 - levenshtein(array_to_string(list_sort(string_split(a.c, ' ')), ' '), arra
 def af_remap_country(spark, d):
     n = table(spark, d, "affiliation_map").select(F.col("affiliation_id").alias("id"), "country", F.lower("normalized_name").alias("n"))
     n = n.withColumn("c", E.core_name(F.col("n"))).withColumn("s", F.array_join(F.array_sort(F.split("c", " ")), " "))
-    p = n.toDF("id_a", "country", "na", "ca", "sa").join(n.toDF("id_b", "country", "nb", "cb", "sb"), "country").where("id_a < id_b")
-    core = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length("ca"), F.length("cb"), F.lit(1))
-    return p.where((T.similarity("na", "nb") >= 0.88) | (core("ca", "cb") >= 0.88) | (core("sa", "sb") >= 0.88)).select("id_a", "id_b")
+    found = None
+    for form in ("n", "c", "s"):  # the name, its own words, and these in order of the alphabet
+        x = n.select(F.col(form).alias("item"))
+        near = merging.similar_pairs(x, 0.88).unionAll(x.select("item", F.col("item").alias("other")).distinct())
+        j = near.join(n.select(F.col("id").alias("id_a"), F.col("country").alias("land_a"), F.col(form).alias("item")), "item")
+        j = j.join(n.select(F.col("id").alias("id_b"), F.col("country").alias("land_b"), F.col(form).alias("other")), "other")
+        j = j.where("id_a < id_b and land_a = land_b").select("id_a", "id_b")
+        found = j if found is None else found.unionAll(j)
+    return found.distinct()
 
 
 @query("""SELECT a.affiliation_id AS id_a, b.affiliation_id AS id_b FROM affiliation_map a JOIN affiliation_map b ON substr(lower(a.normalized_name), 1, 2) = substr(lower(b.normalized_name), 1, 2) AND a.affiliation_id < b.affiliation_id
 AND (a.country = b.country OR a.city = b.city) WHERE 1 - levenshtein(lower(a.normalized_name), lower(b.normalized_name)) / greatest(length(a.normalized_name), length(b.normalized_name)) >= 0.8""")
 def af_remap_prefix(spark, d):
-    n = table(spark, d, "affiliation_map").select("affiliation_id", F.lower("normalized_name").alias("n"), "city", "country").withColumn("p", F.substring("n", 1, 2))
-    j = n.toDF("id_a", "na", "city_a", "land_a", "p").join(n.toDF("id_b", "nb", "city_b", "land_b", "p"), "p").where("id_a < id_b and (land_a = land_b or city_a = city_b)")
-    return j.where(T.similarity("na", "nb") >= 0.8).select("id_a", "id_b")
+    n = table(spark, d, "affiliation_map").select("affiliation_id", F.lower("normalized_name").alias("n"), "city", "country")
+    near = merging.similar_pairs(n.select(F.col("n").alias("item")), 0.8).where("left(item, 2) = left(other, 2)")
+    near = near.unionAll(n.select(F.col("n").alias("item"), F.col("n").alias("other")).distinct()).toDF("na", "nb")
+    j = near.join(n.toDF("id_a", "na", "city_a", "land_a"), "na").join(n.toDF("id_b", "nb", "city_b", "land_b"), "nb")
+    return j.where("id_a < id_b and (land_a = land_b or city_a = city_b)").select("id_a", "id_b")
 
 
 @query(f"WITH {_AFF}, m AS (SELECT array_to_string(list_sort(string_split(lower(normalized_name), ' ')), ' ') AS k, min(affiliation_id) AS ref FROM affiliation_map GROUP BY 1) SELECT id, raw, ref FROM (SELECT id, raw, trim(lower(split_part(raw, ',', 1))) AS h FROM i) JOIN m ON k = array_to_string(list_sort(string_split(h, ' ')), ' ')")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedupe, evaluation, merging, models
 from ..plans import pipeline
-from ..session import scratch, spread_scan, table
+from ..session import cut, parallelism, scratch, spread_scan, table
 from ..sources import files
 from ..streaming import incremental
 from . import query, sql
@@ -26,11 +26,12 @@ def ml_phrases(spark, d):
 
 @query()
 def ml_w2v(spark, d):
-    """Terms and their nearest terms by vectors trained on the titles; rows only, training isn't SQL."""
+    """The twenty terms nearest to the most frequent one, by vectors trained on titles and abstracts; training isn't SQL."""
     from pyspark.ml.feature import Word2Vec
 
-    words = table(spark, d, A).select(T.token_list("title").alias("l")).where("size(l) > 1")
-    model = Word2Vec(vectorSize=16, minCount=3, windowSize=6, maxIter=1, seed=1, inputCol="l", outputCol="v").fit(words)
+    text = F.concat_ws(". ", "title", "abstract").alias("t")
+    words = cut(spread_scan(table(spark, d, A).select(text)).select(T.token_list("t").alias("l")).where("size(l) > 1"))
+    model = Word2Vec(vectorSize=300, minCount=7, windowSize=6, maxIter=10, numPartitions=parallelism(spark), seed=1, inputCol="l", outputCol="v").fit(words)
     often = words.select(F.explode("l").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first()["w"]
     return model.findSynonyms(often, 20).select("word", F.round("similarity", 4).alias("similarity"))
 
@@ -69,7 +70,8 @@ def ml_tfidf_topic(spark, d):
 
 
 def _topics(spark, d):
-    return models.nmf(dedupe.tfidf(table(spark, d, A).select("id", "title"), "title"), k=6, rounds=4)
+    text = table(spark, d, A).select("id", F.concat_ws(". ", "title", "abstract").alias("text"))
+    return models.nmf(dedupe.tfidf(text, "text"), k=8)
 
 
 @query()
@@ -95,15 +97,14 @@ def ml_topic_words(spark, d):
     return models.pagerank(edges, rounds=10).orderBy(F.desc("rank"), "node").limit(50).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("""WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)
-SELECT a.label, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS coherence FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.r <= 10 AND b.r <= 10 GROUP BY a.label""")
+@query("""WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.label, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS coherence FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def ml_coherence(spark, d):
-    """Mean pairwise cosine of the first ten members of each group."""
-    r = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    v = table(spark, d, "embeddings").withColumn("r", r).where("r <= 10").select("label", "vec_id", "embedding")
-    p = v.toDF("label", "i", "x").join(v.toDF("label", "j", "y"), "label").where("i < j")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, w: u.cast("double") * w.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return p.groupBy("label").agg(F.round(F.avg(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))), 6).alias("coherence"))
+    """Mean cosine of all pairs of a group, from the sum of its unit vectors: no pair is made."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    e = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    sums = e.select("label", "vec_id", "norm", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.first("n").alias("n"))
+    return whole.where("n > 1").select("label", F.round((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("coherence"))
 
 
 @query("""WITH k AS (SELECT id, list_distinct(list_filter(list_transform(string_split(lower(coalesce(keywords, '')), ';'), lambda w: trim(w)), lambda w: w <> '')) AS k FROM articles_df),

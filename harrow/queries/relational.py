@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dashboards as D
+from ..operators import merging
 from ..operators import reshape as R
-from ..session import table
+from ..session import spread_join, table
 from . import query, sql
 
 # ---- projection, filter, reshaping
@@ -121,7 +122,7 @@ def jn_block(spark, d):
     """Pairs in one block of year and first two title words, of the same journal (which joins the key)."""
     first_two = F.concat_ws(" ", F.lower(F.split_part("title", F.lit(" "), F.lit(1))), F.lower(F.split_part("title", F.lit(" "), F.lit(2))))
     k = table(spark, d, "articles_df").where("title is not null").select("id", "year", "journal", first_two.alias("k"))
-    return k.withColumnRenamed("id", "id_a").join(k.withColumnRenamed("id", "id_b"), ["year", "k", "journal"]).where("id_a < id_b").select("id_a", "id_b")
+    return spread_join(k.withColumnRenamed("id", "id_a"), k.withColumnRenamed("id", "id_b"), ["year", "k", "journal"], least=2000).where("id_a < id_b").select("id_a", "id_b")
 
 
 @query("SELECT a.id AS article_id, s.id AS study_id FROM articles_df a JOIN study_type_df s ON lower(trim(a.title)) = lower(trim(s.title))")
@@ -135,10 +136,10 @@ def jn_block2(spark, d):
 SELECT a.w AS word_a, b.w AS word_b FROM v a JOIN v b ON substr(a.w, 1, 3) = substr(b.w, 1, 3) AND a.w < b.w AND abs(length(a.w) - length(b.w)) <= 2
 WHERE 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) >= 0.8""")
 def jn_fuzzy(spark, d):
-    v = table(spark, d, "articles_df").select(F.explode(T.normal_words("keywords")).alias("w")).distinct().where("length(w) > 4 and w rlike '^[a-z]+$'")
-    v = v.withColumn("p", F.substring("w", 1, 3))
-    pairs = v.withColumnRenamed("w", "word_a").join(v.withColumnRenamed("w", "word_b"), "p").where("word_a < word_b and abs(length(word_a) - length(word_b)) <= 2")
-    return pairs.where(T.similarity("word_a", "word_b") >= 0.8).select("word_a", "word_b")
+    """Similar words with the same first three letters; candidates share a segment."""
+    v = table(spark, d, "articles_df").select(F.explode(T.normal_words("keywords")).alias("item")).distinct().where("length(item) > 4 and item rlike '^[a-z]+$'")
+    pairs = merging.similar_pairs(v, 0.8).where("item < other and left(item, 3) = left(other, 3) and abs(length(item) - length(other)) <= 2")
+    return pairs.toDF("word_a", "word_b")
 
 
 @query("SELECT id, title FROM articles_df a WHERE EXISTS (SELECT 1 FROM documents d WHERE d.article_id = a.id)")
@@ -213,10 +214,12 @@ def jn_contains(spark, d):
 @query("""SELECT a.affiliation_id AS id_a, b.affiliation_id AS id_b FROM affiliation_map a JOIN affiliation_map b ON a.country = b.country AND a.affiliation_id < b.affiliation_id
 WHERE 1 - levenshtein(lower(a.normalized_name), lower(b.normalized_name)) / greatest(length(a.normalized_name), length(b.normalized_name)) >= 0.7""")
 def jn_pair_cross(spark, d):
-    """Similar names within one country (the reference list; its groups are small)."""
+    """Similar names within one country; similar names first, by shared segments, then the country."""
     a = table(spark, d, "affiliation_map").select("affiliation_id", "country", F.lower("normalized_name").alias("n"))
-    pairs = a.toDF("id_a", "country", "na").join(a.toDF("id_b", "country", "nb"), "country").where("id_a < id_b")
-    return pairs.where(T.similarity("na", "nb") >= 0.7).select("id_a", "id_b")
+    near = merging.similar_pairs(a.select(F.col("n").alias("item")), 0.7)
+    near = near.unionAll(a.select(F.col("n").alias("item"), F.col("n").alias("other")).distinct()).toDF("na", "nb")
+    pairs = near.join(a.toDF("id_a", "country_a", "na"), "na").join(a.toDF("id_b", "country_b", "nb"), "nb")
+    return pairs.where("id_a < id_b and country_a = country_b").select("id_a", "id_b")
 
 
 # ---- aggregations

@@ -28,14 +28,24 @@ def index(spark, d, path=None):
     return search.Index.load(spark, _built[key])
 
 
-def frequent(ix, n=40):
-    """The most frequent longer single words: a dictionary that occurs in the data, labelled by first letter."""
-    v = ix.vocabulary.where("n_words = 1 and length(term) >= 6 and term rlike '^[a-z]+$'")
-    top = v.orderBy(F.desc("df"), "term").limit(n)
-    return top.select(F.col("term").alias("keyword"), F.upper(F.substring("term", 1, 1)).alias("label"))
+def frequent(ix):
+    """A dictionary that occurs in the data: all longer single words of three texts or more, labelled by first letter."""
+    v = ix.vocabulary.where("n_words = 1 and length(term) >= 6 and term rlike '^[a-z]+$' and df >= 3")
+    return v.select(F.col("term").alias("keyword"), F.upper(F.substring("term", 1, 1)).alias("label"))
 
 
-_DICT = "dict AS (SELECT term AS keyword, upper(substr(term, 1, 1)) AS label FROM vocab WHERE n_words = 1 AND length(term) >= 6 AND regexp_matches(term, '^[a-z]+$') ORDER BY df DESC, term LIMIT 40)"
+_SIM = "(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
+_ZS = "(length({a}) = length({b}) AND length(list_filter(range(3, length({a}) + 1), lambda i: substr({a}, 1, i - 1) = substr({b}, 1, i - 1) AND substr({a}, i + 1) = substr({b}, i + 1) AND (({a}[i] = 's' AND {b}[i] = 'z') OR ({a}[i] = 'z' AND {b}[i] = 's')))) > 0)"
+
+
+def _fuzzy_sql(words, least):
+    """Variants (word, term) of the words of a table ``words`` (word, df)."""
+    return f"""(SELECT DISTINCT word, v.term FROM {words} w JOIN vocab v ON substr(word, 1, 3) = v.prefix AND v.n_words = 1 AND abs(length(word) - length(v.term)) <= length(word) / 3
+WHERE word = v.term OR (regexp_matches(v.term, '^[ -~]+$') AND {_SIM.format(a='word', b='v.term')} >= {least} AND v.df < 4 * w.df) OR {_ZS.format(a='word', b='v.term')})"""
+
+
+_DICT = "dict AS (SELECT term AS keyword, upper(substr(term, 1, 1)) AS label, term AS word, df FROM vocab WHERE n_words = 1 AND length(term) >= 6 AND regexp_matches(term, '^[a-z]+$') AND df >= 3)"
+_VARIANTS = f"{_DICT}, held AS (SELECT keyword, label, post.doc_id FROM {_fuzzy_sql('dict', 0.92)} x JOIN dict USING (word) JOIN post ON post.term = x.term)"
 
 
 @query(f"WITH {_POST} SELECT term, count(*) AS df FROM post GROUP BY term")
@@ -59,15 +69,10 @@ def se_wildcard(spark, d):
     return ix.wildcard("agri*").union(ix.wildcard("fert*r"))
 
 
-_SIM = "(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
-
-
-@query(f"""WITH {_POST}, w AS (SELECT term AS word, df FROM vocab WHERE n_words = 1 AND length(term) >= 6 AND regexp_matches(term, '^[a-z]+$') ORDER BY df DESC, term LIMIT 200)
-SELECT DISTINCT word, v.term FROM w JOIN vocab v ON substr(word, 1, 3) = v.prefix AND v.n_words = 1 WHERE word = v.term OR (regexp_matches(v.term, '^[ -~]+$') AND {_SIM.format(a='word', b='v.term')} >= 0.85 AND v.df < 4 * w.df)
-OR (length(word) = length(v.term) AND length(list_filter(range(3, length(word)), lambda i: substr(word, 1, i - 1) = substr(v.term, 1, i - 1) AND substr(word, i + 1) = substr(v.term, i + 1) AND ((word[i] = 's' AND v.term[i] = 'z') OR (word[i] = 'z' AND v.term[i] = 's')))) > 0)""")
+@query(f"""WITH {_POST}, w AS (SELECT term AS word, df FROM vocab WHERE n_words = 1 AND length(term) >= 6 AND regexp_matches(term, '^[a-z]+$')) SELECT * FROM {_fuzzy_sql('w', 0.85)}""")
 def se_fuzzy(spark, d):
     ix = index(spark, d)
-    words = ix.vocabulary.where("n_words = 1 and length(term) >= 6 and term rlike '^[a-z]+$'").orderBy(F.desc("df"), "term").limit(200)
+    words = ix.vocabulary.where("n_words = 1 and length(term) >= 6 and term rlike '^[a-z]+$'")
     return ix.fuzzy(words.select(F.col("term").alias("word")))
 
 
@@ -107,22 +112,22 @@ def se_expand_spell(spark, d):
     return x.select(F.concat_ws(" ", "ta", "tb").alias("expanded"))
 
 
-@query(f"WITH {_POST}, {_DICT} SELECT doc_id, list_sort(list_distinct(list(label))) AS labels, list_sort(list_distinct(list(keyword))) AS details FROM dict JOIN post ON term = keyword GROUP BY doc_id")
+@query(f"WITH {_POST}, {_VARIANTS} SELECT doc_id, list_sort(list_distinct(list(label))) AS labels, list_sort(list_distinct(list(keyword))) AS details FROM held GROUP BY doc_id")
 def lb_dict(spark, d):
     ix = index(spark, d)
-    return search.dictionary_label(ix, frequent(ix))
+    return search.dictionary_label(ix, frequent(ix), 0.92)
 
 
-@query(f"WITH {_POST}, {_DICT} SELECT doc_id, list_sort(list_distinct(flatten(list([label || '/', label || '/' || keyword])))) AS labels, list_sort(list_distinct(list(keyword))) AS details FROM dict JOIN post ON term = keyword GROUP BY doc_id")
+@query(f"WITH {_POST}, {_VARIANTS} SELECT doc_id, list_sort(list_distinct(flatten(list([label || '/', label || '/' || keyword])))) AS labels, list_sort(list_distinct(list(keyword))) AS details FROM held GROUP BY doc_id")
 def lb_dict_hierarchy(spark, d):
     ix = index(spark, d)
-    return search.dictionary_label(ix, frequent(ix), hierarchy=True)
+    return search.dictionary_label(ix, frequent(ix), 0.92, hierarchy=True)
 
 
 @query(f"WITH {_POST}, {_DICT} SELECT doc_id, keyword AS term FROM dict JOIN post ON term = keyword")
 def jn_index_dict(spark, d):
     ix = index(spark, d)
-    return ix.postings.join(F.broadcast(frequent(ix).select(F.col("keyword").alias("term"))), "term")  # 40 rows
+    return ix.postings.join(frequent(ix).select(F.col("keyword").alias("term")), "term")
 
 
 _TAX = [("maize", "cereals"), ("sorghum", "cereals"), ("rice", "cereals"), ("goat", "livestock"), ("sheep", "livestock"), ("finger millet", "cereals")]

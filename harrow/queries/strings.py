@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import merging
 from ..session import spread_scan, table
 from . import query, sql
 
@@ -102,9 +103,8 @@ SELECT a.w AS word_a, b.w AS word_b FROM v a JOIN v b ON substr(a.w, 1, 2) = sub
 WHERE length(list_filter(range(3, length(a.w)), lambda i: substr(a.w, 1, i - 1) = substr(b.w, 1, i - 1) AND substr(a.w, i + 1) = substr(b.w, i + 1) AND ((a.w[i] = 's' AND b.w[i] = 'z') OR (a.w[i] = 'z' AND b.w[i] = 's')))) > 0""")
 def str_zs(spark, d):
     w = table(spark, d, A).select(F.explode(T.token_list("title")).alias("w")).distinct().where("length(w) > 5 and w rlike '^[a-z]+$'")
-    w = w.withColumn("p", F.substring("w", 1, 2)).withColumn("n", F.length("w"))
-    pairs = w.withColumnRenamed("w", "word_a").join(w.withColumnRenamed("w", "word_b"), ["p", "n"]).where("word_a < word_b")
-    return pairs.where(T.zs_variant("word_a", "word_b")).select("word_a", "word_b")
+    pairs = merging.sibilant_pairs(w.toDF("item"), w.toDF("other")).where("item < other")
+    return pairs.distinct().toDF("word_a", "word_b")
 
 
 @query(r"SELECT lower(journal_name) AS a, lower(short_name) AS b, (1 - levenshtein(lower(journal_name), lower(short_name)) / greatest(length(journal_name), length(short_name))) >= 0.7 AS similar FROM journal_list WHERE short_name IS NOT NULL")
