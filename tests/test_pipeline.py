@@ -49,7 +49,7 @@ def test_steps_are_isolated(spark):
     assert one["title"] == "Maize trial on small farms" and one["abstract"] == "Small farms grew maize. Yields rose"
     assert one["countries"] == ["Lund", "Sweden"] and one["crops"] == ["cereals/maize"]
     assert one["study_type"] == ["Trial"] and got[2]["study_type"] == ["No category"]
-    assert one["focus"] == ["Both"] and one["outcomes"] == ["Yield"] and got[3]["outcomes"] == []
+    assert one["focus"] == ["Both"] and one["outcomes_found"] == ["Yield"] and got[3]["outcomes_found"] == []
     assert one["population"] == "Small scale farmers"
     assert one["author_names"] == ["Smith A", "Jones B"] and one["affiliations"] == ["university lund"]
     assert one["journal"] == "Plough Letters" and one["keywords"] == "maize"
@@ -95,7 +95,7 @@ def test_nearest_matches_brute_force(spark):
 
 def test_topics_lower_the_error(spark):
     rows = [(k, t, 1.0) for k in range(20) for t in (("a", "b", "c") if k % 2 else ("x", "y", "z"))]
-    own, words = models.nmf(spark.createDataFrame(rows, "id bigint, term string, w double"), k=2, rounds=8)
+    own, words = models.nmf(spark.createDataFrame(rows, "id bigint, term string, w double"), k=2, rounds=8, max_df=1.0)
     w = {(r["id"], r["topic"]): r["weight"] for r in own.collect()}
     h = {(r["term"], r["topic"]): r["weight"] for r in words.collect()}
     error = sum((v - sum(w[i, c] * h[t, c] for c in range(2))) ** 2 for i, t, v in rows)
