@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import labelling, models, tagging
 from ..plans import pipeline
-from ..session import table
+from ..session import scratch, table
+from ..sources import files, workbook
 from . import query, sql
 from .searching import _POST, A, index
 
@@ -236,6 +237,25 @@ def lb_measure(spark, d):
     return labelling.measurements(table(spark, d, A).withColumn("terms", terms), ["title", "abstract"], "terms")
 
 
+@query("SELECT affiliation_id::VARCHAR AS affiliation_id, normalized_name, city, count_mentions::VARCHAR AS count_mentions FROM affiliation_map")
+def snk_excel(spark, d):
+    """A table written as styled workbooks of at most a hundred rows, and read back."""
+    path = scratch(spark, "books")
+    workbook.write(table(spark, d, "affiliation_map").select("affiliation_id", "normalized_name", "city", "count_mentions"), path, rows=100, widths={"normalized_name": 60})
+    return workbook.read(spark, path)
+
+
+@query("""SELECT 'articles' AS title, column_name AS field, CASE WHEN column_name = 'url' THEN 'url' WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'number' END AS kind
+FROM (DESCRIBE SELECT * FROM articles_df)""")
+def snk_kibana(spark, d):
+    """Fields of an index pattern for a search server's front end, read back from its saved object."""
+    payload = files.index_pattern(table(spark, d, A).limit(0), "articles", url_columns={"url": "{{rawValue}}"})
+    made = spark.createDataFrame([(payload,)], "doc string")
+    fields = F.from_json(F.get_json_object("doc", "$.attributes.fields"), "array<struct<name:string,type:string,format:string>>")
+    each = made.select(F.get_json_object("doc", "$.attributes.title").alias("title"), F.explode(fields).alias("f"))
+    return each.select("title", F.col("f.name").alias("field"), F.coalesce(F.col("f.format"), F.col("f.type")).alias("kind"))
+
+
 SETTINGS = {
     "columns": [
         {"column_filler_class": "AdvancedTextNormalizer", "full_normalization": True},

@@ -69,9 +69,11 @@ def str_last_sq(spark, d):
     return table(spark, d, A).select("id", T.drop_last_brackets("title").alias("out"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT journal_id, list_filter(string_split(lower(journal_name), ' '), lambda x: x <> '') AS l FROM journal_list),
+r AS (SELECT journal_id, l, 1::BIGINT AS p, []::VARCHAR[] AS parts FROM w UNION ALL SELECT journal_id, l, p + k, list_append(parts, array_to_string(l[p:p + k - 1], ' ')) FROM r, (SELECT unnest([1, 2, 3]) AS k) WHERE p + k - 1 <= length(l))
+SELECT journal_id, list_sort(list(parts)) AS parts FROM r WHERE p > length(l) GROUP BY journal_id""")
 def str_partitions(spark, d):
-    return table(spark, d, "journal_list").select("journal_id", T.partitions(F.lower("journal_name")).alias("parts"))
+    return table(spark, d, "journal_list").select("journal_id", F.array_sort(T.partitions(F.lower("journal_name"))).alias("parts"))
 
 
 _SUFFIX = [("ing$", ""), ("ing$", "e"), ("s$", ""), ("es$", ""), ("ed$", ""), ("d$", "")]

@@ -121,7 +121,10 @@ def ml_kw_eval(spark, d):
     return k.join(t, "id").select("id", F.round(hit / F.size("t"), 6).alias("precision"), F.round(hit / F.size("k"), 6).alias("recall"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(0, length(v))) AS p FROM e) GROUP BY label, p),
+c AS (SELECT label, list(x ORDER BY p) AS mean FROM m GROUP BY label), d AS (SELECT vec_id, list(list_distance(v, mean) ORDER BY c.label) AS d FROM e, c GROUP BY vec_id),
+x AS (SELECT vec_id, list_transform(d, lambda y: exp((y - list_avg(d)) / greatest(list_stddev_pop(d), 1e-12))) AS x FROM d)
+SELECT vec_id, list_transform(x, lambda y: round(y / list_sum(x) - 0.5, 5)) AS scores FROM x""")
 def ml_dist_softmax(spark, d):
     e = table(spark, d, "embeddings")
     return models.class_distances(e, "vec_id", "embedding", "label").select("vec_id", F.transform("scores", lambda x: F.round(x, 5)).alias("scores"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,20 @@ def documents(df: DataFrame, columns: list[str], id_col: str | None = None) -> D
     return df.select(key.alias("_id"), F.to_json(F.struct(*known)).alias("doc"))
 
 
+def index_pattern(df: DataFrame, title: str, time_column: str | None = None, url_columns: dict[str, str] | None = None) -> str:
+    """Saved object (JSON) of an index pattern over the columns of ``df``; ``url_columns``: link templates by column."""
+    kinds = {"string": "string", "boolean": "boolean", "date": "date"}
+    fields = []
+    for name, kind in df.dtypes:
+        kind = kind.removeprefix("array<").removesuffix(">")
+        own = {"name": name, "type": kinds.get(kind, "date" if kind.startswith("timestamp") else "number")}
+        if url_columns and name in url_columns:
+            own |= {"format": "url", "template": url_columns[name]}
+        fields.append(own)
+    attributes = {"title": title, "fields": json.dumps(fields)} | ({"timeFieldName": time_column} if time_column else {})
+    return json.dumps({"type": "index-pattern", "id": title, "attributes": attributes})
+
+
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``base`` with the rows of ``new`` in place of those with their key."""
     kept = base.join(new.select(key).distinct(), key, "left_anti")
