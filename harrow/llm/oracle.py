@@ -42,6 +42,10 @@ _COUNT = rf"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_cover": r"SELECT id, length(regexp_replace(abstract, '[\s\p{Z}\x1c-\x1f\x{85}]', '', 'g'))::BIGINT AS n_chars FROM articles_df WHERE regexp_matches(abstract, '[^\s\p{Z}\x1c-\x1f\x{85}]')",
+        "p4_cover": r"""SELECT 'journal' AS field, count(DISTINCT id) AS n_articles FROM articles_df WHERE regexp_matches(journal, '[^\s\p{Z}]')
+            UNION ALL SELECT 'raw_affiliation', count(DISTINCT id) FROM articles_df WHERE regexp_matches(raw_affiliation, '[^\s\p{Z};]')""",
+        "p9_kept": "SELECT source, true AS within_cap, true AS on_target FROM mix_targets WHERE source IS NOT NULL",
         "p2_found": f"WITH {_COPIES} SELECT DISTINCT first_id, id AS copy_id FROM keyed WHERE id <> first_id",
         "p2_collapsed": f"WITH {_COPIES} SELECT id AS first_id, n AS n_copies FROM keyed WHERE id = first_id",
         "p7_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM scored WHERE n_ab * 250 >= n AND n_ab * n >= 3 * n_a * n_b",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, table
+from ..session import cut, scratch, table
 from . import (
     canonical,
     cooccurrence,
@@ -29,6 +29,13 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.segment(table(spark, d, "articles_df"))
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each abstract, without white space, that its sentences hold: all of them."""
+    rows = sentences.segment(table(spark, d, "articles_df"))
+    bare = F.regexp_replace("sentence", r"[\s\p{Z}\x1c-\x1f\x85]", "")
+    return rows.groupBy("id").agg(F.sum(F.length(bare)).cast("bigint").alias("n_chars"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.copies(table(spark, d, "articles_df"))
 
@@ -59,6 +66,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with at least one row of each field, listed or not: all that have a value."""
+    return p4_found(spark, d).groupBy("field").agg(F.count_distinct("id").alias("n_articles"))
+
+
 def p4_unlisted(spark: SparkSession, d: str) -> DataFrame:
     """Typed values that name no entry, with their numbers of mentions."""
     df = table(spark, d, "articles_df")
@@ -134,7 +146,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """Containers filled by the tokens of a public tokenizer."""
     capacity, _ = _limit(spark, d, "container")
-    sizes = tokens.counted(table(spark, d, "documents").select("doc_id", "text"), path=tokens.VOCABULARY)
+    sizes = tokens.counted(table(spark, d, "documents").select("doc_id", "text"), path=tokens.named(spark))
     return packing.pack(sizes, capacity)
 
 
@@ -146,7 +158,7 @@ def p8_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.counted(table(spark, d, "documents").select("doc_id", "source", "text"), path=tokens.VOCABULARY)
+    return tokens.counted(table(spark, d, "documents").select("doc_id", "source", "text"), path=tokens.named(spark))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +169,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target source whether no document is used too often, and whether its tokens are those the caps allow, but
+    for one document."""
+    docs, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    mixed = cut(mixing.mixture(docs, targets))
+    sums = {r[0]: (r[1], r[2]) for r in docs.groupBy("source").agg(F.sum("n_tokens"), F.max("n_tokens")).collect()}  # a row per source
+    rows = [r for r in targets.select("source", "target_share", "max_repeats").collect() if r[0] is not None]
+    tokens_of = {r[0]: sums.get(r[0], (0, 0))[0] or 0 for r in rows}
+    wanted = mixing.allocate(tokens_of, {r[0]: r[1] or 0.0 for r in rows}, {r[0]: r[2] or 0 for r in rows}, sum(tokens_of.values()))
+    plan = spark.createDataFrame([(s, float(w), int(sums.get(s, (0, 0))[1] or 0)) for s, w in wanted.items()], "source string, wanted double, largest bigint")
+    most = mixed.groupBy("source").agg(F.max("copies").alias("most"))
+    got = mixing.report(mixed, targets).join(plan, "source").join(most, "source", "left")
+    return got.select(
+        "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("tokens") - F.col("wanted")) <= F.col("largest")).alias("on_target")
+    )
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap_tokens = _limit(spark, d, "piece")
     return splitting.split(table(spark, d, "documents"), limit, overlap_tokens, with_text=False).where("piece = 2").select("doc_id")
@@ -165,7 +194,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of all documents by the tokens of a public tokenizer."""
     limit, overlap_tokens = _limit(spark, d, "piece")
-    return splitting.split(table(spark, d, "documents"), limit, overlap_tokens, path=tokens.VOCABULARY)
+    return splitting.split(table(spark, d, "documents"), limit, overlap_tokens, path=tokens.named(spark))
 
 
 def p10_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -186,9 +215,9 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_sentences, p2_found, p2_collapsed, p3_found, p3_entities, p4_found, p4_unlisted, p5_found,
+            p1_found, p1_sentences, p1_cover, p2_found, p2_collapsed, p3_found, p3_entities, p4_found, p4_cover, p4_unlisted, p5_found,
             p5_report, p6_found, p6_clean, p6_dropped, p7_found, p7_pairs, p7_incremental, p8_found, p8_unused, p8_packed, p9_mixture,
-            p9_shares, p10_found, p10_pieces,
+            p9_shares, p9_kept, p10_found, p10_pieces,
             p10_limits,
         )
     }

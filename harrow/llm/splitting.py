@@ -206,8 +206,10 @@ def split(
     """
     rows = df.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
 
+    name = None if path is None else tokens.shipped(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = rule_units if path is None else vocabulary_units(path, limit)
+        units = rule_units if name is None else vocabulary_units(name, limit)
         for b in batches:
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

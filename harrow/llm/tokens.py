@@ -8,17 +8,19 @@ open it once per process.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import spread_scan
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless spark.harrow.vocabulary names another file
 
 # fixed values: blocks of kana and Thai, and the pre-tokenising pattern of the byte-level vocabularies
 KANA_THAI = "\\u3040-\\u30ff\\u31f0-\\u31ff\\uff66-\\uff9d\\u0e00-\\u0e7f"
@@ -37,11 +39,25 @@ def rule():
     return regex.compile(rf"[{own}]|[\p{{L}}\p{{N}}--{own}]+|[^\p{{White_Space}}]".replace(f"--{own}", f"--[{own}]"), regex.V1)
 
 
+def named(spark: SparkSession) -> str:
+    """Path of the vocabulary a session wants."""
+    return spark.conf.get("spark.harrow.vocabulary", VOCABULARY)
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the executors, which needn't have it; returns the name that ``vocabulary`` knows there."""
+    name = os.path.basename(path)
+    if not any(os.path.basename(x) == name for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str):
+    """Encoder of a vocabulary file, or of one that was shipped."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(path if os.path.exists(path) else SparkFiles.get(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(path, pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
 
@@ -60,8 +76,10 @@ def counted(df: DataFrame, text_col: str = "text", path: str | None = None, out:
     if path is None:
         return df.select(*rest, F.coalesce(rule_count(F.col(text_col)), F.lit(0)).alias(out))
 
+    name = shipped(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary(path)
+        encoder = vocabulary(name)
         for b in batches:
             n = [len(encoder.encode_ordinary(t)) if t else 0 for t in b.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64())], names=[*rest, out])
