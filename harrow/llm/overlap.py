@@ -229,8 +229,8 @@ def compared(pairs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
     texts = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id", "is_train"])
     a = texts.where("not is_train").select(F.col("id").alias("id_a"), "title", "abstract")
     b = texts.where("is_train").select(F.col("id").alias("id_b"), F.col("title").alias("title_b"), F.col("abstract").alias("abstract_b"))
-    both = cut(spread_join(pairs, a, ["id_a"], least=2000)) if hot_keys(pairs, ["id_b"], 2000) else spread_join(pairs, a, ["id_a"], least=2000)
-    both = spread_join(both, b, ["id_b"], least=2000) if hot_keys(pairs, ["id_b"], 2000) else both.join(b, "id_b")
+    both = spread_join(pairs, a, ["id_a"], least=2000)
+    both = spread_join(cut(both), b, ["id_b"], least=2000) if hot_keys(pairs, ["id_b"], 2000) else both.join(b, "id_b")
     return both.select("h_a", "h_b", "title", "abstract", "title_b", "abstract_b").mapInArrow(_compare, "h_a bigint, h_b bigint, similarity double")
 
 
@@ -259,9 +259,10 @@ def overlaps(
     # the records of the linked classes only; copies are paired at the end
     ends = linked.select(F.col("h_a").alias("h")).unionAll(linked.select("h_b")).distinct()
     held = cut(members.join(F.broadcast(ends) if linked.count() <= SMALL else ends, "h", "left_semi"))
+    # copies of one class meet each other here, hot classes in salted parts
     evals = held.where("not is_train").select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("id").alias("eval_id")).distinct()
     trains = held.where("is_train").select(F.col("h").alias("h_b"), F.col("g").alias("g_b"), F.col("id").alias("train_id")).distinct()
-    out = spread_join(spread_join(evals, linked, ["h_a"], least=2000), trains, ["h_b"], least=2000)
+    out = spread_join(cut(spread_join(evals, linked, ["h_a"], least=2000)), trains, ["h_b"], least=2000)
     out = out.where((F.col("h_a") != F.col("h_b")) | (F.col("g_a") == F.col("g_b"))).where("eval_id <> train_id")
     return out.groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
