@@ -50,3 +50,11 @@ def choose(df: DataFrame, group: str, key: str, n: int, seed: str = "") -> DataF
     """``n`` rows of each group at random."""
     r = F.row_number().over(Window.partitionBy(group).orderBy(draw(F.col(key), seed), key))
     return df.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
+
+
+def at_thresholds(df: DataFrame, score: str, truth: str, thresholds: list[float]) -> DataFrame:
+    """``threshold, tp, found, wanted`` of a score for each threshold."""
+    each = df.select(F.col(score).alias("_s"), F.col(truth).alias("_t"), F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    hit = F.col("_s") >= F.col("threshold")
+    return each.groupBy("threshold").agg(count(hit & F.col("_t")).alias("tp"), count(hit).alias("found"), count(F.col("_t")).alias("wanted"))

@@ -154,3 +154,53 @@ def replaced_meanings(found: DataFrame, id_col: str = "id") -> DataFrame:
     f = found.withColumn("after", after)
     put = F.transform("w", lambda w, i: F.when(F.map_contains_key("after", i), F.concat(w, F.lit(" ("), F.try_element_at("after", i), F.lit(")"))).otherwise(w))
     return f.select(id_col, F.array_join(put, " ").alias("text"))
+
+
+# fixed values: verbs of storing and closing, and words for what holds grain
+STORING = "store stored stores storing seal sealed sealing reuse reused immerse immersed prevent prevented prevents keep kept".split()
+CONTAINERS = "bag bags silo silos bin bins jar jars sack sacks drum drums granary granaries".split()
+
+
+def storage(df: DataFrame, columns: list[str], names: list[str], id_col: str = "id", reach: int = 8) -> DataFrame:
+    """``id_col, verb, argument``: what a verb of storing says of a container at most ``reach`` words behind it.
+
+    The argument runs from the verb to the container, without stop words, words with digits and the ``names`` (places,
+    crops), in order; of several containers behind a verb the first counts.
+    """
+    s = spread_scan(joined(df, columns, id_col)).select(id_col, F.explode(T.split_sentences("text")).alias("s"))
+    s = s.select(id_col, F.split(F.trim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " ")), " ").alias("w"))
+    at = lambda words: F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(*words), i)))
+    s = s.select(id_col, "w", F.explode(at(STORING)).alias("v"), at(CONTAINERS).alias("cs"))
+    s = s.withColumn("c", F.array_min(F.filter("cs", lambda c: (c > F.col("v")) & (c - F.col("v") <= reach)))).where("c is not null")
+    between = F.slice("w", F.col("v") + 2, F.col("c") - F.col("v"))
+    kept = F.filter(between, lambda w: ~w.isin(*T.STOP_WORDS, *names) & ~w.rlike("[0-9]"))
+    return s.select(id_col, F.element_at("w", F.col("v") + 1).alias("verb"), F.array_join(kept, " ").alias("argument"))
+
+
+def contexts(df: DataFrame, text: str, terms: list[str], id_col: str = "id") -> DataFrame:
+    """``id_col, term, context``: the text once for each term it holds as a word, in small letters, without the others."""
+    low = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), F.lit(" "))
+    whole = r"(^|[^a-z])({})(?=[^a-z]|$)"
+    held = F.array_compact(F.array(*(F.when(low.rlike(whole.format(t)), F.lit(t)) for t in terms)))
+    rows = df.select(id_col, low.alias("t"), F.explode(held).alias("term"))
+    out = F.lit(None).cast("string")
+    for t in terms:
+        others = "|".join(x for x in terms if x != t)
+        out = F.when(F.col("term") == t, F.regexp_replace("t", whole.format(others), "$1") if others else F.col("t")).otherwise(out)
+    return rows.select(id_col, "term", F.trim(F.regexp_replace(out, " +", " ")).alias("context"))
+
+
+def derived_taxonomy(concepts: DataFrame, keywords: list[str], generic: list[str], abstract: list[str], least: float = 0.3) -> DataFrame:
+    """``concept, name, middle``: concepts without leading ``abstract`` words, generic ones left out, each under the most
+    similar keyword of the middle layer (ties: the smaller), or "other" below ``least``."""
+    name = F.col("concept")
+    head = r"^(?:(?:" + "|".join(abstract) + r") (?:of )?)+"
+    c = concepts.select("concept", F.regexp_replace(name, head, "").alias("name")).where(~F.col("name").isin(*generic) & (F.col("name") != ""))
+    best = F.array_min(F.array(*(F.struct((-T.similarity("name", F.lit(k))).alias("s"), F.lit(k).alias("k")) for k in keywords)))
+    return c.select("concept", "name", F.when(best.s <= -least, best.k).otherwise("other").alias("middle"))
+
+
+def any_match(df: DataFrame, text: str, labels: list[str]) -> DataFrame:
+    """``text, labels...``: one row for each text (small letters, trimmed); a 0/1 label is 1 if any row of the text has it."""
+    key = F.lower(F.trim(text)).alias("text")
+    return df.where(F.col(text).isNotNull()).select(key, *labels).groupBy("text").agg(*(F.max(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(c) for c in labels))

@@ -129,15 +129,6 @@ def rx_coref(spark, d):
     return relations(spark, d).groupBy(F.element_at(F.split("special", " "), -1).alias("head")).agg(F.array_sort(F.collect_set("special")).alias("terms"))
 
 
-_STORE = r"\b(stor(?:e|ed|age|ing)|seal(?:ed|ing)?|prevent(?:ed|s)?)\b"
-_HOLD = r"\b(bags|silos|bins|jars|sacks)\b"
-
-
-@query(rf"WITH {_SENT} SELECT id, regexp_extract(lower(s), '{_STORE}', 1) AS verb, regexp_extract(lower(s), '{_HOLD}', 1) AS container FROM s WHERE regexp_matches(lower(s), '{_STORE}') AND regexp_matches(lower(s), '{_HOLD}')")
-def rx_srl_storage(spark, d):
-    """Sentences with a verb of storing and a container: the rule that stands in for a role parser."""
-    s = _sentences(spark, d).where(F.lower("s").rlike(_STORE) & F.lower("s").rlike(_HOLD))
-    return s.select("id", F.regexp_extract(F.lower("s"), _STORE, 1).alias("verb"), F.regexp_extract(F.lower("s"), _HOLD, 1).alias("container"))
 
 
 @query(f"""WITH {_REL} SELECT DISTINCT special AS source, CASE WHEN contains(special, ' ') THEN string_split(special, ' ')[-1] ELSE 'intervention' END AS target FROM rel""")
@@ -147,29 +138,6 @@ def hs_edges_inv(spark, d):
     return relations(spark, d).select(F.col("special").alias("source"), head.alias("target")).distinct()
 
 
-_CROPS = ["maize", "sorghum", "rice", "cassava", "teff"]
-
-
-@query(rf"""WITH f AS (SELECT id, lower(title) AS t, list_filter({_CROPS}, lambda c: contains(lower(title), c)) AS l FROM articles_df), e AS (SELECT id, t, l, unnest(l) AS crop FROM f)
-SELECT id, crop, regexp_replace(t, '\b(' || array_to_string(list_filter({_CROPS}, lambda c: c <> crop), '|') || ')\b', '', 'g') AS context FROM e""")
-def ecs_split(spark, d):
-    """One context for each crop of a title, without the other crops."""
-    t = F.lower("title")
-    found = F.array_compact(F.array(*(F.when(F.contains(t, F.lit(c)), c) for c in _CROPS)))
-    e = table(spark, d, A).select("id", t.alias("t"), F.explode(found).alias("crop"))
-    context = F.lit(None).cast("string")
-    for c in _CROPS:
-        others = r"\b(" + "|".join(x for x in _CROPS if x != c) + r")\b"
-        context = F.when(F.col("crop") == c, F.regexp_replace("t", others, "")).otherwise(context)
-    return e.select("id", "crop", context.alias("context"))
-
-
-@query(rf"WITH {_SENT} SELECT id, s, [contains(lower(s), 'yield')::INT, contains(lower(s), 'income')::INT, contains(lower(s), 'water')::INT] AS y FROM s")
-def ml_outcome_prep(spark, d):
-    """Sentences with a 0/1 label for each outcome."""
-    return _sentences(spark, d).select("id", "s", F.array(*(F.contains(F.lower("s"), F.lit(w)).cast("int") for w in ("yield", "income", "water"))).alias("y"))
-
-
 # ---- sinks and incremental runs
 
 

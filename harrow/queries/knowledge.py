@@ -247,18 +247,6 @@ def lb_priority(spark, d):
 _EXT = ["intervention", "systems", "services", "plans", "tests"]
 
 
-@query("""WITH t AS (SELECT DISTINCT lower(trim(unnest(topics))) AS t FROM big_dataset), k(k) AS (VALUES ('soil water'), ('crop plants'), ('market prices'), ('animal keeping'))
-SELECT t AS topic, CASE WHEN s >= 0.3 THEN k ELSE 'other' END AS middle FROM (SELECT t, k, 1 - levenshtein(t, k) / greatest(length(t), length(k)) AS s, row_number() OVER (PARTITION BY t ORDER BY 1 - levenshtein(t, k) / greatest(length(t), length(k)) DESC, k) AS r FROM t, k WHERE t <> '') WHERE r = 1""")
-def id_dict(spark, d):
-    """Each distinct topic under the most similar of a few keywords, or "other"."""
-    t = table(spark, d, "big_dataset").select(F.explode("topics").alias("x"))
-    t = t.select(F.lower(F.trim("x")).alias("topic")).where("topic <> ''").distinct()
-    keys = ["soil water", "crop plants", "market prices", "animal keeping"]
-    scored = F.array(*(F.struct((-T.similarity("topic", F.lit(k))).alias("s"), F.lit(k).alias("k")) for k in keys))
-    best = F.array_min(scored)
-    return t.select("topic", F.when(best.s <= -0.3, best.k).otherwise("other").alias("middle"))
-
-
 # ---- word repair
 
 _FREQ = f"f AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT id, unnest(string_split(regexp_replace({sql.unaccent('abstract')}, '[^A-Za-z]+', ' ', 'g'), ' ')) AS w FROM articles_df WHERE abstract IS NOT NULL) WHERE w <> '' GROUP BY w)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as catalogue
 
-MODULES = ("strings", "relational", "searching", "knowledge", "learning", "extraction", "enrichment")
+MODULES = ("strings", "relational", "searching", "knowledge", "learning", "extraction", "enrichment", "internals")
 
 
 def load() -> None:

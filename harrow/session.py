@@ -93,6 +93,12 @@ def _leave() -> None:
             return
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at the path?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Remove one written table."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -150,7 +156,7 @@ def spread(df: DataFrame) -> DataFrame:
 def spread_scan(df: DataFrame) -> DataFrame:
     """A projected and filtered scan, shuffled only if it has fewer partitions than the session has cores.
 
-    A large table has more splits than cores and isn't moved.
+    A table with as many splits as cores isn't moved; the rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else spread(df)
+    return df if df.rdd.getNumPartitions() >= cores else spread(df)

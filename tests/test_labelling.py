@@ -150,3 +150,40 @@ def test_nothing_collects_what_grows(spark):
     rows = [(k, t, 1.0) for k in range(40) for t in (("a", "b") if k % 2 else ("c", "d"))] + [(99, "rare", 1.0)]
     own, _ = models.nmf(spark.createDataFrame(rows, "id bigint, term string, w double"), k=2, rounds=3, min_df=0.1, max_df=0.9)
     assert own.select("id").distinct().count() == 41 and own.where("id = 99").agg(F.sum("weight")).first()[0] == 0
+
+
+def test_storage_contexts_and_taxonomies(spark):
+    df = spark.createDataFrame([(1, "They stored the dry 2 maize grain in a jar or bag. Seal it.", None), (2, "Stored.", "x"), (3, None, "")], "id bigint, t string, u string")
+    assert [tuple(r) for r in L.storage(df, ["t", "u"], ["maize"]).collect()] == [(1, "stored", "dry grain jar")]
+    c = spark.createDataFrame([(1, "Maize and  sorghum on maizefield"), (2, "none"), (3, None)], "id bigint, t string")
+    assert {(r["id"], r["term"]): r["context"] for r in L.contexts(c, "t", ["maize", "sorghum"]).collect()} == {(1, "maize"): "maize and on maizefield", (1, "sorghum"): "and sorghum on maizefield"}
+    t = spark.createDataFrame([("use of drip lines",), ("honey",), ("improved use of drip line",), ("zzz",)], "concept string")
+    got = {r["concept"]: (r["name"], r["middle"]) for r in L.derived_taxonomy(t, ["drip lines", "soils"], ["honey"], ["use", "improved"]).collect()}
+    assert got == {"use of drip lines": ("drip lines", "drip lines"), "improved use of drip line": ("drip line", "drip lines"), "zzz": ("zzz", "other")}
+    m = spark.createDataFrame([("A ", 1, None), ("a", 0, 0), (None, 1, 1)], "t string, x int, y int")
+    assert [tuple(r) for r in L.any_match(m, "t", ["x", "y"]).collect()] == [("a", 1, 0)]
+
+
+def test_workbooks_come_back(spark, tmp_path):
+    from harrow.sources import workbook
+
+    rows = [(k, f"=1+{k} <&> é\n x", float(k) / 2, ["a", "b"]) for k in range(25)] + [(99, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, `a b` string, x double, l array<string>").coalesce(1)
+    done = workbook.write(df, str(tmp_path / "books"), rows=10, widths={"id": 8})
+    assert sorted(r["n"] for r in done.collect()) == [6, 10, 10]
+    got = {r["id"]: r["a b"] for r in workbook.read(spark, str(tmp_path / "books")).collect()}
+    assert len(got) == 26 and got["7"] == rows[7][1] and got["99"] is None
+    assert workbook.letters(0) == "A" and workbook.letters(27) == "AB"
+    assert workbook.write(df.where("id < 0"), str(tmp_path / "none")).count() == 0
+
+
+def test_stacked_models_learn(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        label = rng.choice(["crop", "herd"])
+        rows.append((k, label, " ".join(rng.choices(["maize", "teff", "plot"] if label == "crop" else ["goat", "sheep", "milk"], k=4)), "x y"))
+    df = spark.createDataFrame(rows, "id bigint, label string, text string, other string")
+    stack = models.Stacked([("text", "logistic"), ("other", "bayes")], features=256, trees=5).fit(df.where("id < 300"))
+    f1 = {r["model"]: r["macro_f1"] for r in stack.scored(df.where("id >= 300")).collect()}
+    assert f1["stacked"] > 0.95 and f1["text logistic"] > 0.95 and f1["other bayes"] < 0.8
