@@ -230,10 +230,10 @@ def given_names(spelled: DataFrame, short_forms: DataFrame) -> DataFrame:
     table = short_forms.select(F.lower("short_form").alias("given"), F.lower("given_name").alias("long")).dropna().distinct()
     told = counts.join(table, "given").join(other, "long", "left")
     told = told.select("given", "long", (F.lit(100.0) + F.log(F.coalesce("n2", F.lit(1)))).alias("score"))
-    start = counts.where(F.length("given") >= 3).withColumn("start", F.substring("given", 1, 3))
-    cut_off = start.join(other.withColumn("start", F.substring("long", 1, 3)), "start").where(
-        F.col("long").startswith(F.col("given")) & (F.length("long") > F.length("given") + 1) & (F.col("n2") >= 3 * F.col("n"))
-    )
+    # every beginning of a longer name is a key, so that no bucket of first letters is compared with itself
+    begun = other.where(F.length("long") >= 5).select("long", "n2", F.explode(F.sequence(F.lit(3), F.length("long") - 2)).alias("k"))
+    begun = begun.select("long", "n2", F.substring("long", F.lit(1), F.col("k")).alias("given"))
+    cut_off = counts.join(begun, "given").where(F.col("n2") >= 3 * F.col("n"))
     cut_off = cut_off.select("given", "long", F.log(F.col("n2") / F.col("n")).alias("score"))
     keys = cut(counts.select(F.col("given").alias("form")).mapInArrow(_neighbourhoods_short, "form string, key bigint"))
     near = keys.join(keys.select(F.col("form").alias("long"), "key"), "key").where("form <> long").select("form", "long").distinct()

@@ -64,17 +64,7 @@ _HASHED = "id bigint, is_train boolean, h bigint, g bigint, block int, offsets b
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each record, and at the end of the partition its counts of runs, in blocks."""
     schema = pa.schema([("id", pa.int64()), ("is_train", pa.bool_()), ("h", pa.int64()), ("g", pa.int64()), ("block", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
-    seen: list[list[np.ndarray]] = [[], []]
-    waiting = 0
-
-    def settle(side: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = seen[side]
-        cells = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, np.int64)
-        n = np.concatenate([k for _, k in parts]) if parts else np.empty(0, np.int64)
-        u, at = np.unique(cells, return_inverse=True)
-        total = np.bincount(at, n, len(u)).astype(np.int64) if len(u) else np.empty(0, np.int64)
-        seen[side] = [(u, total)] if len(u) else []
-        return u, total
+    seen = np.zeros((2, CELLS), np.int32)  # of evaluation and training records
 
     for b in batches:
         side = np.array(b.column("is_train").to_pylist(), bool)
@@ -88,17 +78,15 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = side[first + t]
             for k in (0, 1):
                 own, n = np.unique(_cells(r[of == bool(k)]), return_counts=True)
-                seen[k].append((own, n))
-                waiting += len(own)
-        if waiting > 20_000_000:  # at most a number a cell is kept
-            waiting = sum(len(settle(k)[0]) for k in (0, 1))
+                seen[k, own] += n.astype(np.int32)
         at = np.concatenate(keep) if keep else np.empty(0, np.int64)
         none = pa.nulls(len(at))
         if len(at):
             columns = [pa.array(ids[at]), pa.array(side[at]), pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs))]
             yield pa.RecordBatch.from_arrays([*columns, none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
     for k in (0, 1):
-        u, total = settle(k)
+        u = np.flatnonzero(seen[k])
+        total = seen[k, u]
         edges = np.searchsorted(u, np.arange(0, CELLS + 1, BLOCK))
         blocks = np.flatnonzero(np.diff(edges))
         if len(blocks):
@@ -118,19 +106,49 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _merge(parts: pa.Table) -> pa.Table:
-    """The bytes of one block: 0 where a side has no run, else a step of the logarithm of the count of both."""
+def _added(parts: pa.Table) -> np.ndarray:
+    """Sums of the counts of one block, a row for each side; counts have one byte each or four."""
     counts = np.zeros((2, BLOCK), np.int64)
     for side, offsets, n in zip(*(parts.column(c).to_pylist() for c in ("is_train", "offsets", "counts"))):
-        np.add.at(counts[int(side)], np.frombuffer(offsets, np.uint16), np.frombuffer(n, np.uint8))
+        at = np.frombuffer(offsets, np.uint16)
+        counts[int(side), at] += np.frombuffer(n, np.uint8 if len(n) == len(at) else np.uint32)  # offsets are distinct
+    return counts
+
+
+_PARTS = "is_train boolean, block int, offsets binary, counts binary"
+
+
+def _sum(parts: pa.Table) -> pa.Table:
+    counts = _added(parts)
+    held = [np.flatnonzero(c) for c in counts]
+    return pa.table(
+        {
+            "is_train": pa.array([False, True]),
+            "block": pa.array([parts.column("block")[0].as_py()] * 2, pa.int32()),
+            "offsets": pa.array([at.astype(np.uint16).tobytes() for at in held], pa.binary()),
+            "counts": pa.array([np.minimum(c[at], 2**32 - 1).astype(np.uint32).tobytes() for c, at in zip(counts, held)], pa.binary()),
+        }
+    )
+
+
+def _merge(parts: pa.Table) -> pa.Table:
+    """The bytes of one block: 0 where a side has no run, else a step of the logarithm of the count of both."""
+    counts = _added(parts)
     step = np.minimum(255, 1 + np.floor(np.log2(np.maximum(1, counts.sum(0))) * 8)).astype(np.uint8)
     step[(counts == 0).any(0)] = 0
     return pa.table({"block": parts.column("block").slice(0, 1), "steps": pa.array([step.tobytes()], pa.binary())})
 
 
-def sketch(hashed: DataFrame) -> np.ndarray:
-    """``CELLS`` bytes on the driver: how frequent the runs of each cell are."""
+def sketch(hashed: DataFrame, most: int = 64) -> np.ndarray:
+    """``CELLS`` bytes on the driver: how frequent the runs of each cell are.
+
+    A block has two rows from each task of the scan; more than ``most`` are summed in rounds, so many at a time, so that
+    no task holds more of them however many tasks there were.
+    """
     parts = hashed.where("block is not null").select("is_train", "block", "offsets", "counts")
+    while (n := parts.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > most:
+        group = F.pmod(F.monotonically_increasing_id(), F.lit(-(-n // most)))  # rows of a block lie in many partitions
+        parts = cut(parts.withColumn("g", F.xxhash64(group)).groupBy("block", "g").applyInArrow(_sum, _PARTS))
     out = np.zeros(CELLS, np.uint8)
     for block, steps in parts.groupBy("block").applyInArrow(_merge, "block int, steps binary").collect():  # CELLS / BLOCK rows
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(steps, np.uint8)

@@ -86,7 +86,7 @@ COMMON_WORDS = {
     "fr": "le la les du une que avec pour dans selon et au par ont",
     "de": "der das und mit von den dem eine wurde wurden für um im auf bei",
 }
-SAYING = set("said says say saying answered answer replied reply was is say, said, was: is:".split())
+SAYING = [[w] for w in "said says say saying answered answer replied reply was is say, said, was: is:".split()]
 TITLES_IN_CAPITALS = set("gen col capt lt rev hon gov sen rep ms mr mrs".split())  # English: in small letters they are words
 
 
@@ -285,7 +285,7 @@ def _ends(text, mark, i, j, k, n, nxt, at, quote, blank, one_case, small_case, o
         return False
     if bare in own.before_name and (one_case or not own.english or bare not in TITLES_IN_CAPITALS or word.strip("([{'’-–—.")[:1].isupper()):
         return False
-    if bare == "no" and own.english and text[max(at, i - 24) : i - len(word)].lower().split()[-1:] and text[max(at, i - 24) : i - len(word)].lower().split()[-1] in SAYING:
+    if bare == "no" and own.english and text[max(at, i - 24) : i - len(word)].lower().split()[-1:] in SAYING:
         return True  # an answer, not a number
     if bare in own.before_number:
         return not (nxt.isdigit() or nxt in ".§" or small)

@@ -124,3 +124,13 @@ def test_variants_of_one_text_hide_no_pair(spark):
     rows += [(10 + k, "", article(rng, 150), "train" if k % 2 else "test") for k in range(200)]
     df = spark.createDataFrame(rows, "id bigint, title string, abstract string, split_name string")
     assert {(r["eval_id"], r["train_id"]) for r in O.overlaps(df).collect()} == {(3, 1), (3, 2)}
+
+
+def test_counts_of_many_tasks_are_summed_in_rounds(spark):
+    rng = random.Random(7)
+    rows = [(k, "t", article(rng, 30), "train" if k % 3 else "test") for k in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string, split_name string")
+    hashed = O._rows(df, ("train",), ("test",)).repartition(12).mapInArrow(O._hash, O._HASHED)
+    hashed = O.cut(hashed)
+    whole = O.sketch(hashed)
+    assert (O.sketch(hashed, most=4) == whole).all()
