@@ -67,24 +67,29 @@ def sibilant_pairs(items: DataFrame, others: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("item") != F.col("other")) & T.zs_variant("item", "other")).select("item", "other")
 
 
-def merge_similar(items: DataFrame, threshold: float, block: int = 5, keep: str = "last") -> DataFrame:
+def merge_similar(items: DataFrame, threshold: float, block: int = 5, keep: str = "last", group: str | None = None) -> DataFrame:
     """``item, root``: items (``item, weight``) joined to a similar one of greater weight in their prefix block.
 
     Of several, the parent is the last (lightest) or the first (heaviest) of them, as ``keep`` says; items that stay by
     themselves are their own root.  Similar are those of one prefix of ``block`` letters; they are found by segments.
+    With ``group``, a string column of ``items``, only items of one group are joined, and the result has that column too.
     """
-    x = cut(items.where("item is not null and item <> ''").groupBy("item").agg(F.max("weight").alias("weight")))
-    pairs = similar_pairs(x, threshold).unionAll(sibilant_pairs(x.select("item"), x.select(F.col("item").alias("other")))).distinct()
+    own = F.lit("") if group is None else F.coalesce(group, F.lit(""))
+    x = items.where("item is not null and item <> ''").select("item", "weight", own.alias("g"))
+    x = cut(x.groupBy("item", "g").agg(F.max("weight").alias("weight")))
+    words = x.select("item").distinct()
+    pairs = similar_pairs(words, threshold).unionAll(sibilant_pairs(words, words.select(F.col("item").alias("other")))).distinct()
     pairs = pairs.where(F.substring("item", 1, block) == F.substring("other", 1, block))
-    pairs = pairs.join(x, "item").join(x.select(F.col("item").alias("other"), F.col("weight").alias("w2")), "other")
+    pairs = pairs.join(x, "item").join(x.select(F.col("item").alias("other"), "g", F.col("weight").alias("w2")), ["other", "g"])
     heavier = (F.col("w2") > F.col("weight")) | ((F.col("w2") == F.col("weight")) & (F.col("other") < F.col("item")))
     near = pairs.where(heavier & T.similar("item", "other", threshold))
-    if keep == "first":
-        chosen = near.groupBy("item").agg(F.min(F.struct((-F.col("w2")).alias("k"), "other")).alias("b"))
-    else:
-        chosen = near.groupBy("item").agg(F.max(F.struct((-F.col("w2")).alias("k"), "other")).alias("b"))
-    found = roots(chosen.select("item", F.col("b.other").alias("parent")))
-    return x.select("item").join(found, "item", "left").select("item", F.coalesce("root", "item").alias("root"))
+    best = F.min if keep == "first" else F.max
+    chosen = near.groupBy("g", "item").agg(best(F.struct((-F.col("w2")).alias("k"), "other")).alias("b"))
+    key = lambda c: F.concat_ws("\u0001", "g", c)
+    found = roots(chosen.select(key("item").alias("item"), key("b.other").alias("parent"))).withColumnRenamed("item", "k")
+    out = x.withColumn("k", key("item")).join(found, "k", "left")
+    root = F.coalesce(F.substring_index("root", "\u0001", -1), "item").alias("root")
+    return out.select("item", root) if group is None else out.select(F.col("g").alias(group), "item", root)
 
 
 def components(edges: DataFrame) -> DataFrame:

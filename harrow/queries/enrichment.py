@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import labelling, models, tagging
 from ..plans import pipeline
-from ..session import scratch, table
+from ..session import cut, scratch, table
 from ..sources import files, workbook
 from . import query, sql
 from .searching import _POST, A, index
@@ -199,6 +199,23 @@ def ml_topic_stats(spark, d):
     return top.join(models.topics_of(own).groupBy("topic").agg(F.count("*").alias("n_articles")), "topic", "left").select("topic", "words", F.coalesce("n_articles", F.lit(0)).alias("n_articles"))
 
 
+@query()
+def ml_topic_words(spark, d):
+    """Head words of each topic: of its first fifty, ranked by PageRank on their similarities, the first and two like it."""
+    _, words = _topic_parts(spark, d)
+    pool = cut(words.where("r <= 50").join(models.term_vectors(words), "term").select("topic", "term", "v"))  # 50 a topic
+    pairs = pool.join(pool.select("topic", F.col("term").alias("other"), F.col("v").alias("u")), "topic").where("term <> other")
+    pairs = cut(pairs.select("topic", "term", "other", models.cosine("v", "u").alias("s")))
+    node = lambda c: F.concat_ws("|", F.col("topic").cast("string"), c)
+    rank = models.pagerank(pairs.where("s > 0").select(node("term").alias("a"), node("other").alias("b"), F.col("s").alias("w")), rounds=20)
+    ranked = pool.select("topic", "term", node("term").alias("node")).join(rank, "node").select("topic", "term", F.round("rank", 9).alias("rank"))
+    order = Window.partitionBy("topic").orderBy(F.desc("rank"), "term")
+    first = ranked.withColumn("p", F.row_number().over(order)).where("p = 1").select("topic", F.col("term").alias("other"))
+    near = first.join(pairs, ["topic", "other"]).where("s >= 0.35").join(ranked, ["topic", "term"])
+    near = near.withColumn("p", F.row_number().over(order) + 1).where("p <= 3").select("topic", "p", "term")
+    return first.select("topic", F.lit(1).alias("p"), F.col("other").alias("term")).unionAll(near)
+
+
 @query()
 def ml_topic_kw(spark, d):
     """Keywords of each topic: its hundred words, ranked by mean similarity to its first three; 20, and all from 0.5 on."""
@@ -230,10 +247,17 @@ def swi_label(spark, d):
     return labelling.by_majority(v, ["k"], "exact_study_type")
 
 
-@query()
+_TERMS = ["yield", "costs", "rainfall", "losses", "net returns"]
+_NUM = labelling.NUMBER
+
+
+@query(rf"""WITH {_SENT}, t AS (SELECT id, row_number() OVER () AS n, string_split(trim(regexp_replace(lower(s), '[^\w.,%-]+', ' ', 'g')), ' ') AS w FROM s),
+u AS (SELECT id, n, w, unnest(w) AS x, unnest(range(0, length(w))) AS i FROM t), num AS (SELECT id, n, i, regexp_extract(x, '{_NUM}') AS number FROM u WHERE regexp_matches(x, '{_NUM}')),
+term AS (SELECT n, i, k AS term FROM u, (SELECT unnest({_TERMS}) AS k) WHERE array_to_string(list_transform(w[i + 1:i + length(string_split(k, ' '))], lambda y: regexp_replace(y, '[.,]+$', '')), ' ') = k)
+SELECT id, number, term FROM (SELECT num.id, number, term, row_number() OVER (PARTITION BY num.n, num.i ORDER BY abs(num.i - term.i), term.i, term) AS r FROM num JOIN term USING (n)) WHERE r = 1""")
 def lb_measure(spark, d):
-    """Terms of a list nearest to each number of a sentence; brute force in the tests."""
-    terms = F.array(*map(F.lit, ["yield", "costs", "rainfall", "losses", "net returns"]))
+    """Terms of a list nearest to each number of a sentence."""
+    terms = F.array(*map(F.lit, _TERMS))
     return labelling.measurements(table(spark, d, A).withColumn("terms", terms), ["title", "abstract"], "terms")
 
 

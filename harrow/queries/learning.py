@@ -89,14 +89,6 @@ def ml_topic_fill(spark, d):
     return models.topics_of(own).groupBy("id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
 
 
-@query()
-def ml_topic_words(spark, d):
-    """Head words of the titles' word pairs by PageRank."""
-    p = table(spark, d, A).select(T.token_list("title").alias("l")).select(F.explode(T.bigrams(F.col("l"))).alias("p")).groupBy("p").agg(F.count("*").alias("w")).where("w >= 3")
-    edges = p.select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p", F.lit(" "), F.lit(2)).alias("b"), F.col("w").cast("double").alias("w"))
-    return models.pagerank(edges, rounds=10).orderBy(F.desc("rank"), "node").limit(50).select("node", F.round("rank", 6).alias("rank"))
-
-
 @query("""WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.label, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS coherence FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def ml_coherence(spark, d):
     """Mean cosine of all pairs of a group, from the sum of its unit vectors: no pair is made."""

@@ -183,19 +183,33 @@ def lb_strategy(spark, d):
 # ---- merging and abbreviations
 
 
-@query()
+def _merge_sql(block, threshold, pick):
+    """Items (item, g, w) of ``v`` joined to parents, and these to the ends of their chains."""
+    return f"""pr AS (SELECT a.g, a.item, b.item AS other, b.w AS w2 FROM v a JOIN v b ON a.g = b.g AND substr(a.item, 1, {block}) = substr(b.item, 1, {block}) AND a.item <> b.item AND (b.w > a.w OR (b.w = a.w AND b.item < a.item))
+  WHERE {_SIM.format(a='a.item', b='b.item')} >= {threshold} OR {_ZS.format(a='a.item', b='b.item')}),
+up AS (SELECT g, item, {pick} AS parent FROM pr GROUP BY g, item),
+walk AS (SELECT g, item, item AS root FROM v UNION ALL SELECT walk.g, walk.item, up.parent FROM walk JOIN up ON up.g = walk.g AND up.item = walk.root),
+merged AS (SELECT g, item, root FROM walk WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.g = walk.g AND up.item = walk.root))"""
+
+
+@query(f"WITH RECURSIVE {_POST}, v AS (SELECT term AS item, '' AS g, df AS w FROM vocab WHERE n_words = 1 AND length(term) > 5), {_merge_sql(5, 0.85, 'arg_max(other, (-w2, other))')} SELECT item, root FROM merged")
 def cm_merge(spark, d):
-    """Words of one five-letter prefix merged into the most frequent spelling; greedy order, so no SQL."""
+    """Words of one five-letter prefix merged into the lightest heavier spelling, to the ends of the chains."""
     v = index(spark, d).vocabulary.where("n_words = 1 and length(term) > 5").select(F.col("term").alias("item"), F.col("df").alias("weight"))
     return merging.merge_similar(v, 0.85)
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT lower(normalized_name) AS item, coalesce(city, '') AS g, max(count_mentions) AS w FROM affiliation_map WHERE normalized_name <> '' GROUP BY ALL), {_merge_sql(2, 0.88, 'arg_min(other, (-w2, other))')},
+n AS (SELECT root, g, country, sum(count_mentions) AS n FROM merged JOIN affiliation_map ON lower(normalized_name) = item AND coalesce(city, '') = g WHERE country IS NOT NULL GROUP BY ALL),
+c AS (SELECT root, g, arg_min(country, (-n, country)) AS country FROM n GROUP BY ALL)
+SELECT g AS city, item, root, country FROM merged LEFT JOIN c USING (root, g)""")
 def af_remap_city(spark, d):
-    """Organisation names of one place merged into the most mentioned spelling."""
-    a = table(spark, d, "affiliation_map")
-    items = a.select(F.lower("normalized_name").alias("item"), F.col("count_mentions").alias("weight"))
-    return merging.merge_similar(items, 0.88, block=2, keep="first")
+    """Organisation names of one city merged into the most mentioned spelling, with the country most mentioned of it."""
+    a = table(spark, d, "affiliation_map").select(F.lower("normalized_name").alias("item"), F.coalesce("city", F.lit("")).alias("city"), "country", "count_mentions")
+    merged = cut(merging.merge_similar(a.withColumnRenamed("count_mentions", "weight"), 0.88, block=2, keep="first", group="city"))
+    n = merged.join(a.where("country is not null"), ["item", "city"]).groupBy("root", "city", "country").agg(F.sum("count_mentions").alias("n"))
+    c = n.groupBy("root", "city").agg(F.min(F.struct(-F.col("n"), "country")).alias("b")).select("root", "city", F.col("b.country").alias("country"))
+    return merged.join(c, ["root", "city"], "left").select("city", "item", "root", "country")
 
 
 @query(f"WITH {_POST}, x AS (SELECT a.term AS spaced, replace(a.term, ' ', '') AS glued, a.df AS df_spaced FROM vocab a WHERE a.n_words = 2) SELECT spaced, glued, df_spaced, v.df AS df_glued FROM x JOIN vocab v ON v.term = glued AND v.n_words = 1 WHERE v.df > 2 * df_spaced")
