@@ -112,16 +112,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("l").alias("group"))
 
 
+SKIPPED = "of for the and in on de".split()  # words that an abbreviation may pass over
+BRACKETED = r"((?:[A-Za-z-]+ ){2,9})\(([A-Z]{2,7})s?\)"
+
+
 def abbreviation_pairs(df: DataFrame, text: str, id_col: str = "id") -> DataFrame:
-    """``id, abbr, meaning``: a phrase before a bracketed abbreviation whose words' initials spell it."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"((?:[A-Za-z-]+ ){2,6})\(([A-Z]{2,6})s?\)"), F.lit(0))
-    rows = df.select(id_col, F.explode(found).alias("m"))
-    abbr = F.regexp_extract("m", r"\(([A-Z]{2,6})s?\)", 1)
-    words = F.split(F.trim(F.regexp_extract("m", r"^(.*?) ?\(", 1)), " ")
-    rows = rows.select(id_col, abbr.alias("abbr"), words.alias("words")).where(F.size("words") >= F.length("abbr"))
-    tail = F.slice("words", F.size("words") - F.length("abbr") + 1, F.length("abbr"))
-    initials = F.array_join(F.transform(tail, lambda w: F.upper(F.substring(w, 1, 1))), "")
-    return rows.where(initials == F.col("abbr")).select(id_col, "abbr", F.lower(F.array_join(tail, " ")).alias("meaning"))
+    """``id, abbr, meaning``: the words before a bracketed abbreviation that it is made of.
+
+    Each word gives its first letter or two, words of ``SKIPPED`` may give none.  As many words as the abbreviation has
+    letters are tried first, then one and two more, then fewer, down to two.
+    """
+    rows = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(BRACKETED), F.lit(0))).alias("m"))
+    words = F.split(F.trim(F.regexp_extract("m", BRACKETED, 1)), " ")
+    rows = rows.select(id_col, F.regexp_extract("m", BRACKETED, 2).alias("abbr"), words.alias("words"))
+    n = F.length("abbr")
+    lengths = F.concat(F.array(n, n + 1, n + 2), F.when(n > 2, F.reverse(F.sequence(F.lit(2), n - 1))).otherwise(F.array().cast("array<int>")))
+    skipped = lambda w: F.lower(w).isin(*SKIPPED)
+
+    def made_of(tail: Column) -> Column:
+        first, second = (lambda w: F.upper(F.substring(w, 1, 1))), (lambda w: F.upper(F.substring(w, 2, 1)))
+        one = lambda w: F.concat(first(w), F.lit("(?:"), second(w), F.lit(")?"))
+        return F.array_join(F.transform(tail, lambda w: F.when(skipped(w), F.concat(F.lit("(?:"), one(w), F.lit(")?"))).otherwise(one(w))), "")
+
+    tails = F.transform(F.filter(lengths, lambda k: k <= F.size("words")), lambda k: F.slice("words", F.size("words") - k + 1, k))
+    fits = lambda t: F.rlike(F.col("abbr"), F.concat(F.lit("^"), made_of(t), F.lit("$"))) & ~skipped(F.element_at(t, 1))
+    found = rows.withColumn("t", F.try_element_at(F.filter(tails, fits), F.lit(1))).where("t is not null")
+    return found.select(id_col, "abbr", F.lower(F.array_join("t", " ")).alias("meaning"))
 
 
 def ranked_meanings(pairs: DataFrame) -> DataFrame:

@@ -220,25 +220,33 @@ def cm_space(spark, d):
     return x.join(y, "glued").where("df_glued > 2 * df_spaced")
 
 
-_ABBR = r"""m AS (SELECT {id}, unnest(regexp_extract_all({t}, '((?:[A-Za-z-]+ ){{2,6}})\(([A-Z]{{2,6}})s?\)')) AS m FROM {s}),
-p AS (SELECT {id}, regexp_extract(m, '\(([A-Z]{{2,6}})s?\)', 1) AS abbr, string_split(trim(regexp_extract(m, '^(.*?) ?\(', 1)), ' ') AS w FROM m),
-q AS (SELECT {id}, abbr, w[length(w) - length(abbr) + 1:] AS tail FROM p WHERE length(w) >= length(abbr)),
-r AS (SELECT {id}, abbr, lower(array_to_string(tail, ' ')) AS meaning FROM q WHERE array_to_string(list_transform(tail, lambda w: upper(w[1])), '') = abbr)"""
-_SPELLED = "(SELECT affiliation_id, raw_university_name || ' . National Agency (NA) ' || normalized_name || ' (UNI)' AS t FROM affiliation_map)"
+_SKIPPED = "[" + ", ".join(f"'{w}'" for w in merging.SKIPPED) + "]"
+_ONE = "upper(w[1]) || '(?:' || upper(w[2]) || ')?'"
+_ABBR = (
+    "m AS (SELECT {id}, unnest(regexp_extract_all({t}, '" + merging.BRACKETED.replace("{", "{{").replace("}", "}}") + "')) AS m FROM {s}),\n"
+    "p AS (SELECT {id}, regexp_extract(m, '\\(([A-Z]+)s?\\)', 1) AS abbr, string_split(trim(regexp_extract(m, '^(.*?) ?\\(', 1)), ' ') AS l FROM m),\n"
+    "k AS (SELECT *, list_filter(list_concat([length(abbr), length(abbr) + 1, length(abbr) + 2], list_reverse(range(2, length(abbr)))), lambda n: n <= length(l)) AS ns FROM p),\n"
+    "f AS (SELECT {id}, abbr, list_filter(list_transform(ns, lambda n: l[length(l) - n + 1:]), lambda t: NOT list_contains(" + _SKIPPED + ", lower(t[1])) AND regexp_full_match(abbr, "
+    "array_to_string(list_transform(t, lambda w: CASE WHEN list_contains(" + _SKIPPED + ", lower(w)) THEN '(?:' || " + _ONE + " || ')?' ELSE " + _ONE + " END), '')))[1] AS t FROM k),\n"
+    "r AS (SELECT {id}, abbr, lower(array_to_string(t, ' ')) AS meaning FROM f WHERE t IS NOT NULL)"
+)
+_SPELLED = "(SELECT id, coalesce(title, '') || '. ' || coalesce(abstract, '') AS t FROM articles_df UNION ALL SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT id, raw_affiliation FROM articles_df WHERE raw_affiliation IS NOT NULL)"
 
 
 def _abbreviations(spark, d):
-    a = table(spark, d, "affiliation_map")
-    t = F.concat("raw_university_name", F.lit(" . National Agency (NA) "), "normalized_name", F.lit(" (UNI)"))
-    return merging.abbreviation_pairs(a.select("affiliation_id", t.alias("t")), "t", "affiliation_id")
+    """``id, abbr, meaning`` of the texts, documents and affiliations."""
+    a = table(spark, d, A)
+    t = a.select("id", F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("t"))
+    t = t.unionAll(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).unionAll(a.where("raw_affiliation is not null").select("id", "raw_affiliation"))
+    return merging.abbreviation_pairs(t, "t", "id")
 
 
-@query("WITH " + _ABBR.format(id="affiliation_id", t="t", s=_SPELLED) + " SELECT affiliation_id, abbr, meaning FROM r")
+@query("WITH " + _ABBR.format(id="id", t="t", s=_SPELLED) + " SELECT id, abbr, meaning FROM r")
 def ab_extract(spark, d):
     return _abbreviations(spark, d)
 
 
-@query("WITH " + _ABBR.format(id="affiliation_id", t="t", s=_SPELLED) + " SELECT abbr, meaning, n FROM (SELECT abbr, meaning, count(*) AS n, row_number() OVER (PARTITION BY abbr ORDER BY count(*) DESC, meaning) AS r FROM r GROUP BY abbr, meaning) WHERE r = 1")
+@query("WITH " + _ABBR.format(id="id", t="t", s=_SPELLED) + " SELECT abbr, meaning, n FROM (SELECT abbr, meaning, count(*) AS n, row_number() OVER (PARTITION BY abbr ORDER BY count(*) DESC, meaning) AS r FROM r GROUP BY abbr, meaning) WHERE r = 1")
 def ab_match(spark, d):
     return merging.ranked_meanings(_abbreviations(spark, d)).where("rank = 1").select("abbr", "meaning", "n")
 
