@@ -9,7 +9,7 @@ from ..session import scratch, table
 from ..sources import files
 from ..streaming import incremental
 from . import query, sql
-from .knowledge import _REL, _SENT, _sentences, relations
+from .knowledge import _REL, relations
 from .searching import _POST, A, index
 
 _MEAN = r"""mean AS (SELECT abbr, arg_min(meaning, (-n, meaning)) AS meaning FROM (SELECT regexp_extract(raw_university_name, '\(([A-Z]{4,})\)', 1) AS abbr, lower(normalized_name) AS meaning, count_mentions AS n FROM affiliation_map WHERE regexp_matches(raw_university_name, '\([A-Z]{4,}\)')) GROUP BY abbr)"""
@@ -76,6 +76,7 @@ def str_partitions(spark, d):
     return table(spark, d, "journal_list").select("journal_id", F.array_sort(T.partitions(F.lower("journal_name"))).alias("parts"))
 
 
+# fixed values: endings and beginnings that a word is looked up without
 _SUFFIX = [("ing$", ""), ("ing$", "e"), ("s$", ""), ("es$", ""), ("ed$", ""), ("d$", "")]
 _PREFIX = ["in", "un", "im", "ir", "sub"]
 

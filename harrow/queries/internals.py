@@ -86,9 +86,6 @@ def lb_priority_model(spark, d):
     return p.select("id", F.when(F.col("p") < 0.1, "Unlikely").when(F.col("p") < 0.4, "Less likely").otherwise("More likely").alias("priority"))
 
 
-_WORDS = "array_to_string({l}, ' ')"
-
-
 @query(f"""WITH x AS (SELECT unnest([journal_name, short_name]) AS w FROM journal_list), n AS (SELECT w, array_to_string({sql.tokens('w')}, ' ') AS k FROM x WHERE w IS NOT NULL)
 SELECT lower(trim(w)) AS word FROM n WHERE trim(w) <> '' UNION SELECT k FROM n WHERE k <> ''""")
 def hs_filter_dict(spark, d):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import dedupe, merging, search
 from ..session import cut, scratch, table, written
 from . import query, sql
