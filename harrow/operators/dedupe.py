@@ -67,9 +67,11 @@ def duplicates(df: DataFrame) -> DataFrame:
     text = df.select("id", F.lower("title").alias("t"), (F.trim(F.coalesce("abstract", F.lit(""))) == "").alias("none")).join(used, "id", "left_semi")
     p = cosines(p, tfidf(df, "title", used), "title_cos")
     p = p.join(text.toDF("id_a", "ta", "na"), "id_a").join(text.toDF("id_b", "tb", "nb"), "id_b")
-    p = p.withColumn("title_lev", T.similarity("ta", "tb")).drop("ta", "tb")
+    # titles decide which abstracts are compared at all; an edit distance stops where it is too large to matter
+    longest = "greatest(length(ta), length(tb))"
+    close = F.expr(f"abs(length(ta) - length(tb)) <= 0.1 * {longest} + 1 and levenshtein(ta, tb, cast(0.1 * {longest} + 1 as int)) >= 0")
+    p = p.where((F.col("title_cos") > 0.8) | close).withColumn("title_lev", T.similarity("ta", "tb")).drop("ta", "tb")
     alike = (F.col("title_lev") >= 0.9) | (F.col("title_cos") >= 0.95)
-    # titles decide which abstracts are compared at all
     p = cut(p.where(alike | (F.col("title_cos") > 0.8)))
     used = p.select(F.col("id_a").alias("id")).union(p.select("id_b")).distinct()
     scores = cosines(p.select("id_a", "id_b"), tfidf(df, "abstract", used), "abs_cos")
