@@ -124,7 +124,7 @@ class PairTable:
             names = [s.getPath().getName() for s in fs.listStatus(at)]
             found = sorted(int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json"))
         if not found:
-            many = self.buckets or max(64, parallelism(self.spark))
+            many = self.buckets or max(16, parallelism(self.spark))
             return {"version": 0, "buckets": many, "n": 0, "baskets": [], "counts": {}, "scored": {}}
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(self.path, f"manifest-{found[-1]}.json"))
         try:
