@@ -15,9 +15,7 @@ overlap of half the limit or more is cut down to less than half.  Texts of any l
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,35 +37,10 @@ _paragraph = re.compile(r"\n[ \t\r]*\n\s*|\n(?=[ \t]*(?:[-*+•]|\d{1,3}[.)])\s)
 Units = tuple[np.ndarray, np.ndarray, np.ndarray]  # starts, ends, token counts
 
 
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """Of every code point: 0 white space, 1 in a run that is one token, 2 a token by itself."""
-    import regex
-
-    whole = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "-" for c in range(sys.maxunicode + 1))
-    kind = np.full(len(whole), 2, np.uint8)
-    for k, sign in ((1, r"[\p{L}\p{N}]+"), (2, rf"[\p{{Han}}{tokens.KANA_THAI}]+"), (0, r"\p{White_Space}+")):
-        for m in regex.finditer(sign, whole):
-            kind[m.start() : m.end()] = k
-    return kind
-
-
-def _kind_of(text: str) -> np.ndarray:
-    return _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-
 def rule_units(text: str) -> Units:
-    """The tokens of the rule, by one table lookup a character."""
-    kind = _kind_of(text)
-    run = kind == 1
-    begins = kind == 2
-    begins[:1] |= run[:1]
-    begins[1:] |= run[1:] & ~run[:-1]
-    stops = kind == 2
-    stops[-1:] |= run[-1:]
-    stops[:-1] |= run[:-1] & ~run[1:]
-    starts = np.flatnonzero(begins)
-    return starts, np.flatnonzero(stops) + 1, np.ones(len(starts), np.int64)
+    """The tokens of the rule."""
+    starts, ends = tokens.rule_spans(text)
+    return starts, ends, np.ones(len(starts), np.int64)
 
 
 def vocabulary_units(path: str, limit: int) -> Callable[[str], Units]:
@@ -110,7 +83,7 @@ class Separators:
 
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
-        self.blank = np.append(_kind_of(text) == 0, True)
+        self.blank = np.append(tokens.kind_of(text) == 0, True)
         self._whole: dict[int, np.ndarray] = {}
 
     def units(self, positions: list[int]) -> np.ndarray:
