@@ -3,7 +3,7 @@
 Distinct spellings are parsed to normal forms; equal forms are one.  Candidates for the canonical form of a form x are
 found by equal keys and ranked by prior times likelihood:
 
-* typing errors: forms within two edits (one below ten letters), found by a join on the hashes of their deletion
+* typing errors: forms within two edits (one below ten letters, none below four), found by a join on the hashes of their deletion
   neighbourhoods.  Prior: the number of spellings that attest each word that differs; likelihood: ``TYPO`` per edit.
 * short given names: from a table, or cut after three letters or more, with the same family name.
 * initials: same family name, first letter, and no other middle initial than the one attested; prior: mentions.
@@ -35,6 +35,7 @@ from .name_forms import Vocabulary, near_stop, organisation_parts, plain
 
 TYPO = 0.3  # likelihood of an edit against the odds of the words' attestations
 RARE = 2.5
+SHORT, RARER = 6, 20  # forms below so many letters are mistypings only of words attested so many times as often
 OWN = 12  # spellings up to which a word is one organisation's own
 COMMON = 0.0005  # share of spellings from which a word may be what others abbreviate: at most some thousand words
 
@@ -122,7 +123,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def _most(form: str) -> int:
-    return 0 if len(form) < 6 else 1 if len(form) < 10 else 2
+    return 0 if len(form) < 4 else 1 if len(form) < 10 else 2
 
 
 def _neighbourhoods_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +160,8 @@ def _score(form: str, candidate: str, own: list[int], other: list[int], mentions
     odds = sum(math.log(m / n) for n, m in changed)
     if odds < 0 or odds == 0 and (mentions, candidate) <= (mentions[::-1], form):
         return -1.0
+    if min(len(form), len(candidate)) < SHORT and odds < math.log(RARER):
+        return -1.0
     rare = all(n <= 3 for n, _ in changed) and (d == 1 or min(map(len, x[-1:] + y[-1:])) > 7 and odds > 0)
     return odds + d * math.log(TYPO) + RARE * rare
 

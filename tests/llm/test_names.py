@@ -124,3 +124,9 @@ def test_abbreviations_have_no_bound():
     v = Vocabulary([*names, "Acta Semantica Kinetica"])
     assert "annals soil kology" in v.expanded(["ann", "soil", "kol"])
     assert v.expanded(["a", "s", "kin"]) == ["acta semantica kinetica"]
+
+
+def test_short_forms_need_strong_odds():
+    assert V._score("bo li", "bo lo", [1, 1], [1, 30], (9, 1)) > 0
+    assert V._score("bo li", "bo lo", [1, 1], [1, 5], (9, 1)) < 0
+    assert V._score("abc", "abd", [1], [90], (9, 1)) < 0
