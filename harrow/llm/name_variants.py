@@ -190,7 +190,8 @@ def typo_parents(forms: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x.a).alias("counts")
     ).join(forms.select("form", "m"), "form")
     counts = cut(counts)
-    keys = cut(spread(forms.select("form")).mapInArrow(lambda batches: _neighbourhoods(batches), "form string, key bigint"))
+    # one exchange by key serves both sides of the join
+    keys = spread(forms.select("form")).mapInArrow(lambda batches: _neighbourhoods(batches), "form string, key bigint").repartition("key")
     pairs = keys.join(keys.select(F.col("form").alias("candidate"), "key"), "key").where("form <> candidate")
     pairs = pairs.select("form", "candidate").distinct()
     pairs = pairs.join(counts, "form").join(
