@@ -307,6 +307,14 @@ SETTINGS = {
 _ALL = [s["column_filler_class"] for s in SETTINGS["columns"]]
 
 
+@query()
+def nz_full(spark, d):
+    """Titles and abstracts after all cleaners, with capitals and words run together mended by what the collection shows."""
+    step = {"column_filler_class": "AdvancedTextNormalizer", "full_normalization": True}
+    out, _ = pipeline.run(table(spark, d, A), {"columns": [step]})
+    return out.select("id", "title", "abstract")
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', 'Finished')" for k, n in enumerate(_ALL)) + ") t(position, step, state)")
 def pipeline_all(spark, d):
     """Every step in one run, each isolated."""

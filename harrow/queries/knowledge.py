@@ -78,13 +78,24 @@ def af_remap_prefix(spark, d):
     return j.where("id_a < id_b and (land_a = land_b or city_a = city_b)").select("id_a", "id_b")
 
 
-@query(f"WITH {_AFF}, m AS (SELECT array_to_string(list_sort(string_split(lower(normalized_name), ' ')), ' ') AS k, min(affiliation_id) AS ref FROM affiliation_map GROUP BY 1) SELECT id, raw, ref FROM (SELECT id, raw, trim(lower(split_part(raw, ',', 1))) AS h FROM i) JOIN m ON k = array_to_string(list_sort(string_split(h, ' ')), ' ')")
+_SORTED = "array_to_string(list_sort(string_split({x}, ' ')), ' ')"
+
+
+@query(f"""WITH {_AFF}, h AS (SELECT id, raw, {_SORTED.format(x=sql.unaccent("trim(lower(split_part(raw, ',', 1)))"))} AS k FROM i),
+m AS (SELECT {_SORTED.format(x=sql.unaccent('lower(normalized_name)'))} AS k, min(affiliation_id) AS ref FROM affiliation_map GROUP BY 1),
+s AS (SELECT d.k, ref, 1 - levenshtein(d.k, m.k) / greatest(length(d.k), length(m.k)) AS s FROM (SELECT DISTINCT k FROM h WHERE k <> '') d, m WHERE m.k <> ''),
+best AS (SELECT k, arg_min(ref, (-s, ref)) AS ref FROM s WHERE s >= 0.88 GROUP BY k) SELECT id, raw, ref FROM h JOIN best USING (k)""")
 def af_pipeline(spark, d):
-    """Affiliations whose first part is a listed name, words in any order."""
-    words = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    m = table(spark, d, "affiliation_map").groupBy(words(F.lower("normalized_name")).alias("k")).agg(F.min("affiliation_id").alias("ref"))
-    a = _affiliations(spark, d).select("id", "raw", words(F.trim(F.lower(F.split_part("raw", F.lit(","), F.lit(1))))).alias("k"))
-    return a.join(m, "k").select("id", "raw", "ref")
+    """Affiliations with the listed name most like their first part, words in any order, from a similarity of 0.88 on."""
+    words = lambda c: F.array_join(F.array_sort(F.split(T.unaccent(c), " ")), " ").alias("k")
+    m = table(spark, d, "affiliation_map").groupBy(words(F.lower("normalized_name"))).agg(F.min("affiliation_id").alias("ref")).where("k <> ''")
+    a = _affiliations(spark, d).select("id", "raw", words(F.trim(F.lower(F.split_part("raw", F.lit(","), F.lit(1))))))
+    typed, listed = a.select("k").where("k <> ''").distinct(), m.select("k")
+    near = merging.near_pairs(typed.toDF("item"), listed.toDF("other"), 0.88).toDF("k", "name")
+    near = near.unionAll(merging.near_pairs(listed.toDF("item"), typed.toDF("other"), 0.88).toDF("name", "k").select("k", "name")).distinct()
+    like = near.withColumn("s", T.similarity("k", "name")).where("s >= 0.88").join(m.toDF("name", "ref"), "name")
+    best = like.groupBy("k").agg(F.min(F.struct((-F.col("s")).alias("s"), "ref")).alias("b")).select("k", F.col("b.ref").alias("ref"))
+    return a.join(best, "k").select("id", "raw", "ref")
 
 
 _GAZ = r"""w AS (SELECT id, string_split(regexp_replace(abstract, '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS l FROM articles_df WHERE abstract IS NOT NULL),

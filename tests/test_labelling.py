@@ -187,3 +187,11 @@ def test_stacked_models_learn(spark):
     stack = models.Stacked([("text", "logistic"), ("other", "bayes")], features=256, trees=5).fit(df.where("id < 300"))
     f1 = {r["model"]: r["macro_f1"] for r in stack.scored(df.where("id >= 300")).collect()}
     assert f1["stacked"] > 0.95 and f1["text logistic"] > 0.95 and f1["other bayes"] < 0.8
+
+
+def test_words_are_mended_by_the_collection(spark):
+    rows = [(k, "maize rose here, of yield") for k in range(80)] + [(100, "MAIZE rose"), (101, "ofmaize, and Maize; x"), (102, None), (103, "")]
+    df = spark.createDataFrame(rows, "id bigint, t string").selectExpr("*", "1 as w", "2 as fixed")
+    got = {r["id"]: r["t"] for r in relations.mended(df, "id", "t").collect()}
+    assert got[100] == "maize rose" and got[101] == "of maize, and Maize; x" and got[102] is None and got[103] == ""
+    assert len(got) == 84 and got[5] == rows[5][1]
