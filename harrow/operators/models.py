@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, parallelism, scratch, spread_scan
 
 SAMPLE = 20_000  # labelled rows a classifier is fitted on at most
 BLOCK = 4_096  # vectors of a side that a task compares
+BUCKET = 20_000  # documents that are weighed together
 
 
 class Predictor(Protocol):
@@ -227,19 +228,71 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
     n = weights.select("id").distinct().count()
     top = weights.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= min_df * n) & (F.col("n") <= max(1.0, max_df * n)))
     names = sorted(r["term"] for r in top.collect())
-    place = {t: j for j, t in enumerate(names)}
-    spark = weights.sparkSession
-    index = spark.createDataFrame(list(place.items()), "term string, j int")
+    index = weights.sparkSession.createDataFrame([(t, j) for j, t in enumerate(names)], "term string, j int")
     docs = weights.join(F.broadcast(index), "term", "left").groupBy("id")
-    docs = docs.agg(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "w"))).alias("x")).select("id", F.col("x.j").alias("j"), F.col("x.w").alias("w"))
-    docs = cut(docs)
+    docs = docs.agg(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "w"))).alias("x")).select("id", F.col("x.j").alias("j"), F.col("x.w").alias("w"), F.lit(1.0).alias("norm"))
+    return _factors(cut(docs), names, np.ones(len(names)), k, rounds, seed)
+
+
+def text_topics(df: DataFrame, column: str, k: int = 8, rounds: int = 6, seed: int = 0, min_df: float = 0.0015, max_df: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """``nmf`` of the tf-idf weights of a text column, without a row for each term of each document.
+
+    The words are written once.  Documents go to buckets with the idf of their own terms (no vocabulary is broadcast),
+    where their lengths are taken; what is kept of each are its frequent terms' numbers and counts, and that length.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "words")
+    spread_scan(df.select("id", column)).select("id", T.token_list(column).alias("l")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    total = rows.count()
+    rows = rows.where("size(l) > 0")
+    n = rows.count()
+    seen = cut(rows.select(F.explode(F.array_distinct("l")).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    top = seen.where((F.col("n") >= min_df * n) & (F.col("n") <= max(1.0, max_df * n)))
+    often = sorted((r["term"], r["n"]) for r in top.collect())
+    names = [t for t, _ in often]
+    index = spark.createDataFrame([(t, j) for j, t in enumerate(names)], "term string, j int")
+    weight = (F.log((1 + F.lit(total)) / (1 + F.col("n"))) + 1).alias("idf")
+    terms = seen.join(F.broadcast(index), "term", "left").select(F.xxhash64("term").alias("code"), weight, F.coalesce("j", F.lit(-1)).alias("j"))
+    buckets = max(parallelism(spark), spark.sparkContext.defaultParallelism, -(-n // BUCKET))
+    laid = rows.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", F.transform("l", lambda w: F.xxhash64(w)).alias("codes"))
+    used = laid.select(F.col("bucket").alias("for"), F.explode("codes").alias("code")).distinct().join(terms, "code")
+    docs = laid.groupBy("bucket").cogroup(used.groupBy("for")).applyInArrow(_counted, "id bigint, j array<int>, w array<double>, norm double")
+    path = scratch(spark, "counts")
+    docs.write.parquet(path)
+    idf = np.log((1 + total) / (1 + np.array([c for _, c in often], np.float64))) + 1
+    return _factors(spark.read.parquet(path), names, idf, k, rounds, seed)
+
+
+def _counted(rows: pa.Table, terms: pa.Table) -> pa.Table:
+    """Of each document the numbers and counts of its frequent terms, and the length of the weights of all its terms."""
+    n = rows.num_rows
+    if not n:
+        return pa.table({"id": pa.array([], pa.int64()), "j": pa.array([], pa.list_(pa.int32())), "w": pa.array([], pa.list_(pa.float64())), "norm": pa.array([], pa.float64())})
+    order = np.argsort(terms["code"].to_numpy())
+    code, idf, place = (terms[c].to_numpy()[order] for c in ("code", "idf", "j"))
+    lists = rows["codes"].combine_chunks()
+    row = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+    key, tf = np.unique(row * len(code) + np.searchsorted(code, lists.flatten().to_numpy()), return_counts=True)
+    row, term = key // len(code), key % len(code)
+    norm = np.sqrt(np.bincount(row, (tf * idf[term]) ** 2, minlength=n))
+    kept = place[term] >= 0
+    at = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=n))]).astype(np.int32)
+    j = pa.ListArray.from_arrays(at, pa.array(place[term][kept], pa.int32()))
+    return pa.table({"id": rows["id"].combine_chunks(), "j": j, "w": pa.ListArray.from_arrays(at, pa.array(tf[kept], pa.float64())), "norm": norm})
+
+
+def _factors(docs: DataFrame, names: list[str], scale: np.ndarray, k: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The updates of ``nmf`` over ``id, j, w, norm``: a document's weight of term j is w x scale[j] / norm."""
+    spark = docs.sparkSession
     h = np.random.default_rng(seed).random((len(names), k)) + 0.1
 
     def solve(b: pa.RecordBatch, h: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and weight of each entry of a batch, and the weights of its documents, all documents at once."""
         offsets = np.asarray(b.column(1).offsets) - b.column(1).offsets[0].as_py()
-        j, w = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+        j = b.column(1).flatten().to_numpy()
         row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        w = b.column(2).flatten().to_numpy() * scale[j] / b.column(3).to_numpy()[row]
         target = np.zeros((b.num_rows, h.shape[1]))
         np.add.at(target, row, w[:, None] * h[j])
         v = np.where(np.diff(offsets)[:, None] > 0, 0.5, 0.0) * np.ones((1, h.shape[1]))
@@ -261,11 +314,10 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
 
         parts = docs.mapInArrow(sums, "j int, v array<double>").select("j", F.posexplode("v").alias("p", "x")).groupBy("j", "p").agg(F.sum("x").alias("x"))
         up, down = np.zeros_like(h), np.zeros(k * k)
-        for j, p, x in parts.collect():  # terms x k numbers
-            if j < 0:
-                down[p] = x
-            else:
-                up[j, p] = x
+        got = parts.toArrow()  # terms x k numbers
+        j, p, x = (got[c].to_numpy() for c in ("j", "p", "x"))
+        down[p[j < 0]] = x[j < 0]
+        up[j[j >= 0], p[j >= 0]] = x[j >= 0]
         h = h * up / np.maximum(h @ down.reshape(k, k), 1e-12)
     gram = h.T @ h
 
@@ -275,7 +327,7 @@ def nmf(weights: DataFrame, k: int = 8, rounds: int = 6, seed: int = 0, min_df:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
 
     own = docs.mapInArrow(final, "id bigint, v array<double>").select("id", F.posexplode("v").alias("topic", "weight"))
-    words = spark.createDataFrame([(t, c, float(h[j, c])) for t, j in place.items() for c in range(k)], "term string, topic int, weight double")
+    words = spark.createDataFrame([(t, c, float(h[j, c])) for j, t in enumerate(names) for c in range(k)], "term string, topic int, weight double")
     return own, words
 
 

@@ -264,7 +264,7 @@ def classified(df: DataFrame, s: dict) -> DataFrame:
 def topics(df: DataFrame, s: dict) -> DataFrame:
     """``topics`` (three words joined), ``topics_keywords`` and ``topics_hierarchy`` of each row, by factors of its texts."""
     text = labelling.joined(df, s.get("columns_to_process", ["title", "abstract"]))
-    own, words = models.nmf(dedupe.tfidf(text, "text"), k=s.get("n_components", 8), rounds=s.get("rounds", 6))
+    own, words = models.text_topics(text, "text", k=s.get("n_components", 8), rounds=s.get("rounds", 6))
     r = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))
     top = words.withColumn("r", r).where("r <= 3").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x.term).alias("w"))
     chosen = models.topics_of(own).join(F.broadcast(top), "topic")  # a row per topic

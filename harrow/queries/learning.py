@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedupe, evaluation, merging, models
+from ..operators import evaluation, merging, models
 from ..plans import pipeline
 from ..session import cut, parallelism, scratch, spread_scan, table
 from ..sources import files
@@ -71,7 +71,7 @@ def ml_tfidf_topic(spark, d):
 
 def _topics(spark, d):
     text = table(spark, d, A).select("id", F.concat_ws(". ", "title", "abstract").alias("text"))
-    return models.nmf(dedupe.tfidf(text, "text"), k=8)
+    return models.text_topics(text, "text", k=8)
 
 
 @query()
