@@ -293,8 +293,7 @@ def _factors(docs: DataFrame, names: list[str], scale: np.ndarray, k: int, round
         j = b.column(1).flatten().to_numpy()
         row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
         w = b.column(2).flatten().to_numpy() * scale[j] / b.column(3).to_numpy()[row]
-        target = np.zeros((b.num_rows, h.shape[1]))
-        np.add.at(target, row, w[:, None] * h[j])
+        target = np.stack([np.bincount(row, w * h[j, c], minlength=b.num_rows) for c in range(h.shape[1])], axis=1)
         v = np.where(np.diff(offsets)[:, None] > 0, 0.5, 0.0) * np.ones((1, h.shape[1]))
         for _ in range(25):
             v *= target / np.maximum(v @ gram, 1e-12)
@@ -307,7 +306,8 @@ def _factors(docs: DataFrame, names: list[str], scale: np.ndarray, k: int, round
             up, down = np.zeros_like(h), np.zeros((h.shape[1], h.shape[1]))
             for b in batches:
                 row, j, w, v = solve(b, h, gram)
-                np.add.at(up, j, w[:, None] * v[row])
+                for c in range(h.shape[1]):
+                    up[:, c] += np.bincount(j, w * v[row, c], minlength=len(h))
                 down += v.T @ v
             used = np.flatnonzero(up.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1], pa.int32()), pa.array([*up[used].tolist(), down.ravel().tolist()], pa.list_(pa.float64()))], names=["j", "v"])
