@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ BETWEEN = (
 ).split()
 ARTICLES = "a an the this these those their its our his her some any all each most many several both".split()
 MOST_WORDS = 4  # of a term
+FIXES = 500_000  # words to be put right that are sent to the tasks
+_LETTERS = re.compile("[A-Za-z]+")
 
 Step = tuple[str, str]
 
@@ -145,10 +151,30 @@ def glued(freq: DataFrame, rare: int = 5, often: int = 70) -> DataFrame:
 
 
 def mended(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``df`` with the words of ``text`` that the collection shows to be capitals of small words, or two words run together, put right."""
+    """``df`` with the words of ``text`` that the collection shows to be capitals of small words, or two words run together, put right.
+
+    The words to be put right are counted; up to ``FIXES`` go to the tasks, and no word of a text is moved.
+    """
     freq = cut(word_df(df.select(id_col, text), id_col, text))
     fixes = upper_to_lower(freq).toDF("w", "fixed").unionAll(glued(freq).groupBy("w").agg(F.min("fixed").alias("fixed")))
-    fixes = fixes.groupBy("w").agg(F.min("fixed").alias("fixed"))
+    fixes = cut(fixes.groupBy("w").agg(F.min("fixed").alias("fixed")))
+    if fixes.count() > FIXES:
+        return _mended_by_join(df, fixes, id_col, text)
+    known = df.sparkSession.sparkContext.broadcast({r["w"]: r["fixed"] for r in fixes.collect()})
+    at, schema = df.columns.index(text), df.schema
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = known.value
+        fix = lambda m: found.get(m[0], m[0])
+        for b in batches:
+            texts = [t and _LETTERS.sub(fix, t) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return df.mapInArrow(put, schema)
+
+
+def _mended_by_join(df: DataFrame, fixes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The same for any number of words, by a row for each word of each text."""
     each = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(F.split(text, r"(?<=[A-Za-z])(?![A-Za-z])|(?<![A-Za-z])(?=[A-Za-z])")).alias("at", "w"))
     hit = each.join(fixes, "w").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "fixed"))).alias("_fix"))
     parts = F.split(text, r"(?<=[A-Za-z])(?![A-Za-z])|(?<![A-Za-z])(?=[A-Za-z])")

@@ -4,13 +4,15 @@ Settings are JSON: ``{"columns": [{"column_filler_class": "<name>", ..., "step_n
 validated against the table's columns before anything runs; a step that can't be planned is skipped and the table goes
 on unchanged.  With ``isolate`` each step's table is written to the shared folder: a step that fails while running is
 skipped too, with its error in the status, and later steps read the table instead of planning all earlier ones again.
-Short lists of cheap steps may do without.  The search index of the table is built when a step first wants it and used
+What a step wrote besides its table and the index is removed after it, and so is the table before, so that the folder
+never holds more than two tables of the run.  Short lists of cheap steps may do without.  The search index of the table is built when a step first wants it and used
 by all later ones, until a step changes the texts.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedupe, entities, labelling, models, relations, search
-from ..session import cut, scratch
+from ..session import cut, recorded, released, removed, scratch
 
 Step = Callable[[DataFrame, dict], DataFrame]
 FILLERS: dict[str, Step] = {}
@@ -57,28 +59,38 @@ CHANGE_TEXTS = {"AdvancedTextNormalizer", "Deduplicator", "KeywordNormalizer"}
 def run(df: DataFrame, settings: str | dict, isolate: bool = True) -> tuple[DataFrame, Status]:
     """The enriched table and the states: Finished, or Finished with errors for skipped steps."""
     spec = json.loads(settings) if isinstance(settings, str) else settings
-    status = Status()
+    spark, status = df.sparkSession, Status()
     steps = [(s.get("step_name") or s.get("column_filler_class", ""), s) for s in spec.get("columns", [])]
     indexes: dict[tuple[str, ...], search.Index] = {}
+    left: set[str] = set()  # paths of the run that are still read
     for name, _ in steps:
         status.set(name, "Pending")
     for name, s in steps:
         status.set(name, "In Progress")
-        try:
-            new = FILLERS[s["column_filler_class"]](df, s | {"indexes": indexes})
-            _ = new.schema  # analysed here, so that wrong columns are found
-            df = _written(new) if isolate else new
-            status.set(name, "Finished")
-        except Exception as e:  # a failing step is skipped, whatever failed; its error stays in the status
-            status.set(name, "Finished with errors", f"{type(e).__name__}: {e}"[:300])
+        with recorded() as made:
+            try:
+                new = FILLERS[s["column_filler_class"]](df, s | {"indexes": indexes})
+                _ = new.schema  # analysed here, so that wrong columns are found
+                df = _written(new) if isolate else new
+                status.set(name, "Finished")
+            except Exception as e:  # a failing step is skipped, whatever failed; its error stays in the status
+                status.set(name, "Finished with errors", f"{type(e).__name__}: {e}"[:300])
         if s.get("column_filler_class") in CHANGE_TEXTS:
             indexes.clear()
+        new = None
+        if isolate:
+            left |= set(made)
+            read = [f for t in (df, *(x.postings for x in indexes.values())) for f in t.inputFiles()[:1]]
+            for path in [x for x in left if not any(os.path.basename(x) in f for f in read)]:
+                removed(spark, path)
+                left.remove(path)
+            released(spark)
     return df, status
 
 
 def _written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "step")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -100,8 +112,11 @@ def normalise(df: DataFrame, s: dict) -> DataFrame:
     """Escapes, braces, tags, copyright remarks and loose marks go; with ``full_normalization`` words are mended too."""
     columns = s.get("columns_to_process", ["title", "abstract"])
     for c in columns:
-        df = df.withColumn(c, T.trim_punctuation(T.drop_copyright(T.drop_escapes(T.drop_braces(T.drop_html(c))))))
-        if s.get("full_normalization"):
+        for clean in (T.drop_html, T.drop_braces, T.drop_escapes, T.drop_copyright, T.trim_punctuation):
+            df = df.withColumn(c, clean(c))  # a projection each: nested, each would do all before it several times
+    if s.get("full_normalization"):
+        df = _written(df)  # mending counts the cleaned words first
+        for c in columns:
             df = relations.mended(df, "id", c)
     return df
 

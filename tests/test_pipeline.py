@@ -7,7 +7,8 @@ import sys
 import numpy as np
 import pytest
 
-from harrow.operators import evaluation, models
+from harrow import session
+from harrow.operators import evaluation, models, relations
 from harrow.plans import pipeline
 from harrow.sources import files
 from harrow.streaming import incremental
@@ -55,6 +56,27 @@ def test_steps_are_isolated(spark):
     assert one["journal"] == "Plough Letters" and one["keywords"] == "maize"
 
 
+def test_a_run_leaves_one_table_and_fails_nothing_by_it(spark):
+    steps = ["AdvancedTextNormalizer", "Deduplicator", "Nope", "PopulationTagsFinder", "KeywordNormalizer", "JournalNormalizer"]
+    settings = [{"column_filler_class": x, "full_normalization": True} for x in steps]
+    settings[2:2] = [{"column_filler_class": "CropsSearch", "taxonomy": [["maize", "cereals"]], "column_name": "crops"}]
+    before = set(session._scratch)
+    out, status = pipeline.run(spark.createDataFrame(ROWS, COLUMNS), {"columns": settings})
+    left = [x for x in session._scratch if x not in before]
+    assert [s["state"] for s in status.steps] == [*["Finished"] * 3, "Finished with errors", *["Finished"] * 3], status.steps
+    assert len(left) == 1 and all(left[0] in f for f in out.inputFiles())
+    assert {r["id"]: r["crops"] for r in out.collect()} == {1: ["cereals/maize"], 2: [], 3: []}
+
+
+def test_words_are_mended_alike_with_and_without_a_join(spark, monkeypatch):
+    rows = [(k, "the soil of maize-plots, café soil2") for k in range(80)] + [(90, "SOIL"), (91, "  ofsoil x. MAIZE"), (92, None), (93, ""), (94, "9")]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    found = {r["id"]: r["t"] for r in relations.mended(df, "id", "t").collect()}
+    assert found[90] == "soil" and found[91] == "  of soil x. maize"
+    monkeypatch.setattr(relations, "FIXES", 0)
+    assert found == {r["id"]: r["t"] for r in relations.mended(df, "id", "t").collect()}
+
+
 def test_streams_go_on_where_they_stopped(spark, tmp_path):
     source, target, point = (str(tmp_path / x) for x in "stp")
     spark.range(10).write.parquet(source)
