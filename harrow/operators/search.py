@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import scratch, spread_scan
+from ..session import cut, scratch, spread_scan
 from .merging import near_pairs, sibilant_pairs
 
 THRESHOLD = 0.85
+KEYS = 100_000  # terms of queries that are sent to the tasks
 
 
 @dataclass
@@ -86,7 +87,9 @@ class Index:
             spread = single.join(variants.withColumnRenamed("term", "variant"), F.col("term") == F.col("word"))
             spread = spread.select("query", F.col("variant").alias("term"), "n_terms")
             keyed = keyed.where("n_terms > 1 or contains(term, ' ')").unionAll(spread)
-        hits = keyed.join(self.postings, "term")
+        keyed = cut(keyed)
+        few = keyed.count() <= KEYS  # then no posting is moved
+        hits = self.postings.join(F.broadcast(keyed) if few else keyed, "term")
         one = hits.where("n_terms = 1").select("query", "doc_id").distinct()
         many = hits.where("n_terms > 1").groupBy("query", "doc_id", "n_terms").agg(F.count_distinct("term").alias("n"))
         return one.unionAll(many.where("n = n_terms").select("query", "doc_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedupe, entities, labelling, models, relations, search
-from ..session import cut, recorded, released, removed, scratch
+from ..session import cut, parallelism, recorded, released, removed, scratch
 
 Step = Callable[[DataFrame, dict], DataFrame]
 FILLERS: dict[str, Step] = {}
@@ -89,9 +89,18 @@ def run(df: DataFrame, settings: str | dict, isolate: bool = True) -> tuple[Data
 
 
 def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "step")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The table written, by hash of its ids where the session's catalog can state that: joins on the id then move what
+    a step found and not the table.  The catalog's entry goes at once, as the DataFrame doesn't need it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "step")
+    write = df.write.option("compression", "zstd")
+    if "id" not in df.columns or spark.conf.get("spark.sql.catalogImplementation") != "in-memory":
+        write.parquet(path)
+        return spark.read.parquet(path)
+    name = os.path.basename(path).replace("-", "_")
+    write.bucketBy(parallelism(spark), "id").format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # with a path of its own, so the files stay
+    return out.select(*df.columns)
 
 
 def _default(df: DataFrame, labels: DataFrame, key: str, column: str) -> DataFrame:

@@ -22,6 +22,22 @@ def test_rename_and_explode(spark):
     assert reshape.explode_or(df, "l", "v").where("v = 'Unspecified'").count() == 2
 
 
+def test_a_search_moves_no_posting_unless_it_has_many_terms(spark, monkeypatch):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, "Maize yields rose", None), (2, "Maize", "yields"), (3, None, "maize yields rose; goats")]
+        ix = search.Index.build(spark.createDataFrame(rows, "id bigint, title string, keywords string"), ["title", "keywords"])
+        q = spark.createDataFrame([("maize",), ("maize yields rose",), ("",)], "query string")
+        few = ix.search(q)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(search, "KEYS", 0)
+        got = [sorted(tuple(r) for r in x.collect()) for x in (few, ix.search(q))]
+        assert got[0] == got[1] == [("maize", 1), ("maize", 2), ("maize", 3), ("maize yields rose", 1), ("maize yields rose", 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_index_and_search(spark):
     rows = [(1, "Organising small farms", None, 2000, "d", None), (2, "Organizing farm labour markets", "", 2001, "d", "greenhouse"), (3, "Greenhouse gas", "x", 2002, "d", None), (4, None, None, None, None, None)]
     ix = search.Index.build(articles(spark, rows), ["title", "keywords"])

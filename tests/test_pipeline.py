@@ -68,6 +68,20 @@ def test_a_run_leaves_one_table_and_fails_nothing_by_it(spark):
     assert {r["id"]: r["crops"] for r in out.collect()} == {1: ["cereals/maize"], 2: [], 3: []}
 
 
+def test_a_step_moves_what_it_found_and_not_the_table(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = pipeline._written(spark.createDataFrame([(k, f"t{k}") for k in range(40)], "id bigint, title string"))
+        labels = spark.range(0, 40, 2).selectExpr("id as doc_id", "array('x') as l")
+        out = pipeline._default(df, labels, "doc_id", "l")
+        assert {r["id"]: (r["title"], r["l"]) for r in out.collect()} == {k: (f"t{k}", ["x"] if k % 2 == 0 else []) for k in range(40)}
+        assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange hashpartitioning") == 1
+        assert pipeline._written(df.limit(0)).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("step_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_words_are_mended_alike_with_and_without_a_join(spark, monkeypatch):
     rows = [(k, "the soil of maize-plots, café soil2") for k in range(80)] + [(90, "SOIL"), (91, "  ofsoil x. MAIZE"), (92, None), (93, ""), (94, "9")]
     df = spark.createDataFrame(rows, "id bigint, t string")
