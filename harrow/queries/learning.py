@@ -4,9 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, merging, models
+from ..operators import evaluation, merging, models, wordvectors
 from ..plans import pipeline
-from ..session import cut, parallelism, scratch, spread_scan, table
+from ..session import cut, scratch, spread_scan, table
 from ..sources import files
 from ..streaming import incremental
 from . import query, sql
@@ -27,13 +27,11 @@ def ml_phrases(spark, d):
 @query()
 def ml_w2v(spark, d):
     """The twenty terms nearest to the most frequent one, by vectors trained on titles and abstracts; training isn't SQL."""
-    from pyspark.ml.feature import Word2Vec
-
     text = F.concat_ws(". ", "title", "abstract").alias("t")
-    words = cut(spread_scan(table(spark, d, A).select(text)).select(T.token_list("t").alias("l")).where("size(l) > 1"))
-    model = Word2Vec(vectorSize=300, minCount=7, windowSize=6, maxIter=10, numPartitions=parallelism(spark), seed=1, inputCol="l", outputCol="v").fit(words)
-    often = words.select(F.explode("l").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first()["w"]
-    return model.findSynonyms(often, 20).select("word", F.round("similarity", 4).alias("similarity"))
+    words = cut(T.token_lists(spread_scan(table(spark, d, A).select(text)), "t").where("size(l) > 1"))
+    names, vectors = wordvectors.trained(words, "l", dim=300, least=7, window=6, rounds=10, seed=1)
+    found = wordvectors.near(names, vectors, names[0], 20) if names else []
+    return spark.createDataFrame(found, "word string, similarity double").withColumn("similarity", F.round("similarity", 4))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0)
